@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import contamination, language, quality
+from folioflow.llm import contamination, language, neardup, pieces, quality
 from folioflow.llm.arrow import scratch
 from folioflow.llm.language import held_out
 
@@ -25,6 +25,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.filter("kept").select("__row.*")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the least id, of each class of near or exact copies."""
+    return neardup.keep_one(docs, F.col("text"), "doc_id")
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents of whose words a twentieth or more are inside of benchmark windows."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -32,9 +37,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.filter(~contamination.contaminated(F.col("n_words"), contamination.n_hit(F.col("hits")))).select("__row.*")
 
 
-STAGES = [("language", language_id), ("quality", quality_rules), ("decontamination", decontamination)]
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the ids of each text, how many they are, their digest and that of the text that they decode to."""
+    import public_tokenizers
+
+    return pieces.round_trip(docs, F.col("text"), pieces.load(public_tokenizers.path("piece_bpe_32k.model"))).drop("decoded")
+
+
+STAGES = [("language", language_id), ("quality", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pieces", piece_ids)]
 
-#: Two stages decide by trained models, which SQL can't express.
+#: Language identification and quality rules decide by trained models and pieces need a vocabulary, which SQL can't express.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat, contamination, html, language, pieces, quality, records, sharding
+from folioflow.llm import chat, contamination, html, language, neardup, pieces, quality, records, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.groups(_table(spark, sf_dir, "documents"), F.col("text"), F.col("doc_id"))
+    return found.select(F.col("key").alias("doc_id"), "class_id", F.col("class_size").cast("long").alias("class_size"), "chosen")
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -90,5 +95,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_extraction, op3_decontamination, op5_pieces, op6_chat, op7_quality, op9_records, op10_sharding)
+    f.__name__: f for f in (op1_language, op2_extraction, op3_decontamination, op4_neardup, op5_pieces, op6_chat, op7_quality, op9_records, op10_sharding)
 }
