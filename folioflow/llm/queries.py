@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat, contamination, html, language, neardup, pieces, quality, records, sharding
+from folioflow.llm import chat, contamination, html, language, lm, neardup, pieces, quality, records, sharding
+from folioflow.llm.arrow import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +80,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, F.col("text"), model).drop("text")
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = language.held_out(F.col("doc_id"), 7, 2)
+    training = docs.filter(~out)
+    counts = written(lm.count_tokens(training, F.col("text")), "lm-counts")
+    vocab = lm.vocabulary(counts)
+    weights = lm.train(training, F.col("text"), F.col("doc_id"), vocab)
+    found = lm.score(docs.select("doc_id", out.alias("held_out"), "text"), F.col("text"), counts, vocab, weights)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -95,5 +107,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_extraction, op3_decontamination, op4_neardup, op5_pieces, op6_chat, op7_quality, op9_records, op10_sharding)
+    f.__name__: f for f in (op1_language, op2_extraction, op3_decontamination, op4_neardup, op5_pieces, op6_chat, op7_quality, op8_lm, op9_records, op10_sharding)
 }
