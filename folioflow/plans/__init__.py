@@ -1,3 +1,6 @@
 """The registered queries and their SQL."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+from folioflow.plans import files, jobs, memory, records, retrieval, streams, text, validation  # noqa: F401
+from folioflow.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
