@@ -47,8 +47,7 @@ def infer_types(df: DataFrame, json: str, order: list[str]) -> DataFrame:
     """Field and type of the first record's values; a top-1, so only that record is looked at."""
     first = df.sort(*order).limit(1).select(F.parse_json(json).alias("v"))
     date = r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{4}/\d{2}/\d{2})"
-    first.createOrReplaceTempView("__first")
-    rows = first.sparkSession.sql("SELECT f.key AS field, f.value AS value FROM __first, LATERAL variant_explode(v) f")
+    rows = df.sparkSession.sql("SELECT f.key AS field, f.value AS value FROM {d}, LATERAL variant_explode(v) f", d=first)
     kind = F.schema_of_variant("value")
     text = F.try_variant_get("value", "$", "string")
     out = F.when(kind == "BOOLEAN", "boolean").when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer").when(kind.rlike("DECIMAL|DOUBLE|FLOAT"), "float").when((kind == "STRING") & text.rlike(date), "date").otherwise("string")
