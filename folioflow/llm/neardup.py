@@ -203,7 +203,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a binary, b binary")
 
 
-def groups(df: DataFrame, text: Column, key: Column, least: float = 0.8, rounds: int = 2) -> DataFrame:
+def _finish(idf, least: float):
+    """Of members of a bucket (side 0 against side 1), links that join components: for each member of side 0 its similarity to all of side 1 of other components at once."""
+
+    def links(key, table):
+        import pyarrow.compute as pc
+
+        table = pa.concat_tables([table.filter(pc.equal(table["side"], 1)), table.filter(pc.equal(table["side"], 0))])
+        n_right = pc.sum(table["side"]).as_py() or 0
+        names, root_of = np.unique(np.array(table["label"].to_pylist(), dtype=object), return_inverse=True)
+        root = np.arange(len(names))
+        g = table["g"].to_pylist()
+        doc, h, w = shingles(as_bytes(table["text"].combine_chunks()), idf.value)
+        codes = np.unique(h, return_inverse=True)[1]
+        first = np.searchsorted(doc, np.arange(len(g) + 1))
+        total = np.bincount(doc, w, len(g))
+        cut = first[n_right]
+        dense = np.zeros(codes.max() + 1 if len(codes) else 1, np.float32)
+        out: list[tuple[bytes, bytes]] = []
+        for x in range(n_right, len(g) if n_right else 0):
+            other = root[root_of[:n_right]] != root[root_of[x]]
+            if not other.any():
+                continue
+            own = slice(first[x], first[x + 1])
+            dense[codes[own]] = w[own]
+            shared = np.add.reduceat(np.minimum(dense[codes[:cut]], w[:cut]), first[:n_right], dtype=np.float64)
+            dense[codes[own]] = 0
+            for y in np.flatnonzero(other & (shared >= (least - 1e-6) * (total[x] + total[:n_right] - shared))).tolist():
+                a, b = root[root_of[x]], root[root_of[y]]
+                if a != b:
+                    root[root == a] = b
+                    out.append((g[x], g[y]))
+        return pa.table({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
+
+    return links
+
+
+def groups(df: DataFrame, text: Column, key: Column, least: float = 0.8, block: int = 500) -> DataFrame:
     """A row for each row of df: key, g (the text's 128-bit digest), label and class_id, class_size, chosen.
 
     Classes are the connected components of the texts under links of weighted Jaccard similarity of at least least;
@@ -211,61 +247,54 @@ def groups(df: DataFrame, text: Column, key: Column, least: float = 0.8, rounds:
     is the least key of the class (null if all are), class_size counts its rows, chosen marks the rows that have
     class_id as key and the least text digest among such: one row, unless rows repeat.
 
-    Distinct texts meet in the buckets of their bands. In each of some rounds a bucket's members of other components
-    than its leader's are held against the leader: first the least member, then others by hash. What is left of a
-    bucket in more than one component is then compared in pairs across components, so that no link within a bucket is
-    lost; pairs that have been looked at are not looked at again. Buckets, leaders and labels meet in joins and in sums
-    of a row for each key and task; no bucket is gathered.
+    Distinct texts meet in the buckets of their bands. First each member of a bucket is held against the least one,
+    its leader; that takes a pair for each member and settles buckets of true copies, however large. In a bucket of
+    more than two that is then in several components, the members outside of the leader's component are held against
+    all of the bucket, in blocks of so many against so many, so that no link within a bucket is lost; a block is one
+    group of a task and gives links alone. Buckets, leaders and labels otherwise meet in joins and in sums of a row
+    for each key and task; no bucket is gathered.
     """
-    spark = df.sparkSession
     rows = df.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     n_docs, *idf = document_frequencies(rows, F.col("text"))
+    idf = tuple(idf)
     digest = F.unhex(F.md5("text"))
-    signed = written(with_bands(rows.select("key", digest.alias("g"), "text"), F.col("text"), tuple(idf)).drop("text"), "neardup-signed")
+    signed = written(with_bands(rows.select("key", digest.alias("g"), "text"), F.col("text"), idf).drop("text"), "neardup-signed")
     each = signed.groupBy("g").agg(F.first("bands").alias("bands")).select("g", F.explode("bands").alias("bucket"))
     each = written(each, "neardup-buckets")
     shared = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("g").alias("leader")).filter("n > 1")
-    members = written(each.join(shared, "bucket").select("bucket", "g", "leader"), "neardup-members")
+    members = written(each.join(shared, "bucket").select("bucket", "g", "leader", "n"), "neardup-members")
     active = members.select("g").distinct()
     texts = rows.withColumn("g", digest).join(active, "g", "left_semi").groupBy("g").agg(F.first("text").alias("text"))
     texts = written(texts, "neardup-texts")
 
-    tested = spark.createDataFrame([], "a binary, b binary")
-    links, labels = tested, members.select(F.col("g").alias("node"), F.col("g").alias("label")).distinct()
-    for k in range(rounds + 1):
-        if k == 0:
-            pairs = members.filter("g <> leader").select(F.col("leader").alias("a"), F.col("g").alias("b"))
-        else:
-            open_, one = _unresolved(members, labels, k)
-            if k < rounds:
-                pairs = open_.join(one, "bucket").filter("label <> lead_label").select(F.least("g", "lead").alias("a"), F.greatest("g", "lead").alias("b"))
-            else:
-                other = open_.select("bucket", F.col("g").alias("b"), F.col("label").alias("label_b"))
-                pairs = open_.withColumnRenamed("g", "a").join(other, "bucket").filter("a < b and label <> label_b").select("a", "b")
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs.distinct(), "neardup-pairs")
-        if k and pairs.isEmpty():
-            continue
-        tested = tested.union(pairs)
-        links = links.union(written(_verified(pairs, texts, tuple(idf), least), "neardup-links"))
-        found = components(links)
-        labels = written(members.select(F.col("g").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "neardup-labels")
+    pairs = members.filter("g <> leader").select(F.col("leader").alias("a"), F.col("g").alias("b")).distinct()
+    links = written(_verified(pairs, texts, idf, least), "neardup-links")
+    labels = _labels(active, links)
+
+    lead = labels.select(F.col("node").alias("leader"), F.col("label").alias("lead_label"))
+    named = members.filter("n > 2").join(labels.withColumnRenamed("node", "g"), "g").join(lead, "leader")
+    named = written(named.select("bucket", "g", "label", "n", (F.col("label") != F.col("lead_label")).alias("apart")), "neardup-named")
+    sizes = named.groupBy("bucket").agg(F.count_if("apart").alias("s")).filter("s > 0")
+    sized = named.join(sizes, "bucket").withColumns({"parts": F.ceil(F.col("s") / block), "all": F.ceil(F.col("n") / block)})
+    part, place = F.pmod(F.xxhash64("g"), F.col("parts")), F.pmod(F.xxhash64("g", F.lit(1)), F.col("all"))
+    left = sized.filter("apart").select("bucket", part.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"), "g", "label", F.lit(0).alias("side"))
+    right = sized.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), place.alias("j"), "g", "label", F.lit(1).alias("side"))
+    finish = _finish(df.sparkSession.sparkContext.broadcast(idf), least)
+    more = left.union(right).join(texts, "g").groupBy("bucket", "i", "j").applyInArrow(finish, "a binary, b binary")
+    labels = _labels(active, links.union(written(more, "neardup-more")))
 
     named = signed.select("key", "g").join(labels.withColumnRenamed("node", "g"), "g", "left").withColumn("label", F.coalesce("label", "g"))
-    named = written(named, "neardup-named")
+    named = written(named, "neardup-classes")
     best = named.groupBy("label").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "g")).alias("best"), F.count("*").alias("class_size"))
     out = named.join(best, "label")
     return out.select("key", "g", "label", F.col("best.key").alias("class_id"), "class_size", (F.col("key").eqNullSafe(F.col("best.key")) & (F.col("g") == F.col("best.g"))).alias("chosen"))
 
 
-def _unresolved(members: DataFrame, labels: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Members, with labels, of buckets in more than one component; and another leader for each, by hash."""
-    named = members.select("bucket", "g").join(labels.withColumnRenamed("node", "g"), "g")
-    lead = F.min(F.struct(F.xxhash64("g", "bucket", F.lit(k)).alias("h"), "g", "label")).alias("lead")
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), lead).filter("lo <> hi")
-    open_ = written(named.join(mixed.select("bucket"), "bucket", "left_semi"), "neardup-open")
-    one = mixed.select("bucket", F.col("lead.g").alias("lead"), F.col("lead.label").alias("lead_label"))
-    return open_, one
+def _labels(active: DataFrame, links: DataFrame) -> DataFrame:
+    """node and label of all texts that share a bucket."""
+    found = components(links)
+    nodes = active.withColumnRenamed("g", "node")
+    return written(nodes.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "neardup-labels")
 
 
 def keep_one(df: DataFrame, text: Column, key: str) -> DataFrame:
