@@ -38,10 +38,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the ids of each text, how many they are, their digest and that of the text that they decode to."""
+    """Adds the number of each text's ids, their digest and that of the text that they decode to."""
     import public_tokenizers
 
-    return pieces.round_trip(docs, F.col("text"), pieces.load(public_tokenizers.path("piece_bpe_32k.model"))).drop("decoded")
+    return pieces.round_trip(docs, F.col("text"), pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
 
 
 STAGES = [("language", language_id), ("quality", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pieces", piece_ids)]
