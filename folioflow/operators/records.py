@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.functions.hashing import record_hash
+from folioflow.sources.shared import shared_folder
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -81,13 +83,17 @@ def remove_empty(df: DataFrame, field: str) -> DataFrame:
 def positions(df: DataFrame, order: list[str]) -> DataFrame:
     """df with position, from 0 in the given order, which should be total.
 
-    Only the distinct values of the first column and their counts pass one task, not the rows.
+    Rows are dealt by ranges of the order and written, so that the ranges are fixed; a row's position is its place in
+    its range and the sizes of the ranges before. Only these sizes, one for each range, meet in one task.
     """
-    first = order[0]
-    ranks = df.groupBy(first).agg(F.count("*").alias("n"))
-    before = ranks.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy(first).orderBy(*order)
-    return df.withColumn("__i", F.row_number().over(within) - 1).join(before.select(first, "before"), first).withColumn("position", F.col("__i") + F.col("before")).drop("__i", "before")
+    spark = df.sparkSession
+    path = shared_folder(spark, "positions")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__range", T.IntegerType())])).parquet(path)
+    sizes = rows.groupBy("__range").agg(F.count("*").alias("n"))
+    before = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return rows.withColumn("position", place).join(F.broadcast(before), "__range").withColumn("position", F.col("position") + F.col("before")).drop("__range", "before")
 
 
 def remove_positions(df: DataFrame, order: list[str], places: list[int]) -> DataFrame:

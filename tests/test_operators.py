@@ -138,3 +138,11 @@ def test_office_files(spark, tmp_path):
     assert sorted(r["text"] for r in blocks.collect()) == ["One line", "café"] and tables.count() == 4
     assert files.discover_files(spark, str(tmp_path), ["*", "*.csv"]).count() == 4
     assert [(r["a"], r["b"]) for r in files.read_csv_strings(spark, str(tmp_path / "e.csv")).collect()] == [("1", "x, y"), ("2", "")]
+
+
+def test_approximate_search_finds_the_nearest(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked, all_ = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "embedding"), rows.select(F.col("vec_id").alias("v"), "embedding")
+    exact = {(r["q"], r["v"]) for r in retrieval.knn(asked, all_, "q", "v", "embedding", 10).collect()}
+    near = {(r["q"], r["v"]) for r in retrieval.lsh_knn(asked, all_, "q", "v", "embedding", 10).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
