@@ -11,6 +11,8 @@ distinct part is encoded once by a worker, up to a bound.
 
 from __future__ import annotations
 
+import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +25,9 @@ from folioflow.llm.arrow import append_columns
 
 SPACE = "▁"
 #: Parts that a worker remembers at least, and the length up to which it does.
-PARTS, PART_CHARS = 250_000, 48
+PARTS, PART_CHARS = 200_000, 48
+#: Rows whose ids are Python numbers at once.
+SLICE = 100
 
 
 def load(path: str) -> dict:
@@ -49,16 +53,27 @@ class Codec:
         self.alphabet = {c for p in self.ids for c in p}
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.automaton = ahocorasick.Automaton()
+        order = sorted(self.ids, key=lambda p: -self.scores[p])
+        self.rank = {p: i for i, p in enumerate(order)}
+        #: Of each piece that merging makes: the two that are merged last. Single characters are there from the start.
+        self.halves: dict[str, tuple[str, str]] = {}
         for p in {*self.ids, *self.alphabet}:
-            if self.merged(p) == [p]:  # others never come out of merging
+            parts, last = self._merged(p)
+            if parts == [p]:  # others never come out of merging
                 self.automaton.add_word(p, (p, len(p)))
+                if last:
+                    self.halves[p] = last
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.text_of = [None if k == "byte" else "" if k == "control" else " ⁇ " if k == "unknown" else p.replace(SPACE, " ") for p, k in zip(self.pieces, self.kinds, strict=True)]
 
     def merged(self, text: str) -> list[str]:
         """The definition: the adjacent pair whose joint piece scores highest is merged, the leftmost of equals, until none is left. For short texts."""
-        parts = list(text)
+        return self._merged(text)[0]
+
+    def _merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The parts, and the two that were merged last."""
+        parts, last = list(text), None
         while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -66,14 +81,38 @@ class Codec:
                 if score is not None and (best is None or score > best):
                     best, at = score, i
             if at < 0:
-                return parts
+                return parts, last
+            last = parts[at], parts[at + 1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def compatible(self, pair: tuple[str, str]) -> bool:
-        """Whether the two tokens, joined and merged anew, come out as they are."""
+        """Whether the two tokens, joined and merged anew, come out as they are.
+
+        They do unless a merge across their border comes before one inside of them. So merges are undone from the
+        latest on: what stands at the border then must not be a piece that merges before the merge just undone; of
+        equal merges the left one comes first. Runs of space signs have equal scores and are merged anew.
+        """
         if len(self.pairs) >= PARTS:
             self.pairs.clear()
-        found = self.pairs[pair] = self.merged(pair[0] + pair[1]) == [*pair]
+        a, b = pair
+        if a.startswith(SPACE * 2) or a == SPACE and b.startswith(SPACE):
+            found = self.merged(a + b) == [a, b]
+        else:
+            rank, halves, limit = self.rank, self.halves, len(self.rank)
+            while True:
+                across = rank.get(a + b)
+                if across is not None and across < limit:
+                    found = False
+                    break
+                when_a, when_b = rank[a] if a in halves else -1, rank[b] if b in halves else -1
+                if when_a > when_b:
+                    limit, a = when_a, halves[a][1]
+                elif when_b >= 0:
+                    limit, b = when_b + 1, halves[b][0]
+                else:
+                    found = True
+                    break
+        self.pairs[pair] = found
         return found
 
     def known_tokens(self, text: str) -> list[str]:
@@ -110,13 +149,15 @@ class Codec:
                 begin = i
         yield part[begin:]
 
-    def encode_stretch(self, text: str) -> list[int]:
+    def encode_stretch(self, text: str) -> bytes:
+        """The ids, as bytes of int32, of a stretch: over the alphabet, or one character outside of it."""
         if text[0] not in self.alphabet:  # alone, as it is in no piece
-            return [self.bytes[b] for b in text.encode()]
-        out: list[int] = []
-        for token in self.known_tokens(text):
-            out.extend([self.ids[token]] if token in self.ids else [self.bytes[b] for b in token.encode()])
-        return out
+            return array("i", [self.bytes[b] for b in text.encode()]).tobytes()
+        tokens = self.known_tokens(text)
+        try:
+            return array("i", [self.ids[t] for t in tokens]).tobytes()
+        except KeyError:  # a character that pieces hold, but that is none
+            return array("i", [i for t in tokens for i in ([self.ids[t]] if t in self.ids else [self.bytes[b] for b in t.encode()])]).tobytes()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: without the sign put before the first word; wrong byte runs become U+FFFD."""
@@ -156,8 +197,18 @@ class _Recent(dict):
 
 def _parts(codec: Codec) -> _Recent:
     """The ids, as bytes of int32, of a part given without its first space sign."""
-    stretch = _Recent(lambda x: np.array(codec.encode_stretch(x), np.int32).tobytes())
-    return _Recent(lambda key: b"".join([stretch[x] for x in codec.stretches(SPACE + key.replace(" ", SPACE))]))
+    stretch = _Recent(codec.encode_stretch)
+    inside, alphabet = codec.inside, codec.alphabet
+
+    def make(key: str) -> bytes:
+        if key.isalpha() and alphabet.issuperset(key):
+            return codec.encode_stretch(SPACE + key)
+        if key[-1:] in (",", ".") and key[:-1].isalpha() and key[-2:] not in inside:
+            return parts[key[:-1]] + stretch[key[-1]]
+        return b"".join([stretch[x] for x in codec.stretches(SPACE + key.replace(" ", SPACE))])
+
+    parts = _Recent(make)
+    return parts
 
 
 def parts_of(text: str) -> Iterator[str]:
@@ -173,6 +224,15 @@ def parts_of(text: str) -> Iterator[str]:
         yield " " * (spaces - 1)
 
 
+def _encoded(parts: _Recent, text: str | None) -> bytes:
+    """The ids of a text as bytes of int32."""
+    text = text.replace(SPACE, " ") if text else ""
+    if not text:
+        return b""
+    spaced = "  " in text or text[0] == " " or text[-1] == " "
+    return b"".join([parts[p] for p in (parts_of(text) if spaced else text.split(" "))])
+
+
 _held: dict[int, tuple[Codec, _Recent]] = {}
 
 
@@ -207,15 +267,7 @@ def encode(df: DataFrame, text: Column, model: dict, name: str = "ids") -> DataF
         _, parts = _codec(held)
 
         def work(texts: pa.Array):
-            rows = []
-            for x in texts.to_pylist():
-                x = x.replace(SPACE, " ") if x else ""
-                if not x:
-                    rows.append(b"")
-                elif "  " in x or x[0] == " " or x[-1] == " ":
-                    rows.append(b"".join([parts[p] for p in parts_of(x)]))
-                else:
-                    rows.append(b"".join([parts[p] for p in x.split(" ")]))
+            rows = [_encoded(parts, x) for x in texts.to_pylist()]
             offsets = np.zeros(len(rows) + 1, np.int32)
             np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
             return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))]
@@ -233,8 +285,13 @@ def decode(df: DataFrame, ids: Column, model: dict, name: str = "decoded") -> Da
         codec, _ = _codec(held)
 
         def work(rows: pa.Array):
-            flat, at = rows.values.to_numpy().tolist(), rows.offsets.to_pylist()
-            return [[codec.decode(flat[i:j]) for i, j in zip(at, at[1:])]]
+            out: list[str] = []
+            for k in range(0, len(rows), SLICE):  # as Python numbers ids take much more memory
+                some = rows.slice(k, SLICE)
+                at = some.offsets.to_pylist()
+                flat = some.values[at[0] : at[-1]].to_pylist()
+                out += [codec.decode(flat[i - at[0] : j - at[0]]) for i, j in zip(at, at[1:])]
+            return [out]
 
         return work
 
@@ -242,6 +299,27 @@ def decode(df: DataFrame, ids: Column, model: dict, name: str = "decoded") -> Da
 
 
 def round_trip(df: DataFrame, text: Column, model: dict) -> DataFrame:
-    """df with ids, decoded and the digests n_tokens, ids_sha256 and decoded_sha256."""
-    both = decode(encode(df, text, model), F.col("ids"), model)
-    return both.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256), "decoded_sha256": F.sha2("decoded", 256)})
+    """df with n_tokens, ids_sha256 (of the decimal ids, joined by commas) and decoded_sha256, from encoding each whole text and decoding its ids.
+
+    One pass, a row at a time: ids and decoded texts don't leave the task. Null and empty texts have no ids. Columns of
+    these names are replaced.
+    """
+    held = _Model(df.sparkSession, model)
+    fields = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+    def make():
+        codec, parts = _codec(held)
+
+        def work(texts: pa.Array):
+            n, ids_sha, decoded_sha = [], [], []
+            for k in range(0, len(texts), SLICE):
+                for x in texts.slice(k, SLICE).to_pylist():
+                    ids = np.frombuffer(_encoded(parts, x), np.int32).tolist()
+                    n.append(len(ids))
+                    ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                    decoded_sha.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+            return n, ids_sha, decoded_sha
+
+        return work
+
+    return append_columns(df, make, fields, {"text": text})

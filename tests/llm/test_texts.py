@@ -81,9 +81,11 @@ def test_pieces_equal_the_library(spark, sf, piece, odd):
         ids = library.encode(docs[r["doc_id"]] or "")
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
-    for r, (_, text) in zip(pieces.round_trip(odd, F.col("text"), model).collect(), ODD, strict=True):
+    coded = pieces.decode(pieces.encode(odd, F.col("text"), model), F.col("ids"), model)
+    for r, (_, text) in zip(pieces.round_trip(coded, F.col("text"), model).collect(), ODD, strict=True):
         ids = library.encode(text or "")
-        assert r["ids"] == ids and r["decoded"] == library.decode(ids)
+        assert r["ids"] == ids and r["decoded"] == library.decode(ids) and r["n_tokens"] == len(ids)
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
 def test_pieces_equal_the_library_on_any_text(piece):
