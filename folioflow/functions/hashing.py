@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,5 +64,3 @@ def unit(x: Column) -> Column:
     size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
     return F.transform(x, lambda v: F.when(size > 0, v.cast("double") / size).otherwise(0.0))
 
-
-PI = math.pi

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import name_similarity, normalize_name
+from folioflow.functions.text import name_similarity
 
 #: Names on the smaller side up to which every pair is scored from a broadcast.
 NAMES = 20_000
@@ -77,5 +77,3 @@ def find_structure(cache: DataFrame, keys: DataFrame, on: list[str], at: str) ->
     latest = cache.groupBy(*on).agg(F.max(at).alias(at))
     return keys.join(latest, on, "left")
 
-
-__all__ = ["find_structure", "fuzzy_map", "infer_types", "map_fields", "mapping_summary", "name_pairs", "normalize_name", "sample_context", "structure_registry", "unmapped"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow.operators import memory as M
@@ -95,7 +96,7 @@ def e10_memory_history(t):
 
 
 def _templates(t):
-    order = F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    order = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     return t.orders.select("o_custkey", order.alias("version"), F.lit("published").alias("status"), F.col("o_orderkey").alias("schema"))
 
 

@@ -28,10 +28,13 @@ def h4_record_hash(t):
     return H.protect(t.region.select("r_regionkey", "r_name")).select("r_regionkey", "_hash")
 
 
-@query("""SELECT doc_id, sha256(unhex(repeat('5c', 61)) || '') IS NOT NULL AS signed, true AS verified, false AS forged FROM documents""")
+_PADS = [bytes(k ^ b for k in b"key".ljust(64, b"\0")).hex() for b in (0x36, 0x5C)]
+
+
+@query(f"SELECT doc_id, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(text)))) AS signature, true AS verified, false AS forged FROM documents")
 def h5_hmac(t):
     sign = H.hmac_sign(F.col("text"), b"key")
-    return t.documents.select("doc_id", (F.length(sign) == 64).alias("signed"), H.hmac_verify(F.col("text"), b"key", sign).alias("verified"), H.hmac_verify(F.concat("text", F.lit("x")), b"key", sign).alias("forged"))
+    return t.documents.select("doc_id", sign.alias("signature"), H.hmac_verify(F.col("text"), b"key", sign).alias("verified"), H.hmac_verify(F.concat("text", F.lit("x")), b"key", sign).alias("forged"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) < 50 THEN 0.2 WHEN length(text) > 5000 THEN 0.5 ELSE 0.9 END AS quality FROM documents")
