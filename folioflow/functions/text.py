@@ -144,14 +144,22 @@ def extract_field(x: Column, name: str) -> Column:
 
 def keywords_simple(x: Column, most: int = 20) -> Column:
     """Words of letters, digits, - and _, over 2 long and no stop words, in order of first sight."""
-    words = F.split(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_\s\-]", ""), r"\s+")
-    return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(SIMPLE_STOP_WORDS))), 1, most)
+    return F.slice(F.array_distinct(F.filter(cleaned_words(x), lambda w: (F.length(w) > 2) & ~w.isin(SIMPLE_STOP_WORDS))), 1, most)
+
+
+def cleaned_words(x: Column) -> Column:
+    """The words of a text, lowered, of letters, digits, _ and - alone."""
+    return F.split(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_\s\-]", ""), r"\s+")
+
+
+def is_keyword(word: Column) -> Column:
+    """Whether the index takes a cleaned word: 2 bytes or more, no stop word."""
+    return (F.octet_length(word) >= 2) & ~word.isin(INDEX_STOP_WORDS)
 
 
 def keyword_tokens(x: Column) -> Column:
-    """The index's words, with repeats: 2 bytes or more after cleaning, no stop words."""
-    words = F.split(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_\s\-]", ""), r"\s+")
-    return F.filter(words, lambda w: (F.octet_length(w) >= 2) & ~w.isin(INDEX_STOP_WORDS))
+    """The index's words, with repeats."""
+    return F.filter(cleaned_words(x), is_keyword)
 
 
 def classify_command(x: Column) -> Column:
