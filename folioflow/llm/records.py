@@ -15,6 +15,7 @@ that a reader can take records in any order.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from folioflow.llm.arrow import as_bytes, scratch
 
 NO_KEY = -(1 << 63)
-PARTS = 300_000
+#: Parts of texts that a worker remembers at least.
+PARTS = 350_000
 _MASK = 0xA282EAD8
 
 
@@ -53,38 +55,95 @@ def unframed(read: Callable[[int], bytes]) -> Iterator[bytes]:
         yield data
 
 
+class _Recent:
+    """Ids of the latest parts: of those used since the last turn, and of those before it that are asked for again."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.young) >= PARTS:
+            self.old, self.young = self.young, {}
+
+    def get(self, key: str) -> bytes | None:
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.young[key] = value
+        return value
+
+
+#: A space that a part may not begin with, to be safe: no visible ASCII character or letter follows.
+_UNSAFE = re.compile(r" (?![!-~]|[^\W\d_])")
+#: Lines of visible ASCII characters and Latin letters; a space may begin the first.
+_PLAIN = re.compile(r" ?[!-~À-ÖØ-öø-ɏ]+(?:\n[!-~À-ÖØ-öø-ɏ]+)*")
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    A text is parted before each single space that a character other than white space follows. The byte-level
-    pre-tokenizer never reads across such a place (a space goes with the word behind it), so the parts' ids in order
-    are the text's ids, and the library encodes every distinct part once, as long as it is remembered.
+    A text is parted before each space that a visible character follows, and those parts around single line feeds
+    between visible characters and before a full stop or comma at the end of a word. The byte-level pre-tokenizer never reads across such a place (a space goes with the word
+    behind it), so the parts' ids in order are the text's ids. The library encodes every distinct part once, as long as
+    it is remembered; many at a time, joined by line feeds, whose ids part them again.
     """
 
     def __init__(self, tokenizer: str, dtype: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_str(tokenizer), dtype
-        self.known: dict[str, bytes] = {}
+        feed = self._ids("\n")
+        self.feed = feed[0] if len(feed) == 1 else None
+        self.feed_bytes = np.array(feed, dtype).tobytes()
+        self.marks = {x: np.array(self._ids(x) if x else [], dtype).tobytes() for x in ("", ".", ",")}
+        self.known, self.lines = _Recent(), _Recent()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
+        self.known.turn()
+        self.lines.turn()
         rows = [self._parts(x) for x in texts]
-        if len(self.known) > PARTS:
-            self.known.clear()
-        new = [x for x in {p for row in rows for p in row} if x not in self.known]
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[x] = np.array(e.ids, self.dtype).tobytes()
-        known, last = self.known, np.array([end], self.dtype).tobytes()
-        return [b"".join([*[known[p] for p in row], last]) for row in rows]
+        found = [list(map(self.known.young.get, row)) for row in rows]
+        new = {p for row, ids in zip(rows, found, strict=True) if None in ids for p, x in zip(row, ids, strict=True) if x is None}
+        new = {p for p in new if self.known.get(p) is None}
+        forms = [(p, [self._stem(x) for x in p.split("\n")]) for p in new if self.feed is not None and _PLAIN.fullmatch(p)]
+        self._learn({stem for _, form in forms for stem, _ in form})
+        known, lines, marks = self.known.young, self.lines.young, self.marks
+        for p, form in forms:
+            known[p] = self.feed_bytes.join([lines[stem] + marks[mark] for stem, mark in form])
+        for p in new - known.keys():
+            known[p] = np.array(self._ids(p), self.dtype).tobytes()
+        last = np.array([end], self.dtype).tobytes()
+        return [b"".join([*(ids if None not in ids else [x if x is not None else known[p] for p, x in zip(row, ids, strict=True)]), last]) for row, ids in zip(rows, found, strict=True)]
+
+    @staticmethod
+    def _stem(line: str) -> tuple[str, str]:
+        """A line without the full stop or comma that ends it behind a letter, and that mark, which is a word of its own."""
+        return (line[:-1], line[-1]) if len(line) > 1 and line[-1] in ".," and line[-2].isalpha() else (line, "")
+
+    def _learn(self, lines: set[str]) -> None:
+        todo = sorted(x for x in lines if self.lines.get(x) is None)
+        for i in range(0, len(todo), 5000):
+            some = todo[i : i + 5000]
+            ids = np.array(self._ids("\n".join(some)), self.dtype)
+            cuts = np.flatnonzero(ids == self.feed)
+            if len(cuts) == len(some) - 1:
+                for x, a, b in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                    self.lines.young[x] = ids[a:b].tobytes()
+            else:  # another token holds a line feed
+                for x in some:
+                    self.lines.young[x] = np.array(self._ids(x), self.dtype).tobytes()
 
     @staticmethod
     def _parts(text: str) -> list[str]:
         first, *rest = text.split(" ")
+        if _UNSAFE.search(text) is None:
+            return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
         out = [first] if first else []
         for p in rest:
-            if p and p[0] > " " and not p[0].isspace() and (p[0] < "\x7f" or p[0].isalpha()) or not out:
+            if not out or _UNSAFE.match(" " + p) is None:
                 out.append(" " + p)
             else:
                 out[-1] += " " + p
