@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that are worked on at once, unless a single text is longer.
-RUN_BYTES = 1 << 22
+RUN_BYTES = 1 << 20
 #: Odd multipliers of the rolling hashes, modulo 2**64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
