@@ -163,3 +163,16 @@ def test_sharding_odd_rows_and_differencing(spark, odd):
     sums, to = sharding.difference(parts, 4)
     assert max(sums) - min(sums) <= 3 and all(sorted(t) == [0, 1, 2, 3] for t in to)
     assert list(sums) == [sum(p[k] for p, t in zip(parts, to) for k in range(4) if t[k] == w) for w in range(4)]
+
+
+def test_sharding_keeps_balance_above_the_groups_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUPS_A_TASK", 500)
+    rng = np.random.default_rng(4)
+    small = rng.integers(100, 3000, 6000).tolist()
+    sizes = [*small, int(sum(small) * 0.055 / 0.945)]
+    groups = spark.createDataFrame([(str(i).encode(), x) for i, x in enumerate(sizes)], "g binary, bytes long")
+    where, sums = sharding.assign(groups, 16)
+    got = {int(r["g"]): r["shard"] for r in where.collect()}
+    assert sorted(got) == list(range(len(sizes)))
+    assert sums == [sum(x for i, x in enumerate(sizes) if got[i] == s) for s in range(16)]
+    assert max(sums) * 16 / sum(sizes) < 1.001
