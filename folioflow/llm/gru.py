@@ -111,52 +111,64 @@ def score(w: dict[str, np.ndarray], bounds: np.ndarray, texts: list[np.ndarray],
     return out
 
 
-def learn(w: dict[str, np.ndarray], bounds: np.ndarray, texts: list[np.ndarray], rate: float, window: int = 32, together: int = 64, seed: int = 1) -> dict[str, np.ndarray]:
-    """One pass over the texts by truncated backpropagation: gradients stop at a window's begin, the state does not."""
+class Moments:
+    """The optimizer's running means and its number of steps, carried from run to run of a task's texts."""
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        self.step = 0
+        self.means = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
+
+
+def learn(w: dict[str, np.ndarray], bounds: np.ndarray, texts: list[np.ndarray], rate: float, window: int = 32, together: int = 64, seed: int = 1, moments: Moments | None = None) -> dict[str, np.ndarray]:
+    """One pass over the texts by truncated backpropagation: gradients stop at a window's begin, the state does not.
+
+    With moments, which are changed, the pass goes on where the one before ended.
+    """
     w = {k: v.copy() for k, v in w.items()}
     size = w["wh"].shape[0]
     batch = Batch(texts, len(w["emb"]) - 1)
-    means = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
+    moments = moments or Moments(w)
     blocks = np.random.default_rng(seed).permutation(range(0, len(texts), together))
-    step = 0
     for lo in blocks.tolist():
         first = batch.first[lo : lo + together]
         longest = batch.n[batch.order[lo]]
         h = np.zeros((len(first), size), np.float32)
         for t0 in range(0, longest, window):
-            held, where = [], []
-            for t in range(t0, min(t0 + window, longest)):
-                k = min(batch.active[t] - lo, len(first))
-                ids = batch.flat[first[:k] + t]
-                x, before = w["emb"][ids], h[:k]
-                gx, gh = x @ w["wx"] + w["b"], before @ w["wh"]
+            held = []
+            where = np.minimum(batch.active[t0 : min(t0 + window, longest)] - lo, len(first)).tolist()
+            cuts = np.cumsum([0, *where])
+            at = np.concatenate([first[:k] + t0 + i for i, k in enumerate(where)])
+            ids = batch.flat[at]
+            x = w["emb"][ids]
+            given = x @ w["wx"] + w["b"]
+            for i, k in enumerate(where):
+                before, gx = h[:k], given[cuts[i] : cuts[i + 1]]
+                gh = before @ w["wh"]
                 zr = _sigmoid(gx[:, : 2 * size] + gh[:, : 2 * size])
                 z, r = zr[:, :size], zr[:, size:]
                 n = np.tanh(gx[:, 2 * size :] + r * gh[:, 2 * size :])
                 h = n + z * (before - n)
-                held.append((ids, x, before, z, r, n, gh[:, 2 * size :], h))
-                where.append(k)
-            at = np.concatenate([first[:k] + t0 + i + 1 for i, k in enumerate(where)])
-            _, grads, dh = _outputs(w, bounds, np.concatenate([x[-1] for x in held]), batch.flat[at], True)
-            grads |= {k: np.zeros_like(w[k]) for k in ("emb", "wx", "wh", "b")}
-            cuts = np.cumsum([0, *where])
+                held.append((before, z, r, n, gh[:, 2 * size :], h))
+            _, grads, dh = _outputs(w, bounds, np.concatenate([v[-1] for v in held]), batch.flat[at + 1], True)
+            all_dgx = np.empty_like(given)
+            all_dgh = np.empty_like(given)
             later = np.zeros((0, size), np.float32)
             for i in range(len(held) - 1, -1, -1):
-                ids, x, before, z, r, n, ghn, _ = held[i]
+                before, z, r, n, ghn, _ = held[i]
                 d = dh[cuts[i] : cuts[i + 1]].astype(np.float32)
                 d[: len(later)] += later
                 dn = d * (1 - z) * (1 - n * n)
-                dgx = np.concatenate([d * (before - n) * z * (1 - z), dn * ghn * r * (1 - r), dn], axis=1)
-                dgh = np.concatenate([dgx[:, : 2 * size], dn * r], axis=1)
-                grads["wh"] += before.T @ dgh
-                grads["wx"] += x.T @ dgx
-                grads["b"] += dgx.sum(axis=0)
-                np.add.at(grads["emb"], ids, dgx @ w["wx"].T)
+                dgx, dgh = all_dgx[cuts[i] : cuts[i + 1]], all_dgh[cuts[i] : cuts[i + 1]]
+                dgx[:, :size], dgx[:, size : 2 * size], dgx[:, 2 * size :] = d * (before - n) * z * (1 - z), dn * ghn * r * (1 - r), dn
+                dgh[:, : 2 * size], dgh[:, 2 * size :] = dgx[:, : 2 * size], dn * r
                 later = d * z + dgh @ w["wh"].T
-            step += 1
+            grads |= {"wh": np.concatenate([v[0] for v in held]).T @ all_dgh, "wx": x.T @ all_dgx, "b": all_dgx.sum(axis=0), "emb": np.zeros_like(w["emb"])}
+            np.add.at(grads["emb"], ids, all_dgx @ w["wx"].T)
+            moments.step += 1
+            step = moments.step
             for k, v in w.items():
                 g = grads[k] / len(at)
-                a, s = means[k]
+                a, s = moments.means[k]
                 a += 0.1 * (g - a)
                 s += 0.01 * (g * g - s)
                 v -= rate * (a / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)

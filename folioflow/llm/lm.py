@@ -20,6 +20,8 @@ from folioflow.llm.arrow import BYTE_BASE, append_columns, as_bytes, in_runs, jo
 from folioflow.llm.neardup import _grouped
 
 HEAD, WORDS, CLASSES, STATE = 1 << 20, 1023, 32, 16
+#: Tokens that a task learns from at once, unless a run of texts has more; a task's texts are never all in memory.
+TOGETHER = 1 << 20
 #: The hash that stands for the end of a text.
 END = np.uint64(0)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -100,37 +102,38 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy(), n, v)
 
 
-def train(df: DataFrame, text: Column, key: Column, vocab: Vocabulary, part: float = 1 / 16, least: int = 2000, rounds: int = 2, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """The recurrent model's weights, from the given part of the texts (or about least of them, if that is more) by the key's hash.
+def train(df: DataFrame, text: Column, key: Column, vocab: Vocabulary, rounds: int = 2, rate: float = 0.01) -> dict[str, np.ndarray]:
+    """The recurrent model's weights, from all texts.
 
-    So the training texts grow with the input. In each round every task learns from its own texts, beginning with the
-    same weights; the mean of the results, by tokens, starts the next round. The mean is taken in Spark; the driver gets
-    a value for each weight.
+    In each round every task learns from its own texts, a run of them at a time, beginning with the same weights; the
+    mean of the results, by tokens, starts the next round. The mean is taken in Spark; the driver gets a value for each
+    weight. The key has no part in it.
     """
     weights = gru.start(vocab.counts, (vocab.middle, vocab.rare), vocab.bounds, STATE)
-    rows = df.select(F.coalesce(text, F.lit("")).alias("text"), F.coalesce(key.cast("string"), F.lit("")).alias("key"))
-    share = max(part, least / max(1, rows.count()))
-    sample = written(rows.filter(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 24)) < share * (1 << 24)).select("text"), "lm-sample")
-    context = sample.sparkSession.sparkContext
+    rows = df.select(F.coalesce(text, F.lit("")).alias("text"))
+    context = df.sparkSession.sparkContext
     for k in range(rounds):
         held = context.broadcast((weights, vocab))
 
         def learn(batches, held=held, k=k):
             own, words = held.value
-            raw = [x for b in batches for x in as_bytes(b.column(0))]
-            if not raw:
+            learnt, moments, n, texts, size = own, gru.Moments(own), 0, [], 0
+            for b in batches:
+                raw = as_bytes(b.column(0))
+                for i, j in in_runs(raw):
+                    tokens, first = _tokens(raw[i:j])
+                    texts += np.split(words.symbols(tokens)[0], first[1:-1])
+                    n, size = n + len(tokens), size + len(tokens)
+                    if size >= TOGETHER:
+                        learnt, texts, size = gru.learn(learnt, words.bounds, texts, rate / (1 + 2 * k), seed=k, moments=moments), [], 0
+            if texts:
+                learnt = gru.learn(learnt, words.bounds, texts, rate / (1 + 2 * k), seed=k, moments=moments)
+            if not n:
                 return
-            texts, n = [], 0
-            for i, j in in_runs(raw):
-                tokens, first = _tokens(raw[i:j])
-                symbols, _ = words.symbols(tokens)
-                texts += np.split(symbols, first[1:-1])
-                n += len(tokens)
-            learnt = gru.learn(own, words.bounds, texts, rate / (1 + 2 * k), seed=k)
             flat = np.concatenate([learnt[x].ravel() for x in gru.NAMES])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat.astype(np.float64) * n), pa.array(np.full(len(flat), float(n)))], names=["i", "s", "n"])
 
-        means = sample.mapInArrow(learn, "i long, s double, n double").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("w")).toArrow()
+        means = rows.mapInArrow(learn, "i long, s double, n double").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("w")).toArrow()
         if not means.num_rows:
             break
         flat = np.zeros(means.num_rows)

@@ -2,6 +2,7 @@
 
 import math
 import re
+import types
 import zlib
 from collections import Counter
 
@@ -80,6 +81,24 @@ def test_gradients_are_those_of_the_loss(monkeypatch):
                 assert abs((w[k] - step[k]).flat[i] - g / (abs(g) + 1e-6)) < 0.02, k
 
 
+def test_every_training_text_reaches_the_weights(spark, monkeypatch):
+    rows = [(i, f"word{i % 50} and the next {i}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    vocab = lm.vocabulary(lm.count_tokens(df, F.col("text")))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(w, bounds, texts, *args, learn=gru.learn, **given):
+        seen.add(len(texts))
+        return learn(w, bounds, texts, *args, **given)
+
+    monkeypatch.setattr(lm, "gru", types.SimpleNamespace(**{k: v for k, v in vars(gru).items() if not k.startswith("_")} | {"learn": counted}))
+    for together in (1 << 20, 2000):
+        monkeypatch.setattr(lm, "TOGETHER", together, raising=False)
+        before = seen.value
+        lm.train(df, F.col("text"), F.col("doc_id"), vocab, rounds=1)
+        assert seen.value - before == len(rows)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "The the THE"), (5, "É é " * 30000), (6, "new"), (6, "new"), (None, "words with no key")]
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double")
