@@ -223,7 +223,7 @@ def parse_field_defs(df: DataFrame, key: str, text: str) -> DataFrame:
     header = r"(?i)field\s*name.*data\s*type.*(length|format).*(special|notes|instruction)"
     rows = df.select(key, F.posexplode(F.split(blank(F.col(text)), "\n")).alias("i", "line"))
     w = Window.partitionBy(key).orderBy("i")
-    cols = F.filter(F.transform(F.split(strip(F.col("line")), r"\t+| {2,}"), F.trim), lambda c: c != "")
+    cols = F.filter(F.transform(F.split(strip(F.col("line")), r"\t+| {2,}"), lambda c: F.trim(c)), lambda c: c != "")
     stop = F.col("line").rlike(r"^[A-Z][A-Z0-9\s/\-]{0,80}$")
     rows = rows.withColumn("cols", cols).withColumn("state", F.when(F.col("line").rlike(header), 1).when(stop, 0))
     rows = rows.withColumn("inside", F.last("state", ignorenulls=True).over(w)).filter("inside = 1 and state is null")
@@ -232,7 +232,7 @@ def parse_field_defs(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.withColumn("new", starts.cast("int")).withColumn("field", F.sum("new").over(w)).filter("field > 0 and trim(line) <> ''")
     made = rows.groupBy(key, "field").agg(F.array_sort(F.collect_list(F.struct("i", "line", "cols"))).alias("r"))
     first = F.col("r")[0]["cols"]
-    special = F.trim(F.concat_ws(" ", F.array_join(F.slice(first, 4, 100), " "), F.array_join(F.transform(F.slice("r", 2, 1000), lambda x: F.trim(x["line"])), " ")))
+    special = F.trim(F.concat_ws(" ", F.array_join(F.slice(first, 4, F.size(first)), " "), F.array_join(F.transform(F.slice("r", 2, F.size("r")), lambda x: F.trim(x["line"])), " ")))
     return made.select(
         key,
         first[0].alias("name"),
@@ -240,5 +240,5 @@ def parse_field_defs(df: DataFrame, key: str, text: str) -> DataFrame:
         F.coalesce(F.get(first, F.lit(2)), F.lit("")).alias("length_format"),
         special.alias("special"),
         F.when(F.array_join(first, " ").rlike(r"(?i)\b(required|mandatory)\b"), True).when(F.array_join(first, " ").rlike(r"(?i)\boptional\b"), False).alias("required"),
-        F.filter(F.transform(F.split(F.regexp_extract(F.array_join(F.slice(first, 4, 100), " "), r"(?i)(?:allowed|valid|values?)\s*:\s*(.+)", 1), "[,;|]"), strip), lambda v: v != "").alias("allowed"),
+        F.filter(F.transform(F.split(F.regexp_extract(F.array_join(F.slice(first, 4, F.size(first)), " "), r"(?i)(?:allowed|valid|values?)\s*:\s*(.+)", 1), "[,;|]"), strip), lambda v: v != "").alias("allowed"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.sources.shared import shared_folder
+
 
 def not_expired(expires: Column, now: Column) -> Column:
     """No expiry, or one after now."""
@@ -73,21 +75,28 @@ def update_memory(nodes: DataFrame, edges: DataFrame, updates: DataFrame) -> tup
     return kept.unionByName(made.select(*nodes.columns)), edges.unionByName(edge).distinct()
 
 
-def memory_history(edges: DataFrame, ids: DataFrame, rounds: int = 64) -> DataFrame:
+def memory_history(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, step, node): each id's chain of predecessors along `updates` edges (src updates dst), from itself at step 0.
 
-    Chains are followed by doubling: after k joins every node knows its ancestors up to 2**k steps, so long chains take
-    few joins; intermediate tables are checkpointed. A cycle ends where a node comes again.
+    Chains are followed by doubling to their ends: after k joins every node knows its ancestors up to 2**k steps, so
+    long chains take few joins; each round's new pairs are written to a shared folder. A cycle ends where a node comes
+    again, since pairs already reached are left out.
     """
-    hop = edges.filter("type = 'updates'").groupBy("src").agg(F.min("dst").alias("dst"))
-    reach = hop.select(F.col("src").alias("id"), F.lit(1).alias("step"), F.col("dst").alias("node"))
+    spark = edges.sparkSession
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = shared_folder(spark, "history")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    hop = edges.filter("type = 'updates'").groupBy("src").agg(F.min("dst").alias("dst")).filter("src <> dst")
+    reach = kept(hop.select(F.col("src").alias("id"), F.lit(1).alias("step"), F.col("dst").alias("node")))
     length = 1
-    while length < rounds:
+    while True:
         # what is reached in exactly `length` steps goes on with that node's own chain
         tips = reach.filter(F.col("step") == length)
         further = tips.join(reach.select(F.col("id").alias("node"), F.col("step").alias("s"), F.col("node").alias("n")), "node").select("id", (F.col("step") + F.col("s")).alias("step"), F.col("n").alias("node"))
-        if edges.sparkSession.sparkContext.getCheckpointDir() or edges.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
-            further = further.checkpoint()
+        further = kept(further.filter("id <> node").join(reach.select("id", "node"), ["id", "node"], "left_anti").select("id", "step", "node"))
         if further.isEmpty():
             break
         reach = reach.unionByName(further)

@@ -67,6 +67,23 @@ def test_history_ends_in_cycles(spark):
     assert sorted(r["node"] for r in got if r["id"] == 40) == list(range(41)) and {r["node"] for r in got if r["id"] == 100} == {100, 101}
 
 
+def test_history_of_a_long_chain_is_whole(spark):
+    long, ring = 150, 90
+    rows = [(i, i - 1, "updates") for i in range(1, long + 1)] + [(1000 + i, 1000 + (i + 1) % ring, "updates") for i in range(ring)] + [(2000, 1000, "updates"), (3000, 3000, "updates")]
+    edges = spark.createDataFrame(rows, "src long, dst long, type string")
+    got = memory.memory_history(edges, spark.createDataFrame([(long,), (1000,), (2000,), (3000,), (9999,)], "id long")).collect()
+    steps = {(r["id"], r["node"]): r["step"] for r in got}
+    want = {(long, long - i): i for i in range(long + 1)} | {(1000, 1000 + i): i for i in range(ring)} | {(2000, 1000 + i): i + 1 for i in range(ring)} | {(k, k): 0 for k in (2000, 3000, 9999)}
+    assert len(got) == len(want) and steps == want
+
+
+def test_field_defs_keep_all_lines_and_columns(spark):
+    row = "size\tint\tn\t" + "\t".join(f"c{i}" for i in range(150))
+    text = "\n".join(["Field Name\tData Type\tLength\tSpecial", row, *(f"more{i}" for i in range(1500))])
+    got = chunks.parse_field_defs(spark.createDataFrame([(1, text)], "k long, t string"), "k", "t").collect()
+    assert [r["special"] for r in got] == [" ".join([*(f"c{i}" for i in range(150)), *(f"more{i}" for i in range(1500))])]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(1)
     rows = [(i, f"2024-01-01 00:{rng.randrange(60):02d}:{rng.randrange(60):02d}", rng.randrange(4)) for i in range(300)]
