@@ -88,7 +88,7 @@ def _em(like: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray, all
     return share, np.add.reduceat(whole, first)
 
 
-def _mixtures(texts: list[bytes], table: np.ndarray, rounds: int, most: int, penalty: float) -> np.ndarray:
+def _mixtures(texts: list[bytes], table: np.ndarray, rounds: int, penalty: float) -> np.ndarray:
     """The proportions of each language in each text; 0 outside of its set and where it has no letter."""
     out = np.zeros((len(texts), len(table)), np.float32)
     bucket, begins, doc_of = _trigrams(texts)
@@ -107,7 +107,7 @@ def _mixtures(texts: list[bytes], table: np.ndarray, rounds: int, most: int, pen
     if len(table) > 1:
         full, _ = _em(like, doc, first, n, np.ones_like(best), rounds)
         order = np.argsort(-full, axis=1, kind="stable")
-        for k in range(2, min(most, len(table)) + 1):
+        for k in range(2, len(table) + 1):
             allowed = np.zeros_like(best)
             np.put_along_axis(allowed, order[:, :k], 1, axis=1)
             share, fit = _em(like, doc, first, n, allowed, rounds)
@@ -118,11 +118,11 @@ def _mixtures(texts: list[bytes], table: np.ndarray, rounds: int, most: int, pen
     return out
 
 
-def identify(df: DataFrame, text: Column, langs: list[str], table: np.ndarray, rounds: int = 8, most: int = 3, penalty: float = 2.0) -> DataFrame:
+def identify(df: DataFrame, text: Column, langs: list[str], table: np.ndarray, rounds: int = 8, penalty: float = 2.0) -> DataFrame:
     """df with lang_pred (the largest proportion's language), score (that proportion), langs and shares (the set chosen).
 
     A null text or one without a letter has `und`, score 0 and empty lists; so has every text if no language was
-    learned. Equal proportions: the first in alphabetical order. Whole texts of any length count. Columns of df with
+    learned. Sets of every size up to all languages are tried. Equal proportions: the first in alphabetical order. Whole texts of any length count. Columns of df with
     these names are replaced; all others and repeated rows stay.
     """
     held = df.sparkSession.sparkContext.broadcast((langs, table))
@@ -135,7 +135,7 @@ def identify(df: DataFrame, text: Column, langs: list[str], table: np.ndarray, r
             raw = [x if y else b"" for x, y in zip(raw, some, strict=True)]
             pred, score, sets, parts = [], [], [], []
             for i, j in in_runs(raw):
-                share = _mixtures(raw[i:j], weights, rounds, most, penalty) if names else np.zeros((j - i, 1), np.float32)
+                share = _mixtures(raw[i:j], weights, rounds, penalty) if names else np.zeros((j - i, 1), np.float32)
                 top = share.argmax(axis=1)
                 for row, k in zip(share, top, strict=True):
                     if row[k] <= 0:

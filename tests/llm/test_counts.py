@@ -51,6 +51,15 @@ def test_language_mixture_and_odd_rows(spark, sf, odd):
     assert {r["lang_pred"] for r in language.identify(odd, F.col("text"), [], np.zeros((0, language.BUCKETS), np.float32)).collect()} == {"und"}
 
 
+def test_language_sets_may_hold_all_languages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    langs, table = language.train(docs, F.col("text"), F.col("lang"), F.col("doc_id"))
+    texts = {r["lang"]: r["text"][:600] for r in docs.filter("n_chars between 600 and 4000 and not text rlike '[#|!$]'").collect()}
+    assert len(langs) == 4 and set(texts) == set(langs)
+    row = language.identify(spark.createDataFrame([(1, "\n".join(texts.values()))], "id long, text string"), F.col("text"), langs, table).first()
+    assert set(row["langs"]) == set(langs) and row["score"] < 0.4
+
+
 def brute_contamination(texts: dict, items: list) -> dict:
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x)
