@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.arrow import as_bytes, scratch
+from folioflow.llm.arrow import as_bytes, in_runs, scratch
 
 NO_KEY = -(1 << 63)
 #: Parts of texts that a worker remembers at least.
-PARTS = 350_000
+PARTS = 400_000
+#: Bytes of text encoded at once: the more, the fewer distinct parts are looked up again.
+RUN = 4 << 20
 _MASK = 0xA282EAD8
 
 
@@ -59,95 +61,138 @@ class _Recent:
     """Ids of the latest parts: of those used since the last turn, and of those before it that are asked for again."""
 
     def __init__(self):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def turn(self) -> None:
         if len(self.young) >= PARTS:
             self.old, self.young = self.young, {}
 
-    def get(self, key: str) -> bytes | None:
+    def get(self, key: bytes) -> bytes | None:
         value = self.young.get(key)
         if value is None and (value := self.old.get(key)) is not None:
             self.young[key] = value
         return value
 
 
-#: A space that a part may not begin with, to be safe: no visible ASCII character or letter follows.
-_UNSAFE = re.compile(r" (?![!-~]|[^\W\d_])")
-#: Lines of visible ASCII characters and Latin letters; a space may begin the first.
-_PLAIN = re.compile(r" ?[!-~À-ÖØ-öø-ɏ]+(?:\n[!-~À-ÖØ-öø-ɏ]+)*")
+# Kinds of bytes. Bytes from 0x80 to 0xBF and the lead bytes of U+00C0 to U+027F are of letters, but for the two signs
+# among these; a text with any byte of the last kind is left to the library as a whole.
+_LETTER, _DIGIT, _OTHER, _SPACE, _BLANK, _END, _UNSURE = range(7)
+_KIND = np.full(256, _UNSURE, np.uint8)
+_KIND[0x21:0x7F] = _OTHER
+_KIND[0x30:0x3A] = _DIGIT
+for _a, _b in ((0x41, 0x5B), (0x61, 0x7B), (0x80, 0xC0), (0xC3, 0xCA)):
+    _KIND[_a:_b] = _LETTER
+_KIND[[9, 10, 13]] = _BLANK
+_KIND[0x20], _KIND[0] = _SPACE, _END
+_SIGNS = re.compile(b"\xc3[\x97\xb7]")
+_APOSTROPHE = ord("'")
+# fixed values: endings that the byte-level pre-tokenizer cuts off behind an apostrophe
+_ENDINGS = [b"s", b"t", b"m", b"d", b"re", b"ve", b"ll"]
+
+
+def _begins(buf: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Whether a part of the byte-level pre-tokenizer begins at each byte of texts that each end with a 0, as three more do.
+
+    Letters, digits and other characters make parts, with one space before them; of other white space the last
+    character stands alone if a text goes on behind it, and a run at the text's end is one part.
+    """
+    blank = (kind == _SPACE) | (kind == _BLANK)
+    ended = kind == _END
+    begins = np.ones(len(buf), bool)
+    begins[1:] = np.where(blank[1:], ~blank[:-1], (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE))
+    begins[:-1] |= blank[:-1] & ~blank[1:] & ~ended[1:]
+    begins |= ended
+    at = np.flatnonzero((buf == _APOSTROPHE) & begins)
+    for ending in _ENDINGS:
+        found = at
+        for k, x in enumerate(ending):
+            found = found[buf[found + 1 + k] == x]
+        begins[found + 1] = False
+        begins[found + 1 + len(ending)] = True
+    return begins
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    A text is parted before each space that a visible character follows, and those parts around single line feeds
-    between visible characters and before a full stop or comma at the end of a word. The byte-level pre-tokenizer never reads across such a place (a space goes with the word
-    behind it), so the parts' ids in order are the text's ids. The library encodes every distinct part once, as long as
-    it is remembered; many at a time, joined by line feeds, whose ids part them again.
+    Many texts are parted at once, in numpy, as the byte-level pre-tokenizer parts each; Arrow's dictionary tells the
+    distinct parts, and the library's model encodes each of these once, as long as it is remembered. Texts with
+    characters other than ASCII ones and Latin letters, with control characters or with an added token, and all texts
+    under another kind of tokenizer, are encoded by the library as they are.
     """
 
     def __init__(self, tokenizer: str, dtype: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.dtype = Tokenizer.from_str(tokenizer), dtype
-        feed = self._ids("\n")
-        self.feed = feed[0] if len(feed) == 1 else None
-        self.feed_bytes = np.array(feed, dtype).tobytes()
-        self.marks = {x: np.array(self._ids(x) if x else [], dtype).tobytes() for x in ("", ".", ",")}
-        self.known, self.lines = _Recent(), _Recent()
+        import json
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        from tokenizers import Tokenizer
 
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        self.known.turn()
-        self.lines.turn()
-        rows = [self._parts(x) for x in texts]
-        found = [list(map(self.known.young.get, row)) for row in rows]
-        new = {p for row, ids in zip(rows, found, strict=True) if None in ids for p, x in zip(row, ids, strict=True) if x is None}
-        new = {p for p in new if self.known.get(p) is None}
-        forms = [(p, [self._stem(x) for x in p.split("\n")]) for p in new if self.feed is not None and _PLAIN.fullmatch(p)]
-        self._learn({stem for _, form in forms for stem, _ in form})
-        known, lines, marks = self.known.young, self.lines.young, self.marks
-        for p, form in forms:
-            known[p] = self.feed_bytes.join([lines[stem] + marks[mark] for stem, mark in form])
-        for p in new - known.keys():
-            known[p] = np.array(self._ids(p), self.dtype).tobytes()
+        self.tokenizer, self.dtype = Tokenizer.from_str(tokenizer), np.dtype(dtype)
+        made = json.loads(tokenizer)
+        before = made.get("pre_tokenizer") or {}
+        self.known_kind = (
+            made["model"].get("type") == "BPE" and not made["model"].get("dropout") and made.get("normalizer") is None and not made.get("truncation") and not made.get("padding")
+            and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        )
+        self.added = re.compile(b"|".join(re.escape(x["content"].encode()) for x in made.get("added_tokens") or []) or b"(?!)")
+        self.known = _Recent()
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
+
+    def _whole(self, text: bytes) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids
+        return np.array(ids, self.dtype).tobytes()
+
+    def _part(self, part: bytes) -> bytes:
+        tokens = self.tokenizer.model.tokenize(part.decode("latin-1").translate(self.alphabet))
+        return np.array([t.id for t in tokens], self.dtype).tobytes()
+
+    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
+        """The ids of each text as bytes, with the end id behind."""
         last = np.array([end], self.dtype).tobytes()
-        return [b"".join([*(ids if None not in ids else [x if x is not None else known[p] for p, x in zip(row, ids, strict=True)]), last]) for row, ids in zip(rows, found, strict=True)]
-
-    @staticmethod
-    def _stem(line: str) -> tuple[str, str]:
-        """A line without the full stop or comma that ends it behind a letter, and that mark, which is a word of its own."""
-        return (line[:-1], line[-1]) if len(line) > 1 and line[-1] in ".," and line[-2].isalpha() else (line, "")
-
-    def _learn(self, lines: set[str]) -> None:
-        todo = sorted(x for x in lines if self.lines.get(x) is None)
-        for i in range(0, len(todo), 5000):
-            some = todo[i : i + 5000]
-            ids = np.array(self._ids("\n".join(some)), self.dtype)
-            cuts = np.flatnonzero(ids == self.feed)
-            if len(cuts) == len(some) - 1:
-                for x, a, b in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                    self.lines.young[x] = ids[a:b].tobytes()
-            else:  # another token holds a line feed
-                for x in some:
-                    self.lines.young[x] = np.array(self._ids(x), self.dtype).tobytes()
-
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        if _UNSAFE.search(text) is None:
-            return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
-        out = [first] if first else []
-        for p in rest:
-            if not out or _UNSAFE.match(" " + p) is None:
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return out
+        sure = self._sure(texts) if self.known_kind else [False] * len(texts)
+        fast = iter(self._parted([x for x, y in zip(texts, sure, strict=True) if y], last))
+        return [next(fast) if y else self._whole(x) + last for x, y in zip(texts, sure, strict=True)]
+
+    def _sure(self, texts: list[bytes]) -> list[bool]:
+        at = np.cumsum([0] + [len(x) + 1 for x in texts])
+        raw = b"\0".join([*texts, b""])
+        buf = np.frombuffer(raw, np.uint8)
+        bad = np.flatnonzero(_KIND[buf] == _UNSURE)
+        zeros = np.flatnonzero(buf == 0)
+        more = [m.start() for p in (_SIGNS, self.added) for m in p.finditer(raw)]
+        bad = np.concatenate([bad, np.setdiff1d(zeros, at[1:] - 1), np.array(more, np.int64)])
+        out = np.ones(len(texts), bool)
+        out[np.searchsorted(at, bad, "right") - 1] = False
+        return out.tolist()
+
+    def _parted(self, texts: list[bytes], last: bytes) -> list[bytes]:
+        if not texts:
+            return []
+        raw = b"\0".join(texts) + b"\0\0\0\0"
+        buf = np.frombuffer(raw, np.uint8)
+        starts = np.flatnonzero(_begins(buf, _KIND[buf]))
+        starts = starts[: len(starts) - 3]  # what begins at the last three zeros is no part
+        offsets = np.append(starts, len(buf) - 3).astype(np.int32)
+        parts = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        which = parts.indices.to_numpy()
+        self.known.turn()
+        values = parts.dictionary.to_pylist()
+        found = list(map(self.known.get, values))
+        for i, x in enumerate(found):
+            if x is None:
+                part = values[i]
+                found[i] = self.known.young[part] = b"" if part == b"\0" else self._part(part)
+        found = [x or last for x in found]  # only the end of a text has none of its own
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        begin = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        past = np.cumsum(n)
+        ids = flat[np.arange(past[-1]) + np.repeat(begin[which] - past + n, n)].tobytes()
+        cuts = [0, *(past[buf[starts] == 0] * self.dtype.itemsize).tolist()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _files(uri: str):
@@ -162,11 +207,12 @@ _encoders: dict[tuple[int, str], Encoder] = {}
 def write(df: DataFrame, text: Column, key: Column, tokenizer: str, end: int, name: str = "records") -> DataFrame:
     """Writes the ids of each whole text (null: empty), with the end id behind, in ascending order of key; returns the manifest.
 
-    tokenizer is the tokenizer's JSON. The rows are dealt by ranges of the key and ordered within them (null keys first;
-    rows of equal keys by text), and each task writes one file and its index into a new folder that all machines share,
-    under a name of its own that is made known only when it is complete: a task that runs again, or twice, leaves no
-    half-written file behind that a reader would see. The manifest (written too) has a row for each file: file, first
-    (its place in the order), start (ids in the files before it), docs, ids, width. An empty table has no file.
+    tokenizer is the tokenizer's JSON. The rows are dealt by ranges of the key and, for equal or null keys, of the
+    text's hash, so that one hot key is dealt over many tasks; they are in that order (null keys first). Each task
+    writes one file and its index into a new folder that all machines share, under a name of its own that is made known
+    only when it is complete; what attempts that failed or came second left behind is deleted at the end. The manifest
+    (written too) has a row for each file: file, first (its place in the order), start (ids in the files before it),
+    docs, ids, width. An empty table has no file. All other columns of df are left out.
     """
     import json
 
@@ -175,7 +221,8 @@ def write(df: DataFrame, text: Column, key: Column, tokenizer: str, end: int, na
     size = len(json.loads(tokenizer)["model"]["vocab"])
     dtype = "<u2" if max(size, end + 1) <= 1 << 16 else "<u4"
     held, which = spark.sparkContext.broadcast(tokenizer), (zlib.crc32(tokenizer.encode()), dtype)
-    rows = df.select(key.cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
+    rows = df.select(key.cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("key", "h").sortWithinPartitions("key", "h", "text").select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -199,10 +246,10 @@ def write(df: DataFrame, text: Column, key: Column, tokenizer: str, end: int, na
                 _encoders.clear()
                 _encoders[which] = Encoder(held.value, dtype)
             keys = b.column(0).to_pylist()
-            for i in range(0, b.num_rows, 1000):
-                texts = [x.decode() for x in as_bytes(b.column(1).slice(i, 1000))]
+            raw = as_bytes(b.column(1))
+            for i, j in in_runs(raw, RUN):
                 records, places = [], []
-                for k, x in zip(keys[i : i + 1000], _encoders[which].encode(texts, end), strict=True):
+                for k, x in zip(keys[i:j], _encoders[which].encode(raw[i:j], end), strict=True):
                     record = framed(struct.pack("<q", NO_KEY if k is None else k) + x)
                     records.append(record)
                     places.append(struct.pack("<QQ", at, len(record)))
@@ -218,6 +265,7 @@ def write(df: DataFrame, text: Column, key: Column, tokenizer: str, end: int, na
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (f"{path.rsplit('/', 1)[1]}.rec", part, docs, ids)], names=["file", "part", "docs", "ids"])
 
     made = sorted(rows.mapInArrow(run, "file string, part long, docs long, ids long").collect(), key=lambda r: r["part"])
+    _keep_only(folder, {r["file"] for r in made})
     manifest, first, start = [], 0, 0
     for r in made:
         manifest.append((f"{folder}/{r['file']}", first, start, r["docs"], r["ids"], int(dtype[2])))
@@ -227,6 +275,16 @@ def write(df: DataFrame, text: Column, key: Column, tokenizer: str, end: int, na
     return spark.read.parquet(f"{folder}/manifest")
 
 
+def _keep_only(folder: str, kept: set[str]) -> None:
+    """Deletes the files of attempts that are not in the manifest."""
+    from pyarrow import fs
+
+    files, root = _files(folder)
+    for x in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if x.is_file and x.base_name.rsplit(".", 1)[0] + ".rec" not in kept:
+            files.delete_file(x.path)
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """The records of the files in the manifest: place (in the whole order), key, start (ids of all records before), ids as little-endian 32-bit bytes.
 

@@ -143,6 +143,24 @@ def test_records_equal_the_library_and_round_trip(spark, sf, odd):
     assert records.read(records.write(odd.limit(0), F.col("text"), F.col("doc_id"), tokenizer, end=2)).count() == 0
 
 
+def test_encoder_equals_the_library_on_hostile_texts(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    library, rng = Tokenizer.from_str(tokenizer), random.Random(1)
+    plain = ["a", "b", "the", "'s", "'ll", "'", "'re", "'sx", "''s", " ", "  ", "\n", "\t", "\r\n", "1", "23", ".", ",", "!", "\u00e9", "\u00df", "_", "'T", "'d", "'ve", " '"]
+    odd = ["\u00d7", "\u00f7", "\u03a9", "\u6f22", "\U0001f600", "\x00", "\x1c", "\x0b", "\xa0", "<|endoftext|>", "\u0233", "\u024f", "\u02bc", "\u00b2", "-"]
+    texts = ["".join(rng.choice(plain + odd if rng.random() < 0.3 else plain) for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    want = [np.array([*library.encode(x, add_special_tokens=False).ids, 2], "<u2").tobytes() for x in texts]
+    for parts in (400_000, 50):  # with 50, parts are forgotten and learned again
+        monkeypatch.setattr(records, "PARTS", parts)
+        encoder = records.Encoder(tokenizer, "<u2")
+        assert [y for i in range(0, len(texts), 2000) for y in encoder.encode([x.encode() for x in texts[i : i + 2000]], 2)] == want
+
+
 def test_damaged_records_are_found():
     import io
 
