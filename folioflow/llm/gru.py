@@ -4,13 +4,21 @@ Symbols are the words of the vocabulary, then one for the other frequent words,
 stands before a text. Classes part the vocabulary; the two word groups are classes of their own. The probability of a
 symbol is its class's, a softmax, times its own within its class, another softmax; within the two groups the caller
 multiplies by the word's share.
+
+Texts are laid one behind another in lanes, which are worked on side by side; the state is carried through the whole of
+a text, across windows of steps, and is zero where a text begins.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
-NAMES = ("emb", "wx", "wh", "b", "oc", "bc", "ow", "bw")
+#: The last row of wx, oc and ow is their bias.
+NAMES = ("emb", "wx", "wh", "oc", "ow")
+#: Logits are kept within these bounds, so that their exponentials can be summed as they are.
+_LIMIT = 60
 
 
 def class_bounds(counts: np.ndarray, classes: int) -> np.ndarray:
@@ -26,150 +34,192 @@ def start(counts: np.ndarray, groups: tuple[float, float], bounds: np.ndarray, s
     words = np.maximum(counts.astype(float), 0.5)
     mass = np.append(np.add.reduceat(words, bounds[:-1]), np.maximum(groups, 0.5))
     f = lambda *shape: (rng.normal(size=shape) * 0.1).astype(np.float32)
-    w = {"emb": f(len(counts) + 3, size), "wx": f(size, 3 * size) * 3, "wh": f(size, 3 * size) * 3, "b": np.zeros(3 * size, np.float32), "oc": f(size, len(mass)), "ow": f(size, len(counts))}
-    return w | {"bc": np.log(mass / mass.sum()).astype(np.float32), "bw": np.log(words).astype(np.float32)}
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
+    w = {"emb": f(len(counts) + 3, size), "wx": f(size + 1, 3 * size) * 3, "wh": f(size, 3 * size) * 3, "oc": f(size + 1, len(mass)), "ow": f(size + 1, len(counts))}
+    w["wx"][-1], w["oc"][-1], w["ow"][-1] = 0, np.log(mass / mass.sum()), np.log(words / np.repeat(mass[:-2], np.diff(bounds)))
+    return w
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
+class Lanes:
+    """Texts as symbols in lanes, the longest texts first, each to the lane that is shortest so far; the longest lane first.
 
-class Batch:
-    """Texts as symbols, longest first; steps(t0, t1) are the inputs and targets of a window."""
+    given and target are the symbols before and at each place, lane after lane; keep is 0 where a text begins, else 1;
+    text is each place's text.
+    """
 
-    def __init__(self, texts: list[np.ndarray], before: int):
-        self.n = np.array([len(x) for x in texts])
-        self.order = np.argsort(-self.n, kind="stable")
-        flat = np.concatenate([np.append(before, texts[i]) for i in self.order]) if texts else np.zeros(0, np.int64)
-        self.flat = flat.astype(np.int64)
-        sizes = self.n[self.order]
-        self.first = np.cumsum(sizes + 1) - sizes - 1
-        self.active = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), "right")
+    def __init__(self, symbols: np.ndarray, sizes: np.ndarray, before: int, lanes: int):
+        order = np.argsort(-sizes, kind="stable")
+        order = order[sizes[order] > 0]
+        load = [(0, i) for i in range(max(1, min(lanes, len(order))))]
+        rows: list[list[int]] = [[] for _ in load]
+        for k, n in zip(order.tolist(), sizes[order].tolist(), strict=True):
+            at, lane = load[0]
+            rows[lane].append(k)
+            heapq.heapreplace(load, (at + n, lane))
+        rows = [rows[lane] for _, lane in sorted(load, key=lambda x: (-x[0], x[1]))]
+        texts = np.array([k for row in rows for k in row], np.int64)
+        n = sizes[texts]
+        first = np.cumsum(sizes) - sizes
+        begin = np.cumsum(n) - n
+        self.text = np.repeat(texts.astype(np.int32), n)
+        self.target = symbols[np.arange(int(n.sum())) + np.repeat(first[texts] - begin, n)].astype(np.int32)
+        self.given = np.append(np.int32(before), self.target[:-1])
+        self.keep = np.ones((len(self.target), 1), np.float32)
+        self.given[begin], self.keep[begin] = before, 0
+        self.n = np.array([sizes[row].sum() for row in rows], np.int64)
+        self.first = np.cumsum(self.n) - self.n
+
+    def windows(self, steps: int):
+        """Of each window of steps: the places in the order of steps, and where each step's begin among them (and the end)."""
+        longest = int(self.n[0]) if len(self.n) else 0
+        active = np.searchsorted(-self.n, -np.arange(1, longest + 1), "right")
+        for t in range(0, longest, steps):
+            k = active[t : t + steps]
+            cuts = np.append(0, np.cumsum(k))
+            lane = np.arange(cuts[-1]) - np.repeat(cuts[:-1], k)
+            yield self.first[lane] + np.repeat(np.arange(t, t + len(k)), k), cuts.tolist()
+
+
+def _forward(wh: np.ndarray, gx: np.ndarray, keep: np.ndarray, cuts: list[int], h: np.ndarray, all_held: bool):
+    """States after each place of a window with a 1 behind, the last of them, and with all_held also what is needed to go back: gates, candidates, and the states before."""
+    size, rows = len(wh), cuts[-1]
+    out = np.ones((rows, size + 1), wh.dtype)
+    zr, n, ghn, before = (np.empty((rows, k * size), wh.dtype) for k in (2, 1, 1, 1)) if all_held else (None,) * 4
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        was = h[: b - a] * keep[a:b]
+        gh = was @ wh
+        gate = gx[a:b, : 2 * size] + gh[:, : 2 * size]
+        np.negative(gate, out=gate)
+        np.exp(np.minimum(gate, _LIMIT, out=gate), out=gate)
+        gate += 1
+        np.reciprocal(gate, out=gate)
+        new = gate[:, size:] * gh[:, 2 * size :]
+        new += gx[a:b, 2 * size :]
+        np.tanh(new, out=new)
+        h = was - new
+        h *= gate[:, :size]
+        h += new
+        out[a:b, :size] = h
+        if all_held:
+            zr[a:b], n[a:b], ghn[a:b], before[a:b] = gate, new, gh[:, 2 * size :], was
+    return out, h, (zr, n, ghn, before)
+
+
+def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probability of each row's target, the exponentials (x is overwritten) and what they are to be multiplied by."""
+    np.maximum(np.minimum(x, _LIMIT, out=x), -_LIMIT, out=x)
+    own = x[np.arange(len(x)), target]
+    np.exp(x, out=x)
+    total = x @ np.ones((x.shape[1], 1), x.dtype)
+    return own - np.log(total[:, 0]), x, 1 / total
 
 
 def _outputs(w, bounds, hidden, target, grad: bool):
     """Log-probability of each target symbol (of its class alone for the two groups); with grad also the gradients of their negative sum."""
-    words = bounds[-1]
     n_classes = len(bounds) - 1
-    cls = np.where(target < words, np.searchsorted(bounds, target, "right") - 1, n_classes + target - words)
-    logits = _log_softmax(hidden @ w["oc"] + w["bc"])
-    rows = np.arange(len(target))
-    out = logits[rows, cls].astype(np.float64)
-    grads = {}
-    if grad:
-        d = np.exp(logits)
-        d[rows, cls] -= 1
-        grads = {"oc": hidden.T @ d, "bc": d.sum(axis=0), "ow": np.zeros_like(w["ow"]), "bw": np.zeros_like(w["bw"])}
-        dh = d @ w["oc"].T
+    of = np.append(np.repeat(np.arange(n_classes), np.diff(bounds)), [n_classes, n_classes + 1]).astype(np.uint16)
+    cls = of[target]
     order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(n_classes + 1))
+    cuts = np.searchsorted(cls[order], np.arange(n_classes + 1)).tolist()
+    hidden, cls = hidden[order], cls[order]  # class after class, then the two groups
+    place = target[order[: cuts[-1]]] - bounds[cls[: cuts[-1]]]
+    value, d, part = _softmax(hidden @ w["oc"], cls)
+    grads, dh = {}, None
+    if grad:
+        d *= part
+        d[np.arange(len(d)), cls] -= 1
+        grads = {"oc": hidden.T @ d, "ow": np.zeros_like(w["ow"])}
+        dh = d @ w["oc"][:-1].T
     for c in range(n_classes):
-        own, a, b = order[cuts[c] : cuts[c + 1]], bounds[c], bounds[c + 1]
-        if len(own) and b - a > 1:
-            inner = _log_softmax(hidden[own] @ w["ow"][:, a:b] + w["bw"][a:b])
-            some = np.arange(len(own))
-            out[own] += inner[some, target[own] - a]
+        lo, hi, a, b = cuts[c], cuts[c + 1], bounds[c], bounds[c + 1]
+        if hi > lo and b - a > 1:
+            own = hidden[lo:hi]
+            got, d, part = _softmax(own @ w["ow"][:, a:b], place[lo:hi])
+            value[lo:hi] += got
             if grad:
-                d = np.exp(inner)
-                d[some, target[own] - a] -= 1
-                grads["ow"][:, a:b] = hidden[own].T @ d
-                grads["bw"][a:b] = d.sum(axis=0)
-                dh[own] += d @ w["ow"][:, a:b].T
-    return (out, grads, dh) if grad else (out, None, None)
-
-
-def score(w: dict[str, np.ndarray], bounds: np.ndarray, texts: list[np.ndarray], window: int = 64, together: int = 256) -> np.ndarray:
-    """The natural log-probability of each whole text; the state is carried across windows."""
-    size = w["wh"].shape[0]
-    table = w["emb"] @ w["wx"] + w["b"]
-    batch = Batch(texts, len(w["emb"]) - 1)
-    out = np.zeros(len(texts))
-    for lo in range(0, len(texts), together):
-        first = batch.first[lo : lo + together]
-        longest = batch.n[batch.order[lo]]
-        h = np.zeros((len(first), size), np.float32)
-        for t0 in range(0, longest, window):
-            hidden, where = [], []
-            for t in range(t0, min(t0 + window, longest)):
-                k = min(batch.active[t] - lo, len(first))
-                gx = table[batch.flat[first[:k] + t]]
-                gh = h[:k] @ w["wh"]
-                zr = _sigmoid(gx[:, : 2 * size] + gh[:, : 2 * size])
-                n = np.tanh(gx[:, 2 * size :] + zr[:, size:] * gh[:, 2 * size :])
-                h = n + zr[:, :size] * (h[:k] - n)
-                hidden.append(h)
-                where.append(k)
-            at = np.concatenate([first[:k] + t0 + i + 1 for i, k in enumerate(where)])
-            got, _, _ = _outputs(w, bounds, np.concatenate(hidden), batch.flat[at], False)
-            row = np.concatenate([np.arange(k) for k in where])
-            out[batch.order[lo : lo + together]] += np.bincount(row, got, len(first))
+                d *= part
+                d[np.arange(hi - lo), place[lo:hi]] -= 1
+                grads["ow"][:, a:b] = own.T @ d
+                dh[lo:hi] += d @ w["ow"][:-1, a:b].T
+    out = np.empty(len(target))
+    out[order] = value
+    if grad:
+        back = np.empty_like(dh)
+        back[order] = dh
+        dh = back
+    return out, grads, dh
+
+
+def score(w: dict[str, np.ndarray], bounds: np.ndarray, symbols: np.ndarray, sizes: np.ndarray, lanes: int = 512, steps: int = 8) -> np.ndarray:
+    """The natural log-probability of each whole text; symbols holds the texts one behind another."""
+    table = w["emb"] @ w["wx"][:-1] + w["wx"][-1]
+    laid = Lanes(symbols, sizes, len(w["emb"]) - 1, lanes)
+    out = np.zeros(len(sizes))
+    h = np.zeros((len(laid.n), len(w["wh"])), w["wh"].dtype)
+    for at, cuts in laid.windows(steps):
+        hidden, h, _ = _forward(w["wh"], table[laid.given[at]], laid.keep[at], cuts, h, False)
+        got, _, _ = _outputs(w, bounds, hidden, laid.target[at], False)
+        out += np.bincount(laid.text[at], got, len(out))
     return out
 
 
 class Moments:
-    """The optimizer's running means and its number of steps, carried from run to run of a task's texts."""
+    """The sums of squared gradients, carried from run to run of a task's texts."""
 
     def __init__(self, w: dict[str, np.ndarray]):
-        self.step = 0
-        self.means = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
-
-
-def learn(w: dict[str, np.ndarray], bounds: np.ndarray, texts: list[np.ndarray], rate: float, window: int = 32, together: int = 64, seed: int = 1, moments: Moments | None = None) -> dict[str, np.ndarray]:
+        self.squares = {k: np.full_like(v, 1e-6) for k, v in w.items()}
+
+
+def gradients(w: dict[str, np.ndarray], bounds: np.ndarray, laid: Lanes, at: np.ndarray, cuts: list[int], h: np.ndarray):
+    """Gradients of the negative log-probability of a window's symbols, its log-probability, and the last states."""
+    size = len(w["wh"])
+    ids, keep = laid.given[at], laid.keep[at]
+    x = w["emb"][ids]
+    gx = x @ w["wx"][:-1]
+    gx += w["wx"][-1]
+    hidden, last, (zr, n, ghn, before) = _forward(w["wh"], gx, keep, cuts, h, True)
+    got, grads, dh = _outputs(w, bounds, hidden, laid.target[at], True)
+    z, r = zr[:, :size], zr[:, size:]
+    to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), ghn * r * (1 - r)
+    dgh, dn_all = np.empty((cuts[-1], 3 * size), x.dtype), np.empty((cuts[-1], size), x.dtype)
+    back = np.ascontiguousarray(w["wh"].T)
+    later = np.zeros((0, size), x.dtype)
+    for a, b in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
+        d = dh[a:b]
+        d[: len(later)] += later
+        dn = np.multiply(d, to_n[a:b], out=dn_all[a:b])
+        own = dgh[a:b]
+        np.multiply(d, to_z[a:b], out=own[:, :size])
+        np.multiply(dn, to_r[a:b], out=own[:, size : 2 * size])
+        np.multiply(dn, r[a:b], out=own[:, 2 * size :])
+        later = own @ back
+        later += d * z[a:b]
+        later *= keep[a:b]
+    grads["wh"] = before.T @ dgh
+    dgh[:, 2 * size :] = dn_all  # now of what the inputs give
+    grads["wx"] = np.vstack([x.T @ dgh, dgh.sum(axis=0)])
+    order = np.argsort(ids, kind="stable")
+    edge = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    grads["emb"] = np.zeros_like(w["emb"])
+    grads["emb"][ids[order[edge]]] = np.add.reduceat((dgh @ w["wx"][:-1].T)[order], edge, axis=0)
+    return grads, got.sum(), last
+
+
+def learn(w: dict[str, np.ndarray], bounds: np.ndarray, symbols: np.ndarray, sizes: np.ndarray, rate: float, lanes: int = 256, steps: int = 24, moments: Moments | None = None) -> dict[str, np.ndarray]:
     """One pass over the texts by truncated backpropagation: gradients stop at a window's begin, the state does not.
 
-    With moments, which are changed, the pass goes on where the one before ended.
+    A window counts by its symbols, so that one in which few lanes go on moves the weights less. With moments, which are changed, the pass goes on where the one before ended.
     """
     w = {k: v.copy() for k, v in w.items()}
-    size = w["wh"].shape[0]
-    batch = Batch(texts, len(w["emb"]) - 1)
     moments = moments or Moments(w)
-    blocks = np.random.default_rng(seed).permutation(range(0, len(texts), together))
-    for lo in blocks.tolist():
-        first = batch.first[lo : lo + together]
-        longest = batch.n[batch.order[lo]]
-        h = np.zeros((len(first), size), np.float32)
-        for t0 in range(0, longest, window):
-            held = []
-            where = np.minimum(batch.active[t0 : min(t0 + window, longest)] - lo, len(first)).tolist()
-            cuts = np.cumsum([0, *where])
-            at = np.concatenate([first[:k] + t0 + i for i, k in enumerate(where)])
-            ids = batch.flat[at]
-            x = w["emb"][ids]
-            given = x @ w["wx"] + w["b"]
-            for i, k in enumerate(where):
-                before, gx = h[:k], given[cuts[i] : cuts[i + 1]]
-                gh = before @ w["wh"]
-                zr = _sigmoid(gx[:, : 2 * size] + gh[:, : 2 * size])
-                z, r = zr[:, :size], zr[:, size:]
-                n = np.tanh(gx[:, 2 * size :] + r * gh[:, 2 * size :])
-                h = n + z * (before - n)
-                held.append((before, z, r, n, gh[:, 2 * size :], h))
-            _, grads, dh = _outputs(w, bounds, np.concatenate([v[-1] for v in held]), batch.flat[at + 1], True)
-            all_dgx = np.empty_like(given)
-            all_dgh = np.empty_like(given)
-            later = np.zeros((0, size), np.float32)
-            for i in range(len(held) - 1, -1, -1):
-                before, z, r, n, ghn, _ = held[i]
-                d = dh[cuts[i] : cuts[i + 1]].astype(np.float32)
-                d[: len(later)] += later
-                dn = d * (1 - z) * (1 - n * n)
-                dgx, dgh = all_dgx[cuts[i] : cuts[i + 1]], all_dgh[cuts[i] : cuts[i + 1]]
-                dgx[:, :size], dgx[:, size : 2 * size], dgx[:, 2 * size :] = d * (before - n) * z * (1 - z), dn * ghn * r * (1 - r), dn
-                dgh[:, : 2 * size], dgh[:, 2 * size :] = dgx[:, : 2 * size], dn * r
-                later = d * z + dgh @ w["wh"].T
-            grads |= {"wh": np.concatenate([v[0] for v in held]).T @ all_dgh, "wx": x.T @ all_dgx, "b": all_dgx.sum(axis=0), "emb": np.zeros_like(w["emb"])}
-            np.add.at(grads["emb"], ids, all_dgx @ w["wx"].T)
-            moments.step += 1
-            step = moments.step
-            for k, v in w.items():
-                g = grads[k] / len(at)
-                a, s = moments.means[k]
-                a += 0.1 * (g - a)
-                s += 0.01 * (g * g - s)
-                v -= rate * (a / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
+    laid = Lanes(symbols, sizes, len(w["emb"]) - 1, lanes)
+    h = np.zeros((len(laid.n), len(w["wh"])), w["wh"].dtype)
+    for at, cuts in laid.windows(steps):
+        grads, _, h = gradients(w, bounds, laid, at, cuts, h)
+        for k, v in w.items():
+            g, squares = grads[k], moments.squares[k]
+            g *= np.float32(1 / (len(laid.n) * steps))
+            squares += g * g
+            g *= np.float32(rate)
+            g /= np.sqrt(squares)
+            v -= g
     return w

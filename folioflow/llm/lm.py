@@ -19,9 +19,9 @@ from folioflow.llm import gru
 from folioflow.llm.arrow import BYTE_BASE, append_columns, as_bytes, in_runs, joined, span_hashes, spans, written
 from folioflow.llm.neardup import _grouped
 
-HEAD, WORDS, CLASSES, STATE = 1 << 20, 1023, 32, 16
+HEAD, WORDS, CLASSES, STATE = 1 << 20, 4095, 64, 24
 #: Tokens that a task learns from at once, unless a run of texts has more; a task's texts are never all in memory.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 21
 #: The hash that stands for the end of a text.
 END = np.uint64(0)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -102,40 +102,36 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy(), n, v)
 
 
-def train(df: DataFrame, text: Column, key: Column, vocab: Vocabulary, rounds: int = 2, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """The recurrent model's weights, from all texts.
+def train(df: DataFrame, text: Column, key: Column, vocab: Vocabulary, rounds: int = 2, rate: float = 0.1) -> dict[str, np.ndarray]:
+    """The recurrent model's weights, from all texts, each of which is learned from once.
 
-    In each round every task learns from its own texts, a run of them at a time, beginning with the same weights; the
-    mean of the results, by tokens, starts the next round. The mean is taken in Spark; the driver gets a value for each
-    weight. The key has no part in it.
+    The texts are dealt over the rounds by the hash of key and text. In a round every task learns from its own texts of
+    the round, a run of them at a time, beginning with the same weights; the mean of the results, by tokens, starts the
+    next round. The mean is taken in Spark; the driver gets a value for each weight. So the weights depend, a little,
+    on how the table is split into tasks.
     """
     weights = gru.start(vocab.counts, (vocab.middle, vocab.rare), vocab.bounds, STATE)
-    rows = df.select(F.coalesce(text, F.lit("")).alias("text"))
+    raw = F.coalesce(text, F.lit(""))
+    dealt = df.select(raw.alias("text"), F.pmod(F.xxhash64(key, raw), F.lit(rounds)).alias("round"))
     context = df.sparkSession.sparkContext
     for k in range(rounds):
         held = context.broadcast((weights, vocab))
+        rows = dealt.filter(F.col("round") == k).select("text")
 
         def learn(batches, held=held, k=k):
             own, words = held.value
-            learnt, moments, n, texts, size = own, gru.Moments(own), 0, [], 0
-            for b in batches:
-                raw = as_bytes(b.column(0))
-                for i, j in in_runs(raw):
-                    tokens, first = _tokens(raw[i:j])
-                    texts += np.split(words.symbols(tokens)[0], first[1:-1])
-                    n, size = n + len(tokens), size + len(tokens)
-                    if size >= TOGETHER:
-                        learnt, texts, size = gru.learn(learnt, words.bounds, texts, rate / (1 + 2 * k), seed=k, moments=moments), [], 0
-            if texts:
-                learnt = gru.learn(learnt, words.bounds, texts, rate / (1 + 2 * k), seed=k, moments=moments)
+            learnt, moments, n = own, gru.Moments(own), 0
+            for symbols, sizes in _symbol_runs(batches, words):
+                learnt = gru.learn(learnt, words.bounds, symbols, sizes, rate / (1 + k), moments=moments)
+                n += len(symbols)
             if not n:
                 return
             flat = np.concatenate([learnt[x].ravel() for x in gru.NAMES])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat.astype(np.float64) * n), pa.array(np.full(len(flat), float(n)))], names=["i", "s", "n"])
 
         means = rows.mapInArrow(learn, "i long, s double, n double").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("w")).toArrow()
-        if not means.num_rows:
-            break
+        if not means.num_rows:  # no text in this round
+            continue
         flat = np.zeros(means.num_rows)
         flat[means.column("i").to_numpy()] = means.column("w").to_numpy()
         cuts = np.cumsum([weights[x].size for x in gru.NAMES])
@@ -143,6 +139,23 @@ def train(df: DataFrame, text: Column, key: Column, vocab: Vocabulary, rounds: i
     return weights
 
 
+def _symbol_runs(batches, words: Vocabulary):
+    """Symbols of all texts and the texts' sizes, TOGETHER tokens or a little more at a time."""
+    symbols, sizes, held = [], [], 0
+    for b in batches:
+        raw = as_bytes(b.column(0))
+        for i, j in in_runs(raw):
+            tokens, first = _tokens(raw[i:j])
+            symbols.append(words.symbols(tokens)[0])
+            sizes.append(np.diff(first))
+            held += len(tokens)
+            if held >= TOGETHER:
+                yield np.concatenate(symbols), np.concatenate(sizes)
+                symbols, sizes, held = [], [], 0
+    if held:
+        yield np.concatenate(symbols), np.concatenate(sizes)
+
+
 _PARTIAL = T.StructType(
     [T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("model", T.DoubleType()), T.StructField("n_rare", T.LongType())]
     + [T.StructField("rare", T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType())])))]
@@ -165,25 +178,33 @@ def score(df: DataFrame, text: Column, counts: DataFrame, vocab: Vocabulary, wei
         def work(texts: pa.Array):
             raw = as_bytes(texts)
             out: list[list] = [[] for _ in range(5)]
-            rare_h, rare_n, sizes = [], [], []
+            rare_h, rare_n, sizes, more = [], [], [], []
+            symbols: list[np.ndarray] = []
+            lengths: list[np.ndarray] = []
             for i, j in in_runs(raw):
                 tokens, first = _tokens(raw[i:j])
                 n = np.diff(first)
                 doc = np.repeat(np.arange(j - i), n)
                 symbol, count = words.symbols(tokens)
-                model = gru.score(w, words.bounds, np.split(symbol, first[1:-1])) / math.log(10)
+                symbols.append(symbol)
+                lengths.append(n)
+                if sum(map(len, symbols)) >= TOGETHER or j == len(raw):
+                    out[3].append(gru.score(w, words.bounds, np.concatenate(symbols), np.concatenate(lengths)) / math.log(10))
+                    symbols, lengths = [], []
                 inner = symbol == words.n_words
-                model += np.bincount(doc[inner], np.log10(np.maximum(count[inner], 1)) - middle, j - i)
+                within = np.bincount(doc[inner], np.log10(np.maximum(count[inner], 1)) - middle, j - i)
                 is_rare = symbol == words.n_words + 1
                 base = np.bincount(doc, np.log10(count + 1.0), j - i)
-                for k, v in enumerate((n, np.bincount(doc[count > 0], minlength=j - i), base, model, np.bincount(doc[is_rare], minlength=j - i))):
+                for k, v in ((0, n), (1, np.bincount(doc[count > 0], minlength=j - i)), (2, base), (4, np.bincount(doc[is_rare], minlength=j - i))):
                     out[k].append(v)
+                more.append(within)
                 d, h = doc[is_rare], tokens[is_rare]
                 order, own = _grouped(d, h)
                 if len(order):
                     edge = np.flatnonzero(np.append(True, (h[order[1:]] != h[order[:-1]]) | (d[order[1:]] != d[order[:-1]])))
                     rare_h.append(h[own]), rare_n.append(np.diff(np.append(edge, len(order))))
                 sizes.append(np.bincount(d[own], minlength=j - i) if len(order) else np.zeros(j - i, np.int64))
+            out[3] = [np.concatenate(out[3]) + np.concatenate(more)]
             flat = pa.StructArray.from_arrays([pa.array(np.concatenate([*rare_h, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.concatenate([*rare_n, np.zeros(0, np.int64)]).astype(np.int32))], names=["h", "n"])
             at = np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int32)
             return [*(np.concatenate(x) for x in out), pa.ListArray.from_arrays(pa.array(at), flat)]

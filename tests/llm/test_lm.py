@@ -52,33 +52,83 @@ def test_probabilities_sum_to_one():
     c = np.arange(2000, 0, -1)
     vocab = lm.Vocabulary(np.append(h, lm.END), np.append(c, 500), int(c.sum()) + 500 + 90, 2001 + 30)
     w = gru.start(vocab.counts, (vocab.middle, vocab.rare), vocab.bounds, lm.STATE)
-    w = gru.learn(w, vocab.bounds, [np.random.default_rng(i).integers(0, vocab.n_words + 2, 40) for i in range(64)], 0.01)
+    w = gru.learn(w, vocab.bounds, *laid([np.random.default_rng(i).integers(0, vocab.n_words + 2, 40) for i in range(64)]), 0.01)
     before = np.array([3, 900, vocab.n_words + 1])
     symbols = np.arange(vocab.n_words + 2)
-    whole = gru.score(w, vocab.bounds, [np.append(before, s) for s in symbols]) - gru.score(w, vocab.bounds, [before])
+    whole = gru.score(w, vocab.bounds, *laid([np.append(before, s) for s in symbols])) - gru.score(w, vocab.bounds, *laid([before]))
     assert abs(np.exp(whole).sum() - 1) < 1e-3
-    # windows don't change a text's score
-    long = np.random.default_rng(9).integers(0, vocab.n_words + 2, 333)
-    np.testing.assert_allclose(gru.score(w, vocab.bounds, [long], window=7), gru.score(w, vocab.bounds, [long], window=500), rtol=1e-5)
 
 
-def test_gradients_are_those_of_the_loss(monkeypatch):
+def laid(texts):
+    return np.concatenate(texts), np.array([len(x) for x in texts])
+
+
+def plain_log_probability(w, bounds, text):
+    """The natural log-probability of one text, a symbol at a time, by the definitions."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    size, words = len(w["wh"]), bounds[-1]
+    h, last, total = np.zeros(size), len(w["emb"]) - 1, 0.0
+    for s in text.tolist():
+        gx, gh = w["emb"][last] @ w["wx"][:-1] + w["wx"][-1], h @ w["wh"]
+        z, r = sigmoid(gx[:size] + gh[:size]), sigmoid(gx[size : 2 * size] + gh[size : 2 * size])
+        new = np.tanh(gx[2 * size :] + r * gh[2 * size :])
+        h = z * h + (1 - z) * new
+        c = int(np.flatnonzero(bounds <= s)[-1]) if s < words else len(bounds) - 1 + s - words
+        e = np.exp(h @ w["oc"][:-1] + w["oc"][-1])
+        total += math.log(e[c] / e.sum())
+        if s < words:
+            own = slice(bounds[c], bounds[c + 1])
+            e = np.exp(h @ w["ow"][:-1, own] + w["ow"][-1, own])
+            total += math.log(e[s - bounds[c]] / e.sum())
+        last = s
+    return total
+
+
+def test_score_is_that_of_the_plain_recurrence():
+    rng = np.random.default_rng(3)
+    counts = np.sort(rng.integers(1, 1000, 60))[::-1]
+    bounds = gru.class_bounds(counts, 7)
+    w = gru.start(counts, (40, 30), bounds, 8)
+    texts = [rng.integers(0, 62, n) for n in (1, 2, 300, 5, 40, 41, 1, 17)]
+    w = gru.learn(w, bounds, *laid(texts * 5), 0.02, lanes=3, steps=7)
+    want = [plain_log_probability(w, bounds, x) for x in texts]
+    for lanes, steps in ((1, 1000), (3, 16), (100, 1)):  # lanes and windows don't change a text's score
+        np.testing.assert_allclose(gru.score(w, bounds, *laid(texts), lanes=lanes, steps=steps), want, rtol=1e-5)
+
+
+def test_scores_of_the_table_are_those_of_the_plain_recurrence(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    counts = lm.count_tokens(docs, F.col("text")).cache()
+    vocab = lm.vocabulary(counts)
+    w = lm.train(docs, F.col("text"), F.col("doc_id"), vocab, rounds=1)
+    own = Counter(t for r in docs.collect() for t in tokens(r["text"]))
+    few = docs.filter("doc_id % 97 = 0 and length(text) < 3000")
+    for r in lm.score(few, F.col("text"), counts, vocab, w).join(few, "doc_id").collect():
+        hashes, _ = lm._tokens([(r["text"] or "").encode()])
+        symbols = vocab.symbols(hashes)[0]
+        want = plain_log_probability(w, vocab.bounds, symbols) / math.log(10)
+        want += sum(math.log10(own[t] / vocab.middle) for t, s in zip(tokens(r["text"]), symbols, strict=True) if s == vocab.n_words)
+        assert (symbols != vocab.n_words + 1).all() and math.isclose(r["score"], want, rel_tol=1e-4)
+
+
+def test_gradients_are_those_of_the_loss():
     counts = np.array([9, 7, 5, 4, 3, 2, 1])
     bounds = gru.class_bounds(counts, 3)
     w = {k: v.astype(np.float64) for k, v in gru.start(counts, (3, 2), bounds, 4).items()}
-    texts = [np.array([0, 3, 7, 8, 2]), np.array([6, 1]), np.array([5])]
-    n = sum(map(len, texts))
-    step = gru.learn(w, bounds, texts, 1.0, window=32)
-    # Adam's first step has the gradient's sign and size g / (|g| + 1e-6)
-    rng = np.random.default_rng(0)
-    for k in gru.NAMES:
-        for i in rng.choice(w[k].size, min(8, w[k].size), replace=False):
-            up, down = ({**w, k: w[k].copy()} for _ in range(2))
-            up[k].flat[i] += 1e-5
-            down[k].flat[i] -= 1e-5
-            g = -(gru.score(up, bounds, texts).sum() - gru.score(down, bounds, texts).sum()) / 2e-5 / n
-            if abs(g) > 1e-4:
-                assert abs((w[k] - step[k]).flat[i] - g / (abs(g) + 1e-6)) < 0.02, k
+    texts = laid([np.array([0, 3, 7, 8, 2]), np.array([6, 1]), np.array([5])])
+    for lanes in (1, 2, 3):
+        rows = gru.Lanes(*texts, len(w["emb"]) - 1, lanes)
+        ((at, cuts),) = rows.windows(32)
+        grads, total, _ = gru.gradients(w, bounds, rows, at, cuts, np.zeros((lanes, 4)))
+        assert math.isclose(total, gru.score(w, bounds, *texts).sum())
+        rng = np.random.default_rng(0)
+        for k in gru.NAMES:
+            for i in rng.choice(w[k].size, min(8, w[k].size), replace=False):
+                up, down = ({**w, k: w[k].copy()} for _ in range(2))
+                up[k].flat[i] += 1e-5
+                down[k].flat[i] -= 1e-5
+                g = -(gru.score(up, bounds, *texts).sum() - gru.score(down, bounds, *texts).sum()) / 2e-5
+                assert math.isclose(grads[k].flat[i], g, rel_tol=1e-4, abs_tol=1e-6), k
 
 
 def test_every_training_text_reaches_the_weights(spark, monkeypatch):
@@ -87,15 +137,15 @@ def test_every_training_text_reaches_the_weights(spark, monkeypatch):
     vocab = lm.vocabulary(lm.count_tokens(df, F.col("text")))
     seen = spark.sparkContext.accumulator(0)
 
-    def counted(w, bounds, texts, *args, learn=gru.learn, **given):
-        seen.add(len(texts))
-        return learn(w, bounds, texts, *args, **given)
+    def counted(w, bounds, symbols, sizes, *args, learn=gru.learn, **given):
+        seen.add(len(sizes))
+        return learn(w, bounds, symbols, sizes, *args, **given)
 
     monkeypatch.setattr(lm, "gru", types.SimpleNamespace(**{k: v for k, v in vars(gru).items() if not k.startswith("_")} | {"learn": counted}))
     for together in (1 << 20, 2000):
         monkeypatch.setattr(lm, "TOGETHER", together, raising=False)
         before = seen.value
-        lm.train(df, F.col("text"), F.col("doc_id"), vocab, rounds=1)
+        lm.train(df, F.col("text"), F.col("doc_id"), vocab)
         assert seen.value - before == len(rows)
 
 
