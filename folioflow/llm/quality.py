@@ -1,4 +1,10 @@
-"""Quality rules by line labelling: a linear-chain conditional random field marks lines as content or boilerplate."""
+"""Quality rules by line labelling: a linear-chain conditional random field marks lines as content or boilerplate.
+
+Labels are known for whole texts alone. The lines of good texts are content; those of bad texts are latent: a bad text
+holds boilerplate, but may hold content besides. Training goes from a first guess by the lines themselves to labels of
+the best chains and back (hard expectation-maximisation), so that the field's moves are learned from texts whose lines
+differ. Equal lines and windows within a text are told by 64-bit hashes.
+"""
 
 from __future__ import annotations
 
@@ -141,10 +147,10 @@ def viterbi(score: np.ndarray, move: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, doc: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.2, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and moves of greatest conditional likelihood, by gradient ascent over forward-backward marginals."""
+def fit(x: np.ndarray, doc: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.2, decay: float = 1e-3, chained: bool = True, begin: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and moves of greatest conditional likelihood, by gradient ascent over forward-backward marginals from begin on (or 0); without chained, moves stay as they are."""
     steps = Chains(doc).steps()
-    w, move = np.zeros(x.shape[1]), np.zeros((2, 2))
+    w, move = (v.copy() for v in begin or (np.zeros(x.shape[1]), np.zeros((2, 2))))
     seen_move = np.zeros((2, 2))
     later = np.concatenate(steps[1:]) if len(steps) > 1 else np.zeros(0, np.int64)
     np.add.at(seen_move, (y[later - 1], y[later]), 1)
@@ -171,15 +177,52 @@ def fit(x: np.ndarray, doc: np.ndarray, y: np.ndarray, rounds: int = 150, rate:
             a, s = means[2 * i], means[2 * i + 1]
             a += 0.1 * (g - a)
             s += 0.01 * (g * g - s)
-            v += rate * (a / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
+            if v is w or chained:
+                v += rate * (a / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
     return w, move
 
 
-def train(documents: DataFrame, labels: DataFrame, text: Column, key: str, label: str, bound: int = 2000) -> tuple[np.ndarray, np.ndarray] | None:
-    """Weights from about bound labelled texts of each label (0 or 1), chosen by the hash of the key; None without both.
+def _scores(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), 2))
+    out[:, 1] = x @ w
+    return out
+
+
+def label_lines(x: np.ndarray, doc: np.ndarray, good: np.ndarray, w: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The best labels of the lines that the texts' labels allow: all of a good text's are 1; one of a bad text's, the least likely content, is 0 in any case."""
+    score = _scores(x, w)
+    y = viterbi(score, move, doc).astype(np.int64)
+    y[good] = 1
+    order = np.lexsort((score[:, 1], doc))
+    first = order[np.append(True, doc[order[1:]] != doc[order[:-1]])]
+    y[first[~good[first]]] = 0
+    return y
 
-    The lines of a good text count as content, those of a bad one as boilerplate. Rows with a null key, label or text
-    are left out. The chosen texts' line features reach the driver; their number is bounded by the parameter.
+
+def fit_latent(x: np.ndarray, doc: np.ndarray, good: np.ndarray, chars: np.ndarray, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, moves and the least content share of a text that is kept; good marks the lines of good texts, chars weighs a line in the share.
+
+    The share is the one that parts the good texts from the bad ones best (mean of both classes' accuracy), the middle
+    one if many do.
+    """
+    w, move = fit(x, doc, good.astype(np.int64), rounds=100, chained=False)
+    for _ in range(rounds):
+        y = label_lines(x, doc, good, w, move)
+        w, move = fit(x, doc, y, rounds=80, begin=(w, move))
+    of = np.unique(doc, return_inverse=True)[1]
+    part = np.bincount(of, chars * viterbi(_scores(x, w), move, doc)) / np.maximum(np.bincount(of, chars), 1)
+    kind = np.bincount(of, good) > 0
+    tried = np.arange(1, 100) / 100
+    right = np.array([(part[kind] >= t).mean() + (part[~kind] < t).mean() for t in tried])
+    best = tried[right == right.max()]
+    return w, move, float(best[len(best) // 2])
+
+
+def train(documents: DataFrame, labels: DataFrame, text: Column, key: str, label: str, bound: int = 2000, longest: int = 1000) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """The model from about bound labelled texts of each label (0 or 1), chosen by the hash of the key; None without both.
+
+    Rows with a null key, label or text are left out, and texts of over longest lines with a word. The chosen texts'
+    line features reach the driver; these two parameters bound their number.
     """
     rows = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).filter("key is not null and y in (0, 1)").distinct()
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
@@ -195,28 +238,32 @@ def train(documents: DataFrame, labels: DataFrame, text: Column, key: str, label
             for i, j in in_runs(raw):
                 t = Texts(raw[i:j])
                 cut = np.searchsorted(t.line_doc, np.arange(t.n + 1))
-                rows = [(t.features[cut[k] : cut[k + 1]].tobytes(), y[i + k]) for k in range(t.n) if cut[k + 1] > cut[k]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32())], names=["x", "y"])
+                own = [(slice(cut[k], cut[k + 1]), y[i + k]) for k in range(t.n) if 0 < cut[k + 1] - cut[k] <= longest]
+                made = [[t.features[k].tobytes() for k, _ in own], [t.line_chars[k].astype(np.float64).tobytes() for k, _ in own], [v for _, v in own]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(made, (pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["x", "chars", "y"])
 
-    got = sorted((bytes(r["x"]), r["y"]) for r in sample.mapInArrow(features, "x binary, y int").collect())
-    if len({r[1] for r in got}) < 2:
+    got = sorted((bytes(r["x"]), bytes(r["chars"]), r["y"]) for r in sample.mapInArrow(features, "x binary, chars binary, y int").collect())
+    if len({r[2] for r in got}) < 2:
         return None
     parts = [np.frombuffer(r[0], np.float32).reshape(-1, N_FEATURES) for r in got]
     n = [len(p) for p in parts]
-    return fit(np.concatenate(parts).astype(np.float64), np.repeat(np.arange(len(n)), n), np.repeat([r[1] for r in got], n))
+    chars = np.concatenate([np.frombuffer(r[1], np.float64) for r in got])
+    return fit_latent(np.concatenate(parts).astype(np.float64), np.repeat(np.arange(len(n)), n), np.repeat([r[2] == 1 for r in got], n), chars)
 
 
-def assess(df: DataFrame, text: Column, model: tuple[np.ndarray, np.ndarray] | None, share: float = 0.5) -> DataFrame:
+def assess(df: DataFrame, text: Column, model: tuple[np.ndarray, np.ndarray, float] | None, share: float | None = None) -> DataFrame:
     """df with the base counts, base_failed, content_share and kept.
 
     content_share is the part of the words' characters in lines that the field marks as content; without a model it is
-    1. A text is kept if the base rules hold and content_share is at least share. Null and empty texts have counts of
-    0 and fail the base rules. Each text is looked at whole, alone and once, so repeated rows get equal results.
+    1. A text is kept if the base rules hold and content_share is at least share (the model's, unless given). Null and
+    empty texts have counts of 0 and fail the base rules. Each text is looked at whole, alone and once, so repeated rows get equal results.
     Columns of df with these names are replaced.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        least = share if share is not None else held.value[2] if held.value is not None else 0.0
+
         def work(texts: pa.Array):
             raw = as_bytes(texts)
             out: list[list] = [[] for _ in FIELDS]
@@ -224,14 +271,12 @@ def assess(df: DataFrame, text: Column, model: tuple[np.ndarray, np.ndarray] | N
                 t = Texts(raw[i:j])
                 part = np.ones(t.n)
                 if held.value is not None and len(t.line_doc):
-                    w, move = held.value
-                    score = np.zeros((len(t.features), 2))
-                    score[:, 1] = t.features @ w
-                    state = viterbi(score, move, t.line_doc)
+                    w, move, _ = held.value
+                    state = viterbi(_scores(t.features, w), move, t.line_doc)
                     total = np.bincount(t.line_doc, t.line_chars, t.n)
                     part = np.bincount(t.line_doc, t.line_chars * state, t.n) / np.maximum(total, 1)
                 failed = (t.n_words < 20) | (100 * t.n_repeat_words > 30 * t.n_words)
-                for k, v in enumerate((t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed, ~failed & (part >= share), part)):
+                for k, v in enumerate((t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed, ~failed & (part >= least), part)):
                     out[k].extend(v.tolist())
             return out
 
