@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,42 @@ PATTERNS = {
     "date_iso": r"^\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])$",
     "postal_code_za": r"^\d{4}$",
 }
-_RULES: dict[str, Callable[[Column], Column]] = {}
+# fixed values: what results say of a value that fails, by rule
+MESSAGES = {
+    "required": "Value is required",
+    "regex": "Does not match pattern: {0}",
+    "min_length": "Minimum length {0}, got ",
+    "max_length": "Maximum length {0}, got ",
+    "min": "Value below minimum {0}",
+    "max": "Value above maximum {0}",
+    "number": "Not a number",
+    "enum": "Value not in {0}",
+    "enum_ci": "Must be one of: {0}",
+    "email": "Invalid email address",
+    "phone_e164": "Invalid E.164 phone number",
+    "iban_format": "Invalid IBAN format",
+    "iban_checksum": "IBAN checksum failed",
+    "date_format": "Date does not match format {0}",
+    "luhn": "Invalid ID number",
+}
+
+
+class Verdict(NamedTuple):
+    """What a rule says of a column: whether a value passes, the message where it doesn't, and a passing value's clean form."""
+
+    ok: Column
+    error: Column
+    clean: Column | None = None
+
+
+class Given(NamedTuple):
+    """A rule's pattern and parameters."""
+
+    pattern: str
+    options: dict
+
+
+_RULES: dict[str, Callable[[Column, Given], Verdict]] = {}
 
 
 def regex_valid(x: Column, pattern: str, search: bool = False) -> Column:
@@ -64,55 +100,98 @@ def iban_valid(x: Column) -> Column:
 
 def register_rule(name: str, fn: Callable[[Column], Column]) -> None:
     """K8: a rule of the caller: from a column to a true or false column."""
-    _RULES[name] = fn
+    _RULES[name] = lambda x, given: Verdict(F.coalesce(fn(x), F.lit(False)), F.lit(f"Rule {name} failed"))
+
+
+def _says(name: str, *values) -> Column:
+    return F.lit(MESSAGES[name].format(*values))
+
+
+def _named(name: str) -> str:
+    """A named pattern, whose end is the text's end and not also before a last line feed."""
+    return PATTERNS[name].replace("$", r"\z")
+
+
+def _bound(kind: str, default: int, measure: Callable[[Column], Column], holds: Callable[[Column, object], Column], note: Callable[[Column, object], Column]) -> Callable[[Column, Given], Verdict]:
+    """A rule that compares what is measured of a value with the parameter named like the bound."""
+
+    def rule(x: Column, given: Given) -> Verdict:
+        limit = given.options.get(kind[:3], default)
+        return Verdict(F.coalesce(holds(measure(x), limit), F.lit(False)), note(measure(x), limit))
+
+    return rule
+
+
+def _number(x: Column) -> Column:
+    return F.when(x.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z"), F.trim(x).try_cast("double"))
+
+
+def _length_note(kind: str) -> Callable[[Column, object], Column]:
+    return lambda n, limit: F.concat(_says(kind, limit), n.cast("string"))
+
+
+def _number_note(kind: str) -> Callable[[Column, object], Column]:
+    return lambda n, limit: F.when(n.isNull(), _says("number")).otherwise(_says(kind, float(limit)))
+
+
+def _regex(x: Column, given: Given) -> Verdict:
+    known = given.pattern in PATTERNS
+    return Verdict(regex_valid(x, _named(given.pattern) if known else given.pattern), _says("regex", PATTERNS[given.pattern] if known else given.pattern))
+
+
+def _enum(x: Column, given: Given) -> Verdict:
+    allowed = list(given.options.get("values", []))
+    return Verdict(x.isin(allowed), _says("enum", allowed))
+
+
+def _enum_ci(x: Column, given: Given) -> Verdict:
+    allowed = [v.strip().lower() for v in given.pattern.split(",")]
+    return Verdict(F.lower(x).isin(allowed), _says("enum_ci", ", ".join(allowed)))
+
+
+def _phone(x: Column, given: Given) -> Verdict:
+    digits = F.regexp_replace(x, r"[\s\-()]", "")
+    return Verdict(digits.rlike(_named("phone_international")), _says("phone_e164"), digits)
+
+
+def _iban(x: Column, given: Given) -> Verdict:
+    shape = F.upper(F.replace(x, F.lit(" "), F.lit("")))
+    return Verdict(iban_valid(x), F.when(shape.rlike(_named("iban")), _says("iban_checksum")).otherwise(_says("iban_format")), shape)
+
+
+def _date(x: Column, given: Given) -> Verdict:
+    form = given.options.get("format", "yyyy-MM-dd")
+    return Verdict(F.try_to_date(x, form).isNotNull(), _says("date_format", form))
+
+
+_RULES |= {
+    "required": lambda x, given: Verdict(F.trim(x) != "", _says("required")),
+    "luhn": lambda x, given: Verdict(za_id_valid(x), _says("luhn")),
+    "email": lambda x, given: Verdict(x.rlike(_named("email_rfc5322")), _says("email"), F.trim(F.lower(x))),
+    "min_length": _bound("min_length", 0, F.length, lambda n, least: n >= least, _length_note("min_length")),
+    "max_length": _bound("max_length", 9999, F.length, lambda n, most: n <= most, _length_note("max_length")),
+    "min": _bound("min", 0, _number, lambda n, least: n >= float(least), _number_note("min")),
+    "max": _bound("max", 0, _number, lambda n, most: n <= float(most), _number_note("max")),
+    "regex": _regex,
+    "enum": _enum,
+    "enum_ci": _enum_ci,
+    "phone_e164": _phone,
+    "iban_checksum": _iban,
+    "date_format": _date,
+}
 
 
-def validate_field(x: Column, kind: str, pattern: str | None = None, message: str | None = None, **given) -> Column:
-    """Struct of status (pass, fail or warning), error and cleaned. A null value is empty."""
+def validate_field(x: Column, kind: str, pattern: str | None = None, message: str | None = None, **options) -> Column:
+    """Struct of status (pass, fail or warning), error and cleaned. A null value is empty; an unknown rule warns."""
     raw = F.coalesce(x.cast("string"), F.lit(""))
-    cleaned = raw
-    number = F.when(raw.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z"), F.trim(raw).try_cast("double"))
-    if kind == "required":
-        ok, error = F.trim(raw) != "", F.lit("Value is required")
-        cleaned = F.when(ok, raw)
-    elif kind == "regex":
-        p = PATTERNS.get(pattern or "", pattern or "")
-        ok, error = regex_valid(raw, p.replace("$", r"\z") if p in PATTERNS.values() else p), F.lit(f"Does not match pattern: {p}")
-    elif kind == "min_length":
-        ok, error = F.length(raw) >= given.get("min", 0), F.concat(F.lit(f"Minimum length {given.get('min', 0)}, got "), F.length(raw).cast("string"))
-    elif kind == "max_length":
-        ok, error = F.length(raw) <= given.get("max", 9999), F.concat(F.lit(f"Maximum length {given.get('max', 9999)}, got "), F.length(raw).cast("string"))
-    elif kind == "min":
-        ok, error = F.coalesce(number >= float(given.get("min", 0)), F.lit(False)), F.when(number.isNull(), "Not a number").otherwise(f"Value below minimum {float(given.get('min', 0))}")
-    elif kind == "max":
-        ok, error = F.coalesce(number <= float(given.get("max", 0)), F.lit(False)), F.when(number.isNull(), "Not a number").otherwise(f"Value above maximum {float(given.get('max', 0))}")
-    elif kind == "enum":
-        ok, error = raw.isin(list(given.get("values", []))), F.lit(f"Value not in {list(given.get('values', []))}")
-    elif kind == "enum_ci":
-        allowed = [v.strip().lower() for v in (pattern or "").split(",")]
-        ok, error = F.lower(raw).isin(allowed), F.lit(f"Must be one of: {', '.join(allowed)}")
-    elif kind == "email":
-        ok, error = raw.rlike(PATTERNS["email_rfc5322"].replace("$", r"\z")), F.lit("Invalid email address")
-        cleaned = F.when(ok, F.trim(F.lower(raw))).otherwise(raw)
-    elif kind == "phone_e164":
-        digits = F.regexp_replace(raw, r"[\s\-()]", "")
-        ok, error = digits.rlike(PATTERNS["phone_international"].replace("$", r"\z")), F.lit("Invalid E.164 phone number")
-        cleaned = F.when(ok, digits).otherwise(raw)
-    elif kind == "iban_checksum":
-        iban = F.upper(F.replace(raw, F.lit(" "), F.lit("")))
-        ok, error = iban_valid(raw), F.when(iban.rlike(PATTERNS["iban"].replace("$", r"\z")), "IBAN checksum failed").otherwise("Invalid IBAN format")
-        cleaned = F.when(ok, iban).otherwise(raw)
-    elif kind == "date_format":
-        form = given.get("format", "yyyy-MM-dd")
-        ok, error = F.try_to_date(raw, form).isNotNull(), F.lit(f"Date does not match format {form}")
-    elif kind == "luhn":
-        ok, error = za_id_valid(raw), F.lit("Invalid ID number")
-    elif kind in _RULES:
-        ok, error = F.coalesce(_RULES[kind](raw), F.lit(False)), F.lit(f"Rule {kind} failed")
+    if kind not in _RULES:
+        status, error, cleaned = F.lit("warning"), F.lit(f"Unknown rule type: {kind}"), raw
     else:
-        return F.struct(F.lit("warning").alias("status"), F.lit(f"Unknown rule type: {kind}").alias("error"), raw.alias("cleaned"))
-    error = F.lit(message) if message else error
-    return F.struct(F.when(ok, "pass").otherwise("fail").alias("status"), F.when(~ok, error).alias("error"), cleaned.alias("cleaned"))
+        found = _RULES[kind](raw, Given(pattern or "", options))
+        status, error = F.when(found.ok, "pass").otherwise("fail"), F.when(~found.ok, F.lit(message) if message else found.error)
+        # only a required value that is missing has no cleaned form
+        cleaned = F.when(found.ok, raw) if kind == "required" else raw if found.clean is None else F.when(found.ok, found.clean).otherwise(raw)
+    return F.struct(status.alias("status"), error.alias("error"), cleaned.alias("cleaned"))
 
 
 def validate(df: DataFrame, rules: list[dict], key: str) -> DataFrame:

@@ -40,20 +40,32 @@ def split_paragraphs(df: DataFrame, key: str, text: Column) -> DataFrame:
     return df.select(key, F.posexplode(parts).alias("chunk", "text"))
 
 
-def pack_words(paragraphs: list[str], target: int, overlap: int) -> list[str]:
-    out, held = [], []
-    for p in paragraphs:
-        words = p.split()
-        if held and len(held) + len(words) > target:
-            out.append(" ".join(held))
-            held = held[-overlap:] if overlap else []
-        held += words
-    return out + [" ".join(held)] if held else out
+def packed(units: list[int], weights: list[int], limit: int, carry: int = 0, fresh: frozenset[int] = frozenset(), again: list[int] | None = None) -> list[tuple[int, int]]:
+    """Ranges of atoms, chunk after chunk, so that a chunk's weight stays within the limit where its units allow.
+
+    A unit is so many atoms, which stay together. A chunk that is full hands its last carry atoms on to the next, where
+    they weigh what again says; a fresh unit begins a chunk in any case and is handed nothing.
+    """
+    ranges, first, past, held = [], 0, 0, 0
+    for k, atoms in enumerate(units):
+        weight = sum(weights[past : past + atoms])
+        if past > first and (k in fresh or held + weight > limit):
+            ranges.append((first, past))
+            first = past if k in fresh else max(first, past - carry)
+            held = sum((again or weights)[first:past])
+        past, held = past + atoms, held + weight
+    return [*ranges, (first, past)] if past > first else ranges
+
+
+def _word_packs(text: str, target: int, overlap: int) -> list[str]:
+    paragraphs = [p.split() for p in _paragraphs(text)]
+    words = [w for p in paragraphs for w in p]
+    return [" ".join(words[a:b]) for a, b in packed([len(p) for p in paragraphs], [1] * len(words), target, overlap)]
 
 
 def word_chunks(df: DataFrame, key: str, text: str, target: int = 512, overlap: int = 50) -> DataFrame:
     """Paragraphs packed to so many words; none is cut; the last words are carried over."""
-    return _cut(df, key, text, lambda x: pack_words(_paragraphs(x), target, overlap))
+    return _cut(df, key, text, lambda x: _word_packs(x, target, overlap))
 
 
 def slide(text: str, size: int, overlap: int) -> list[str]:
@@ -79,15 +91,8 @@ def char_chunks(df: DataFrame, key: str, text: str, size: int = 512, overlap: in
 def pack_lines(text: str, size: int, carry: int = 0) -> list[str]:
     if len(text) <= size:
         return [text] if text else []
-    out, held, n = [], [], 0
-    for line in text.split("\n"):
-        if held and n + len(line) + 1 > size:
-            out.append("\n".join(held))
-            held = held[-carry:] if carry else []
-            n = sum(len(x) + 1 for x in held)
-        held.append(line)
-        n += len(line) + 1
-    return [*out, "\n".join(held)]
+    own = text.split("\n")
+    return ["\n".join(own[a:b]) for a, b in packed([1] * len(own), [len(x) + 1 for x in own], size, carry)]
 
 
 def line_chunks(df: DataFrame, key: str, text: str, size: int = 3000, carry: int = 0) -> DataFrame:
@@ -105,78 +110,73 @@ def page_chunks(df: DataFrame, key: str, text: Column, n: int = 2, sep: str = "\
 def session_chunks(df: DataFrame, session: str, turn: str, role: str, text: str, max_tokens: int = 800) -> DataFrame:
     """I8: the messages of each session packed in order to so many tokens (characters div 4): chunk, start_idx, end_idx, tokens, text.
 
-    A session is packed by one task, since where a chunk ends depends on all messages before it.
+    Where a chunk ends depends on all messages before it, so a session is packed by one task; Spark sorts its messages,
+    and only the open chunk is in memory.
     """
     said = F.concat(F.coalesce(role, F.lit("user")), F.lit(": "), F.coalesce(text, F.lit("")))
     rows = df.select(F.col(session).alias("key"), F.col(turn).alias("turn"), said.alias("said"))
+    names = ["key", "chunk", "start_idx", "end_idx", "tokens", "text"]
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        out, held, n, start = [], [], 0, 0
-        said = group.sort_values(["turn", "said"])["said"].tolist()
-        for i, s in enumerate(said):
-            size = len(s) // 4
-            if held and n + size > max_tokens:
-                out.append((len(out), start, i - 1, n, "\n".join(held)))
-                held, n, start = [], 0, i
-            held.append(s)
-            n += size
-        out.append((len(out), start, len(said) - 1, n, "\n".join(held)))
-        made = pd.DataFrame(out, columns=["chunk", "start_idx", "end_idx", "tokens", "text"])
-        made.insert(0, "key", group["key"].iloc[0])
-        return made
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, chunk, start, tokens = None, 0, 0, 0
+        held: list[str] = []
+        for b in batches:
+            out = []
+            for key, s in zip(b["key"].astype(object).where(b["key"].notna(), None), b["said"], strict=True):
+                other = held and key != own
+                if other or (held and tokens + len(s) // 4 > max_tokens):
+                    out.append((own, chunk, start, start + len(held) - 1, tokens, "\n".join(held)))
+                    chunk, start = (0, 0) if other else (chunk + 1, start + len(held))
+                    held, tokens = [], 0
+                own, tokens = key, tokens + len(s) // 4
+                held.append(s)
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame([(own, chunk, start, start + len(held) - 1, tokens, "\n".join(held))], columns=names)
 
     kind = dict(rows.dtypes)["key"]
-    return rows.groupBy("key").applyInPandas(pack, f"key {kind}, chunk long, start_idx long, end_idx long, tokens long, text string").withColumnRenamed("key", session)
-
-
-def pack_document(text: str, max_tokens: int, overlap: bool) -> list[str]:
-    out: list[str] = []
-    held: list[str] = []
-    n = 0
-    for p in (x.strip() for x in text.split("\n\n")):
-        size = len(p) // 4
-        if not p:
+    dealt = rows.repartition("key").sortWithinPartitions("key", "turn", "said")
+    return dealt.mapInPandas(run, f"key {kind}, chunk long, start_idx long, end_idx long, tokens long, text string").withColumnRenamed("key", session)
+
+
+def _document_packs(text: str, max_tokens: int, overlap: bool) -> list[str]:
+    """Paragraphs are units; of one that is too long, runs of its sentences are, each of which begins a chunk."""
+    units: list[str] = []
+    weights: list[int] = []
+    fresh = set()
+    for p in filter(None, map(str.strip, text.split("\n\n"))):
+        if len(p) // 4 <= max_tokens:
+            units.append(p)
+            weights.append(len(p) // 4)
             continue
-        if size > max_tokens:
-            if held:
-                out.append("\n\n".join(held))
-            part: list[str] = []
-            m = 0
-            for s in p.split(". "):
-                if part and m + len(s) // 4 > max_tokens:
-                    out.append(". ".join(part))
-                    part, m = [], 0
-                part.append(s)
-                m += len(s) // 4
-            held, n = [". ".join(part)], m
-        elif held and n + size > max_tokens:
-            out.append("\n\n".join(held))
-            held = [held[-1], p] if overlap else [p]
-            n = sum(len(x) // 4 for x in held)
-        else:
-            held.append(p)
-            n += size
-    return [*out, "\n\n".join(held)] if held else out
+        sentences = p.split(". ")
+        sizes = [len(s) // 4 for s in sentences]
+        for a, b in packed([1] * len(sizes), sizes, max_tokens):
+            fresh.add(len(units))
+            units.append(". ".join(sentences[a:b]))
+            weights.append(sum(sizes[a:b]))
+    ranges = packed([1] * len(units), weights, max_tokens, int(overlap), frozenset(fresh), [len(u) // 4 for u in units])
+    return ["\n\n".join(units[a:b]) for a, b in ranges]
 
 
 def document_chunks(df: DataFrame, key: str, text: str, max_tokens: int = 800, overlap: bool = True) -> DataFrame:
     """Paragraphs packed to so many tokens, long ones cut at `. `, the last paragraph carried over."""
-    return _cut(df, key, text, lambda x: pack_document(x, max_tokens, overlap))
+    return _cut(df, key, text, lambda x: _document_packs(x, max_tokens, overlap))
 
 
-def atomic(text: str, marker: str, size: int, least: int) -> list[str]:
-    at = [m.start() for m in re.finditer(marker, text, re.I)]
-    if len(at) > 5:
-        pieces = [text[a:b].strip() for a, b in zip(at, [*at[1:], len(text)], strict=True)]
-    else:
-        pieces = [x.strip() for x in re.split(r"\n\s*\n\s*\n", text)]
-    pieces = [p for p in pieces if len(p) > least]
-    return pieces if len(pieces) >= 3 else [p for i in range(0, len(text), size) if (p := text[i : i + size].strip())]
+def atomic_records(df: DataFrame, key: str, text: str, marker: str = r"(?:employee|emp|id|number|#)\s*:?\s*[A-Z0-9\-]{3,15}", size: int = 2500, least: int = 50) -> DataFrame:
+    """Cleaned texts cut from marker to marker where there are over 5, else at double empty lines; slices where that gives under 3 pieces of over least characters.
 
-
-def atomic_records(df: DataFrame, key: str, text: str, marker: str = r"(?:employee|emp|id|number|#)\s*:?\s*[A-Z0-9\-]{3,15}", size: int = 2500) -> DataFrame:
-    """Cleaned texts cut from marker to marker where there are over 5, else at double empty lines; slices where that gives under 3 pieces."""
-    return _cut(df.select(key, clean_text(F.col(text)).alias(text)), key, text, lambda x: atomic(x, marker, size, 50))
+    Cuts are marked by a character beyond ASCII, which cleaned texts don't have.
+    """
+    cut, clean = "\uffff", clean_text(blank(F.col(text)))
+    marks = F.regexp_count(clean, F.lit(f"(?i){marker}"))
+    at_marks = F.slice(F.split(F.regexp_replace(clean, f"(?i)({marker})", f"{cut}$1"), cut), 2, F.greatest(marks, F.lit(1)))
+    pieces = F.when(marks > 5, at_marks).otherwise(F.split(clean, r"\n\s*\n\s*\n"))
+    pieces = F.filter(F.transform(pieces, strip), lambda p: F.length(p) > least)
+    starts = F.sequence(F.lit(1), F.greatest(F.length(clean), F.lit(1)), F.lit(size))
+    slices = F.filter(F.transform(starts, lambda i: strip(F.substr(clean, i, F.lit(size)))), lambda s: s != "")
+    return df.select(key, F.posexplode(F.when(F.size(pieces) >= 3, pieces).otherwise(slices)).alias("chunk", "text"))
 
 
 def fixed_slices(df: DataFrame, key: str, text: Column, size: int) -> DataFrame:

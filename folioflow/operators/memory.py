@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.sources.shared import shared_folder
+from folioflow.sources.shared import written
 
 
 def not_expired(expires: Column, now: Column) -> Column:
@@ -82,21 +84,14 @@ def memory_history(edges: DataFrame, ids: DataFrame) -> DataFrame:
     long chains take few joins; each round's new pairs are written to a shared folder. A cycle ends where a node comes
     again, since pairs already reached are left out.
     """
-    spark = edges.sparkSession
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = shared_folder(spark, "history")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     hop = edges.filter("type = 'updates'").groupBy("src").agg(F.min("dst").alias("dst")).filter("src <> dst")
-    reach = kept(hop.select(F.col("src").alias("id"), F.lit(1).alias("step"), F.col("dst").alias("node")))
+    reach = written(hop.select(F.col("src").alias("id"), F.lit(1).alias("step"), F.col("dst").alias("node")), "history")
     length = 1
     while True:
         # what is reached in exactly `length` steps goes on with that node's own chain
         tips = reach.filter(F.col("step") == length)
         further = tips.join(reach.select(F.col("id").alias("node"), F.col("step").alias("s"), F.col("node").alias("n")), "node").select("id", (F.col("step") + F.col("s")).alias("step"), F.col("n").alias("node"))
-        further = kept(further.filter("id <> node").join(reach.select("id", "node"), ["id", "node"], "left_anti").select("id", "step", "node"))
+        further = written(further.filter("id <> node").join(reach.select("id", "node"), ["id", "node"], "left_anti").select("id", "step", "node"), "history")
         if further.isEmpty():
             break
         reach = reach.unionByName(further)
@@ -123,28 +118,32 @@ def soft_delete(templates: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return templates.join(gone.select(key, F.lit(True).alias("__gone")), key, "left").withColumn("deleted", F.col("__gone").isNotNull()).drop("__gone")
 
 
+def history(templates: DataFrame, key: str) -> DataFrame:
+    """All versions, the newest of each first."""
+    return templates.sort(key, F.desc("version"))
+
+
 def current_version(templates: DataFrame, key: str) -> DataFrame:
     return templates.groupBy(key).agg(F.max_by(F.struct(*templates.columns), "version").alias("r")).select("r.*")
 
 
-def flatten_json(df: DataFrame, key: str, json: str, depth: int = 20) -> DataFrame:
+def flatten_json(df: DataFrame, key: str, json: str) -> DataFrame:
     """H7: (key, path, value): the scalar leaves of JSON text by dotted path, arrays by index; empty containers give none.
 
-    A level is one narrow pass over the values of the level before, by variant_explode; the loop ends with the deepest
-    level, found by a count of what is left, so it works for any number of rows. Values deeper than depth are given as
-    JSON text.
+    A level is one narrow pass over the containers of the level before, by variant_explode, and is written with what is
+    left for the next, so no level is read twice; the loop ends with the deepest level.
     """
     spark = df.sparkSession
-    left = df.select(F.col(key).alias("k"), F.lit("").alias("path"), F.try_parse_json(json).alias("v")).filter("v is not null")
-    out = None
-    for level in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        inner = kind.rlike("^(OBJECT|ARRAY)")
-        leaves = left.filter(~inner if level < depth else F.lit(True)).filter("path <> ''").select(F.col("k").alias(key), "path", F.coalesce(F.try_variant_get("v", "$", "string"), F.when(kind != "VOID", F.to_json("v"))).alias("value"))
-        out = leaves if out is None else out.unionByName(leaves)
-        deeper = left.filter(inner)
-        if level == depth or deeper.isEmpty():
-            return out
+    found = df.select(F.col(key).alias("k"), F.lit("").alias("path"), F.try_parse_json(json).alias("v")).filter("v is not null")
+    inner = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
+    levels = []
+    while True:
+        text = F.coalesce(F.try_variant_get("v", "$", "string"), F.when(F.schema_of_variant("v") != "VOID", F.to_json("v")))
+        level = written(found.select("k", "path", F.when(inner, F.to_json("v")).alias("left"), F.when(~inner, text).alias("value"), inner.alias("inner")), "flatten")
+        levels.append(level.filter("not inner and path <> ''").select(F.col("k").alias(key), "path", "value"))
+        deeper = level.filter("inner")
+        if deeper.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
         # variant_explode beside a row's other columns is a lateral join, which SQL says
-        left = spark.sql("SELECT k, path, f.pos, f.key, f.value FROM {d}, LATERAL variant_explode(v) f", d=deeper).select("k", F.concat_ws(".", F.nullif("path", F.lit("")), F.coalesce("key", F.col("pos").cast("string"))).alias("path"), F.col("value").alias("v"))
-    return out
+        found = spark.sql("SELECT k, path, f.pos, f.key, f.value FROM {d}, LATERAL variant_explode(v) f", d=deeper.select("k", "path", F.parse_json("left").alias("v")))
+        found = found.select("k", F.concat_ws(".", F.nullif("path", F.lit("")), F.coalesce("key", F.col("pos").cast("string"))).alias("path"), F.col("value").alias("v"))

@@ -14,6 +14,7 @@ from folioflow.functions.hashing import protect
 from folioflow.functions.replies import reply_records
 from folioflow.functions.text import keywords_simple
 from folioflow.operators.records import complete_to_schema, dedupe_signature, merge_subset, verify_changes
+from folioflow.sources.shared import written
 
 
 def model_map(df: DataFrame, prompt: str, make: Callable[[], Callable[[list[str]], list[str]]], batch: int = 32, retries: int = 3, wait: float = 1.0) -> DataFrame:
@@ -47,15 +48,19 @@ def model_map(df: DataFrame, prompt: str, make: Callable[[], Callable[[list[str]
 
 
 def tiered_map(df: DataFrame, prompt: str, order: str, small: Callable, large: Callable, first: int = 10, cut: int = 1500, **options) -> DataFrame:
-    """K2: the first prompts by order go to the small model, the others, cut at so many characters, to the large one in pairs; what fails goes to the other, then once more to the first. tier tells which."""
+    """K2: the first prompts by order go to the small model, the others, cut at so many characters, to the large one in pairs; what fails goes to the other, then once more to the first. tier tells which.
+
+    The replies of each attempt are written before they are parted, so that a prompt is asked once an attempt.
+    """
     head = df.filter(F.col(order) < first)
     tail = df.filter(F.col(order) >= first).withColumn(prompt, F.substring(prompt, 1, cut))
 
     def ask(rows: DataFrame, a: Callable, b: Callable, names: tuple[str, str], size: int) -> DataFrame:
-        one = model_map(rows, prompt, a, batch=size, **options).withColumn("tier", F.lit(names[0]))
+        one = written(model_map(rows, prompt, a, batch=size, **options).withColumn("tier", F.lit(names[0])), "tier")
         failed = one.filter("error is not null").select(*df.columns)
-        two = model_map(failed, prompt, b, batch=size, **options).withColumn("tier", F.lit(names[1]))
+        two = written(model_map(failed, prompt, b, batch=size, **options).withColumn("tier", F.lit(names[1])), "tier")
         last = model_map(two.filter("error is not null").select(*df.columns), prompt, a, batch=size, **options).withColumn("tier", F.lit(names[0]))
+        last = written(last, "tier")
         return one.filter("error is null").unionByName(two.filter("error is null")).unionByName(last)
 
     return ask(head, small, large, ("small", "large"), 1).unionByName(ask(tail, large, small, ("large", "small"), 2))

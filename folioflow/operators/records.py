@@ -164,6 +164,16 @@ def delete_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key), key, "left_anti")
 
 
+def get_where(df: DataFrame, where: Column) -> DataFrame:
+    """The rows whose metadata fit."""
+    return df.filter(where)
+
+
+def count_where(df: DataFrame, where: Column, by: str) -> DataFrame:
+    """How many rows of each value of by fit."""
+    return get_where(df, where).groupBy(by).agg(F.count("*").alias("n"))
+
+
 def dedupe_rows(df: DataFrame) -> DataFrame:
     """Each distinct row once."""
     return df.dropDuplicates()

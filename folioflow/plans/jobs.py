@@ -38,9 +38,9 @@ def k1_model_errors(t):
     return J.model_map(rows, "prompt", _picky, batch=1, retries=0).select("o_orderkey", "error")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber >= 3 THEN 'l:' || substr('key ' || l_orderkey || ' text', 1, 7) WHEN contains(l_orderkey::VARCHAR, '1') THEN 'l:key ' || l_orderkey || ' text' ELSE 's:key ' || l_orderkey || ' text' END AS reply, CASE WHEN l_linenumber >= 3 OR contains(l_orderkey::VARCHAR, '1') THEN 'large' ELSE 'small' END AS tier FROM lineitem WHERE l_orderkey % 10 < 3")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber >= 3 THEN 'l:' || substr('key ' || l_orderkey || ' text', 1, 7) WHEN contains(l_orderkey::VARCHAR, '1') THEN 'l:key ' || l_orderkey || ' text' ELSE 's:key ' || l_orderkey || ' text' END AS reply, CASE WHEN l_linenumber >= 3 OR contains(l_orderkey::VARCHAR, '1') THEN 'large' ELSE 'small' END AS tier FROM lineitem")
 def k2_tiered_map(t):
-    rows = t.lineitem.filter("l_orderkey % 10 < 3").select("l_orderkey", "l_linenumber", F.concat(F.lit("key "), F.col("l_orderkey").cast("string"), F.lit(" text")).alias("prompt"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.concat(F.lit("key "), F.col("l_orderkey").cast("string"), F.lit(" text")).alias("prompt"))
     return J.tiered_map(rows, "prompt", "l_linenumber", _picky, _echo, first=3, cut=7, retries=0).select("l_orderkey", "l_linenumber", "reply", "tier")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow.operators import memory as M
+from folioflow.operators import reports as P
 from folioflow.plans.registry import query
 
 
@@ -64,14 +65,14 @@ def d14_session_view(t):
     return got.withColumn("messages", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], m["text"])), "|"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 1 AND o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 30")
+@query("SELECT o_orderkey FROM orders WHERE o_custkey = 1 AND o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 30")
 def f1_list_by_user(t):
-    return t.orders.filter("o_custkey % 10 = 1 and o_orderstatus = 'O'").sort(F.desc("o_orderdate"), "o_orderkey").limit(30).select("o_orderkey")
+    return P.newest(t.orders, (F.col("o_custkey") == 1) & (F.col("o_orderstatus") == "O"), "o_orderdate", "o_orderkey", 30).select("o_orderkey")
 
 
 @query("SELECT user_id, max(ts) AS last FROM events GROUP BY user_id ORDER BY last DESC, user_id LIMIT 25")
 def f3_user_sessions(t):
-    return t.events.groupBy("user_id").agg(F.max("ts").alias("last")).sort(F.desc("last"), "user_id").limit(25)
+    return P.user_sessions(t.events, "user_id", "ts", 25)
 
 
 @query("SELECT c_custkey AS id, 1 + n AS access_count, greatest(0, last) AS last_accessed FROM customer JOIN (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey UNION ALL SELECT c_custkey, 1, 0 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -127,14 +128,14 @@ def h7_flatten_nested(t):
 
 @query("SELECT event_type, count(*) AS n, min(ts) AS first, max(ts) AS last, date_sub('second', min(ts), max(ts)) AS seconds FROM events GROUP BY event_type")
 def d4_audit_stats(t):
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")).alias("seconds"))
+    return P.audit_stats(t.events, "event_type", "ts")
 
 
 @query("SELECT source, count(*) AS total, count(*) FILTER (WHERE n_chars >= 50) AS processed, count(*) FILTER (WHERE n_chars < 50) AS errors FROM documents GROUP BY source")
 def d5_processing_summary(t):
-    return t.documents.groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("n_chars") >= 50).alias("processed"), F.count_if(F.col("n_chars") < 50).alias("errors"))
+    return P.processing_summary(t.documents, "source", F.col("n_chars") >= 50)
 
 
 @query("SELECT ts::DATE AS day, count(*) AS events, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1")
 def d8_dashboard(t):
-    return t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    return P.dashboard(t.events, "ts", "user_id", F.col("event_type") == "error")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import hashing
 from folioflow.operators import records as R
+from folioflow.operators import reports as P
 from folioflow.plans.registry import query
 
 
@@ -95,10 +96,10 @@ def c3_merge_subset(t):
     return R.merge_subset(rows, rows.filter("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X")), "o_orderkey")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'invalid' WHEN o_orderkey % 7 = 0 AND o_orderstatus <> 'X' THEN 'modified' ELSE 'unchanged' END AS status FROM orders WHERE o_orderkey % 2 = 0""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'invalid' WHEN o_orderkey % 7 = 0 AND o_orderstatus <> 'X' THEN 'modified' ELSE 'unchanged' END AS status FROM orders""")
 def c4_verify_changes(t):
     protected = hashing.protect(t.orders.select("o_orderkey", "o_orderstatus"))
-    edits = protected.filter("o_orderkey % 2 = 0").withColumns({"o_orderstatus": F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")), "_hash": F.when(F.col("o_orderkey") % 9 == 0, None).otherwise(F.col("_hash"))})
+    edits = protected.withColumns({"o_orderstatus": F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")), "_hash": F.when(F.col("o_orderkey") % 9 == 0, None).otherwise(F.col("_hash"))})
     return R.verify_changes(protected, edits).select("o_orderkey", "status")
 
 
@@ -117,7 +118,8 @@ def c12_insert_missing(t):
 
 @query("SELECT o_orderkey, o_custkey, l_linenumber, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def c13_parent_child(t):
-    return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_custkey", "l_linenumber", "l_partkey").sort("o_orderkey", "l_linenumber")
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    return P.parent_child(t.orders.select("o_orderkey", "o_custkey"), lines, "o_orderkey", "l_orderkey", ["o_orderkey", "l_linenumber"]).drop("l_orderkey")
 
 
 @query("SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN -1 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, -2 FROM embeddings WHERE vec_id % 50 = 0")
@@ -130,7 +132,7 @@ def a13_upsert(t):
 @query("SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 6 <> 0 AND label >= 3 GROUP BY label")
 def a14_delete_get_count(t):
     left = R.delete_ids(t.embeddings, t.embeddings.filter("vec_id % 6 = 0"), "vec_id")
-    return left.filter("label >= 3").groupBy("label").agg(F.count("*").alias("n"))
+    return R.count_where(left, F.col("label") >= 3, "label")
 
 
 @query("SELECT DISTINCT text FROM documents")
@@ -175,9 +177,9 @@ def a9_rows_to_text(t):
 @query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size < 40 AND p_name ILIKE '%re%'")
 def b11_list_live(t):
     rows = t.part.withColumn("deleted_at", F.when(F.col("p_size") >= 40, F.lit("gone")))
-    return rows.filter(F.col("deleted_at").isNull() & F.col("p_name").ilike("%re%")).select("p_partkey", "p_name", "p_size").sort(F.desc("p_partkey"))
+    return P.list_live(rows, "deleted_at", "p_name", contains="Re", order=[F.desc("p_partkey")]).select("p_partkey", "p_name", "p_size")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
 def b16_list_jobs(t):
-    return t.orders.filter("o_orderstatus = 'O'").sort(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "o_orderdate")
+    return P.newest(t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus"), F.col("o_orderstatus") == "O", "o_orderdate", "o_orderkey", 50).drop("o_orderstatus")

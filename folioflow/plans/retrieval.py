@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import hashing as H
 from folioflow.functions import text as X
+from folioflow.operators import reports as P
 from folioflow.operators import retrieval as R
 from folioflow.plans.registry import query
 
@@ -26,7 +27,7 @@ def d1_keyword_index(t):
 
 @query(_COUNTS + "SELECT keyword, count(*) AS n FROM (SELECT doc_id, keyword, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, keyword) AS r FROM postings) WHERE r <= 5 GROUP BY keyword")
 def e6_top_keywords(t):
-    return R.keyword_index(t.documents, "doc_id", "text", top=5).groupBy("keyword").agg(F.count("*").alias("n"))
+    return R.postings(R.keyword_counts(t.documents, "doc_id", "text"), "doc_id", top=5).groupBy("keyword").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT doc_id, source AS keyword, 0.5 AS tf FROM documents UNION ALL SELECT doc_id, lang, 0.5 FROM documents""")
@@ -35,13 +36,13 @@ def d2_uniform_postings(t):
 
 
 def _search(t, k=20):
-    asked = t.documents.filter("doc_id = 5 or doc_id = 9").select("doc_id", F.explode(X.keywords_simple(F.col("text"), 6)).alias("keyword")).select(F.col("doc_id").alias("query"), "keyword")
-    live = t.documents.filter("lang = 'en'").select("doc_id")
-    return R.keyword_search(R.keyword_index(t.documents, "doc_id", "text"), live, asked, "doc_id", k)
+    asked = t.documents.filter("doc_id % 100 = 0").select("doc_id", F.explode(X.keywords_simple(F.col("text"), 6)).alias("keyword")).select(F.col("doc_id").alias("query"), "keyword")
+    live = t.documents.filter("lang = 'en'")  # known before the index is built, so only these documents are indexed
+    return R.keyword_search(R.postings(R.keyword_counts(live, "doc_id", "text"), "doc_id"), live, asked, "doc_id", k)
 
 
 _SIMPLE = ", ".join(f"'{w}'" for w in X.SIMPLE_STOP_WORDS)
-_SEARCH = _COUNTS + rf""", a AS (SELECT doc_id AS query, w AS keyword FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT doc_id, w, min(i) AS i FROM (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split_regex(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s\-]', '', 'g'), '\s+') AS l FROM documents WHERE doc_id IN (5, 9))) WHERE length(w) > 2 AND w NOT IN ({_SIMPLE}) GROUP BY doc_id, w)) WHERE r <= 6),
+_SEARCH = _COUNTS + rf""", a AS (SELECT doc_id AS query, w AS keyword FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT doc_id, w, min(i) AS i FROM (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split_regex(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s\-]', '', 'g'), '\s+') AS l FROM documents WHERE doc_id % 100 = 0)) WHERE length(w) > 2 AND w NOT IN ({_SIMPLE}) GROUP BY doc_id, w)) WHERE r <= 6),
 f AS (SELECT query, doc_id, count(*) AS match_count, sum(tf) AS total_tf FROM postings JOIN a USING (keyword) WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') GROUP BY ALL),
 s AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY match_count DESC, round(total_tf, 9) DESC, doc_id) - 1 AS rank FROM f)
 """
@@ -112,16 +113,21 @@ def h39_mean_pool(t):
     return R.mean_pool(t.embeddings, "label", "embedding").select("label", F.posexplode("mean").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query(f"SELECT q, v, round(1 - distance, 4) AS similarity FROM ({_KNN.format(where='AND b.vec_id % 7 = 3')}) WHERE rank = 1 AND round(1 - distance, 4) >= 0.4")
+_NEAREST = f"SELECT q, v, distance, row_number() OVER (PARTITION BY q ORDER BY round(distance, 9), v) AS rank FROM (SELECT a.vec_id AS q, b.vec_id AS v, {_DIST} AS distance FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x, i: x + CASE WHEN i = 1 THEN 0.05 * (vec_id // 100) ELSE 0 END) AS embedding FROM embeddings WHERE vec_id % 100 = 0) a, embeddings b)"
+
+
+@query(f"SELECT q, v, round(1 - distance, 4) AS similarity FROM ({_NEAREST}) WHERE rank = 1 AND round(1 - distance, 4) >= 0.4")
 def f4_classify_template(t):
-    return R.classify_template(_asked(t), _vectors(t).filter("v % 7 = 3"), "q", "v", "embedding")
+    # asked with copies of which the first place is moved further and further, so that some pass the gate and some don't
+    moved = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x + F.when(i == 0, 0.05 * F.floor(F.col("q") / 100)).otherwise(0.0))
+    return R.classify_template(_asked(t).withColumn("embedding", moved), _vectors(t), "q", "v", "embedding")
 
 
-@query(_SEARCH + f""", n AS (SELECT q AS query, v AS doc_id, distance, rank FROM (SELECT q, v, distance, row_number() OVER (PARTITION BY q ORDER BY round(distance, 9), v) AS rank FROM (SELECT a.vec_id AS q, b.vec_id AS v, {_DIST} AS distance FROM embeddings a, embeddings b WHERE a.vec_id IN (5, 9))) WHERE rank <= 20),
+@query(_SEARCH + f""", n AS (SELECT q AS query, v AS doc_id, distance, rank FROM (SELECT q, v, distance, row_number() OVER (PARTITION BY q ORDER BY round(distance, 9), v) AS rank FROM (SELECT a.vec_id AS q, b.vec_id AS v, {_DIST} AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)) WHERE rank <= 20),
 m AS (SELECT query, doc_id, round(sum(score), 4) AS score FROM (SELECT query, doc_id, 0.3::DOUBLE / (rank + 1) AS score FROM s WHERE rank < 30 UNION ALL SELECT query, doc_id, 0.7::DOUBLE * greatest(0, 1 - distance) FROM n) WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') GROUP BY ALL)
 SELECT query, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM m) WHERE rank <= 10""")
 def g1_hybrid_retrieve(t):
-    asked = t.embeddings.filter("vec_id in (5, 9)").select(F.col("vec_id").alias("query"), "embedding")
+    asked = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding")
     near = R.knn(asked, t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "query", "doc_id", "embedding", 20)
     kinds = t.documents.select("doc_id", F.col("lang").alias("kind"))
     return R.hybrid_retrieve(_search(t, 30), near, kinds, "query", "doc_id", "en")
@@ -137,11 +143,9 @@ def e7_select_chunks(t):
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def d15_vector_counts(t):
-    return t.embeddings.groupBy("label").agg(F.count("*").alias("n"))
+    return P.vector_counts(t.embeddings, "label")
 
 
 @query("SELECT lang, unnest(list_slice(l, 1, 64)) AS source FROM (SELECT lang, list(source ORDER BY i) AS l FROM (SELECT lang, source, min(doc_id) AS i FROM documents GROUP BY ALL) GROUP BY lang)")
 def g2_ordered_distinct(t):
-    ordered = F.array_sort(F.collect_list(F.struct("doc_id", "source")))
-    lists = t.documents.groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id")).groupBy("lang").agg(F.slice(F.array_distinct(F.transform(ordered, lambda x: x["source"])), 1, 64).alias("l"))
-    return lists.select("lang", F.explode("l").alias("source"))
+    return P.ordered_distinct(t.documents, "lang", "source", "doc_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import hashing as H
 from folioflow.functions import text as X
 from folioflow.operators import chunks as C
+from folioflow.operators import reports as P
 from folioflow.plans.registry import query
 from folioflow.sources.sinks import render_pages, with_envelope
 
@@ -141,16 +142,12 @@ def h42_token_budget(t):
 
 @query("SELECT p_brand, string_agg('Field: ' || p_name || ' | Type: ' || p_type || ' | Notes: ' || p_size, chr(10) ORDER BY p_partkey) AS card FROM part GROUP BY p_brand")
 def h43_template_card(t):
-    card = X.field_card(F.col("p_name"), F.col("p_type"), F.col("p_size").cast("string"))
-    lines = F.array_sort(F.collect_list(F.struct("p_partkey", card.alias("c"))))
-    return t.part.groupBy("p_brand").agg(F.array_join(F.transform(lines, lambda x: x["c"]), "\n").alias("card"))
+    return P.template_card(t.part, "p_brand", "p_partkey", F.col("p_name"), F.col("p_type"), F.col("p_size").cast("string"))
 
 
 @query("SELECT conv_id, string_agg(CASE role WHEN 'system' THEN 'System: ' WHEN 'assistant' THEN 'Assistant: ' ELSE 'User: ' END || text, chr(10) || chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
 def h44_render_prompt(t):
-    said = F.concat(F.when(F.col("role") == "system", "System: ").when(F.col("role") == "assistant", "Assistant: ").otherwise("User: "), "text")
-    lines = F.array_sort(F.collect_list(F.struct("turn", said.alias("s"))))
-    return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["s"]), "\n\n").alias("prompt"))
+    return P.render_prompt(t.conversations, "conv_id", "turn", "role", "text")
 
 
 @query("SELECT conv_id, turn, CASE WHEN contains(lower(text), 'eau') THEN 'eau' WHEN contains(lower(text), 'ung') THEN 'Ung' WHEN contains(lower(text), 'the') THEN 'the' ELSE 'eau' END AS label FROM conversations")
@@ -172,12 +169,29 @@ def i1_paragraphs(t):
     return C.split_paragraphs(_spaced(t), "doc_id", F.col("text"))
 
 
-@query()
+_PARAGRAPHS = r"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, string_split_regex(p, '\s+') AS ws FROM (SELECT doc_id, i, regexp_replace(x, '^\s+|\s+$', '', 'g') AS p FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split_regex(replace(text, chr(10), chr(10) || ' ' || chr(10)), '\n\s*\n') AS l FROM documents))) WHERE p <> ''"""
+_WORD_CHUNKS = f"""WITH RECURSIVE p AS ({_PARAGRAPHS}),
+e AS (SELECT doc_id, k, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS past FROM p),
+a AS (SELECT doc_id, flatten(list(ws ORDER BY k)) AS ws FROM p GROUP BY doc_id),
+r AS (SELECT doc_id, k, 0::BIGINT AS first, past, 0::BIGINT AS chunk FROM e WHERE k = 1
+ UNION ALL SELECT e.doc_id, e.k, CASE WHEN r.past > r.first AND e.past - r.first > 512 THEN greatest(r.first, r.past - 50) ELSE r.first END, e.past, CASE WHEN r.past > r.first AND e.past - r.first > 512 THEN r.chunk + 1 ELSE r.chunk END FROM r JOIN e ON e.doc_id = r.doc_id AND e.k = r.k + 1),
+c AS (SELECT doc_id, chunk, array_to_string(ws[min(first) + 1:max(past)], ' ') AS text FROM r JOIN a USING (doc_id) GROUP BY doc_id, chunk, ws)
+"""
+
+
+@query(_WORD_CHUNKS + "SELECT doc_id, chunk, text FROM c")
 def i2_word_chunks(t):
     return C.word_chunks(_spaced(t), "doc_id", "text")
 
 
-@query()
+_WINDOW_END = r"CASE WHEN start + 512 >= n THEN n ELSE start + CASE WHEN length(m) >= 2 THEN length(m) ELSE 512 END END"
+_WINDOW_SPACE = r"regexp_extract(substr(text, start + 1, 512), '(?s)^.*[ \n\t]')"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text)::BIGINT AS n, 0::BIGINT AS chunk, 0::BIGINT AS start FROM documents WHERE text <> ''),
+r AS (SELECT doc_id, text, n, chunk, start, {_WINDOW_END} AS past FROM (SELECT *, {_WINDOW_SPACE} AS m FROM d)
+ UNION ALL SELECT doc_id, text, n, chunk, start, {_WINDOW_END} FROM (SELECT *, {_WINDOW_SPACE} AS m FROM (SELECT doc_id, text, n, chunk + 1 AS chunk, greatest(past - 64, start + 1) AS start FROM r WHERE past < n)))
+SELECT doc_id, chunk, substr(text, start + 1, past - start) AS text FROM r""")
 def i3_char_chunks(t):
     return C.char_chunks(t.documents, "doc_id", "text")
 
@@ -193,7 +207,13 @@ def i4_line_chunks(t):
     return C.line_chunks(t.documents, "doc_id", "text", 3000)
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''),
+s AS (SELECT doc_id, i, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS past FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l WHERE length(text) > 2500)),
+r AS (SELECT doc_id, 1::BIGINT AS i, 1::BIGINT AS first, 0::BIGINT AS chunk FROM s WHERE i = 1
+ UNION ALL SELECT s.doc_id, s.i, CASE WHEN s.past - coalesce(b.past, 0) > 2500 THEN greatest(r.first, r.i - 1) ELSE r.first END, CASE WHEN s.past - coalesce(b.past, 0) > 2500 THEN r.chunk + 1 ELSE r.chunk END
+ FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1 LEFT JOIN s b ON b.doc_id = r.doc_id AND b.i = r.first - 1)
+SELECT doc_id, chunk, array_to_string(ls[min(first):max(i)], chr(10)) AS text FROM r JOIN l USING (doc_id) GROUP BY doc_id, chunk, ls
+UNION ALL SELECT doc_id, 0, text FROM l WHERE length(text) <= 2500""")
 def i5_line_chunks_carry(t):
     return C.line_chunks(t.documents, "doc_id", "text", 2500, carry=2)
 
@@ -221,7 +241,11 @@ def i9_document_chunks(t):
     return C.document_chunks(t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")), "doc_id", "text")
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, '.' || chr(10), '.' || chr(10) || 'Employee: 12345 '), 'page\s+\d+\s+of\s+\d+', '', 'gi'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[^\x00-\x7F]+', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents),
+m AS (SELECT *, string_split(regexp_replace(text, '((?:employee|emp|id|number|#)\s*:?\s*[A-Z0-9\-]{3,15})', chr(65535) || '\1', 'gi'), chr(65535)) AS l FROM t),
+p AS (SELECT doc_id, text, list_filter(list_transform(CASE WHEN len(l) > 6 THEN l[2:] ELSE string_split_regex(text, '\n\s*\n\s*\n') END, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 50) AS l FROM m),
+c AS (SELECT doc_id, CASE WHEN len(l) >= 3 THEN l ELSE list_filter(list_transform(range(0, greatest(length(text) - 1, 0) // 2500 + 1), lambda i: regexp_replace(substr(text, i * 2500 + 1, 2500), '^\s+|\s+$', '', 'g')), lambda x: x <> '') END AS l FROM p)
+SELECT doc_id, generate_subscripts(l, 1) - 1 AS chunk, unnest(l) AS text FROM c""")
 def i10_atomic_records(t):
     marked = F.regexp_replace("text", r"\.\n", ".\nEmployee: 12345 ")
     return C.atomic_records(t.documents.select("doc_id", marked.alias("text")), "doc_id", "text")
@@ -232,7 +256,8 @@ def i11_fixed_slices(t):
     return C.fixed_slices(t.documents, "doc_id", F.col("text"), 1000)
 
 
-@query()
+@query(_WORD_CHUNKS + """SELECT doc_id || '-' || chunk AS id, doc_id, chunk, past - length(text) AS start, past AS end, sha256(text) AS chunk_hash, CASE WHEN length(text) < 50 THEN 0.2 WHEN length(text) > 5000 THEN 0.5 ELSE 0.9 END AS quality, text
+FROM (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY chunk)::BIGINT AS past FROM c)""")
 def i12_ingest_chunks(t):
     return C.ingest_chunks(_spaced(t), "doc_id", "text")
 
@@ -260,14 +285,12 @@ def c6_match_anchors(t):
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS pages FROM conversations GROUP BY conv_id")
 def d9_pages_to_document(t):
-    pages = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(pages, lambda p: p["text"]), "\n").alias("text"), F.count("*").alias("pages"))
+    return P.pages_to_document(t.conversations, "conv_id", "turn", "text")
 
 
 @query("SELECT conv_id, count(*) FILTER (WHERE length(trim(text)) > 200) AS native, count(*) FILTER (WHERE length(trim(text)) <= 200) AS needs_ocr, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id")
 def d10_page_triage(t):
-    native = F.length(F.trim("text")) > 200
-    return t.conversations.groupBy("conv_id").agg(F.count_if(native).alias("native"), F.count_if(~native).alias("needs_ocr"), F.sum(F.length("text")).alias("chars"))
+    return P.page_triage(t.conversations, "conv_id", "text", least=200)
 
 
 @query("SELECT conv_id, string_agg('=== Page ' || turn || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")

@@ -8,6 +8,7 @@ from folioflow.functions import coerce as K
 from folioflow.functions import text as X
 from folioflow.functions import validate as V
 from folioflow.operators import mapping as M
+from folioflow.operators import reports as P
 from folioflow.plans.registry import query
 
 
@@ -207,10 +208,16 @@ def h26_infer_types(t):
     return M.infer_types(rows, "j", ["event_id"])
 
 
-@query("SELECT count(*) AS n, 'number' AS kind FROM events")
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'number (sample: ' || doc_id || ')' WHEN 1 THEN 'boolean (sample: ' || (n_chars > 500) || ')' WHEN 2 THEN 'array (length: 2)' WHEN 3 THEN 'object (keys: a, b, c)'
+ ELSE 'string (sample: ' || substr(text, 1, 50) || CASE WHEN length(text) > 50 THEN '...' ELSE '' END || ')' END AS shown FROM documents WHERE text IS NOT NULL""")
 def h38_sample_context(t):
-    got = t.events.select(M.sample_context(F.parse_json(F.get_json_object("props", "$.k"))).alias("c"))
-    return got.select(F.regexp_extract("c", r"^(\w+)", 1).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    quoted = F.to_json(F.struct(F.col("text").alias("x"), F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("doc_id").alias("c"), F.array("doc_id", "n_chars").alias("l"), (F.col("n_chars") > 500).alias("o")))
+    whole = F.parse_json(F.when(F.col("doc_id") % 5 == 3, F.to_json(F.struct(F.lit(1).alias("a"), F.lit(1).alias("b"), F.lit(1).alias("c"), F.lit(1).alias("d")))).otherwise(quoted))
+    value = F.when(F.col("doc_id") % 5 == 3, whole)
+    for i, name in enumerate(("a", "o", "l", None, "x")):
+        if name:
+            value = F.when(F.col("doc_id") % 5 == i, F.variant_get(whole, f"$.{name}", "variant")).otherwise(value)
+    return t.documents.filter("text is not null").select("doc_id", M.sample_context(value).alias("shown"))
 
 
 @query("SELECT CASE WHEN props LIKE '%\"k\"%' THEN 'k' ELSE '' END AS keys, count(*) AS usage_count, count(DISTINCT user_id) AS n_paths, max(ts) AS last_used FROM events GROUP BY 1")
@@ -219,13 +226,13 @@ def d13_structure_registry(t):
     return M.structure_registry(files, "keys", "path", "ts").select("keys", "usage_count", "n_paths", "last_used")
 
 
-@query("SELECT user_id, event_type AS kind, max(event_id) AS latest FROM events WHERE user_id % 3 = 0 GROUP BY ALL")
+@query("SELECT user_id, event_type AS kind, max(event_id) AS latest FROM events GROUP BY ALL")
 def c14_find_structure(t):
-    keys = t.events.filter("user_id % 3 = 0").select("user_id", F.col("event_type").alias("kind")).distinct()
+    keys = t.events.select("user_id", F.col("event_type").alias("kind")).distinct()
     cache = t.events.select("user_id", F.col("event_type").alias("kind"), F.col("event_id").alias("latest"))
     return M.find_structure(cache, keys, ["user_id", "kind"], "latest")
 
 
 @query("SELECT user_id, n, last FROM (SELECT user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id) ORDER BY n DESC, last DESC, user_id LIMIT 20")
 def f2_top_structures(t):
-    return t.events.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last")).sort(F.desc("n"), F.desc("last"), "user_id").limit(20)
+    return P.top_structures(t.events, "user_id", "ts", 20)

@@ -5,17 +5,38 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or under a temporary one where that is unset (a session on one machine)."""
+    """A new folder under spark.checkpoint.dir, or under a temporary one where that is unset and the session is on one machine; elsewhere an error."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir")
     if not base:
         held = context._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-folioflow-", dir="/tmp"))
             held = context._jsc.sc().getCheckpointDir()
         base = held.get()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, so that later jobs read rows that are fixed and survive lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all folders made here so far and returns their number; for when no DataFrame over them is needed any more."""
+    n = len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

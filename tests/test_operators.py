@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import io
 import random
+import re
 import zipfile
 
 import pytest
@@ -113,14 +114,95 @@ def test_packed_lines_are_the_text(x, size):
     assert "\n".join(pieces) == x and all(len(p) <= size or "\n" not in p for p in pieces)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.text(alphabet="ab ", max_size=30), max_size=20), st.integers(1, 20), st.integers(0, 5))
-def test_packed_words(paragraphs, target, overlap):
-    words = [w for p in paragraphs for w in p.split()]
-    pieces = [p.split() for p in chunks.pack_words(paragraphs, target, overlap)]
-    if overlap == 0:
-        assert [w for p in pieces for w in p] == words
-    assert all(w in words for p in pieces for w in p)
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 4), st.booleans()), max_size=25), st.integers(1, 12), st.integers(0, 5))
+def test_packed_ranges(units, limit, carry):
+    """Against the rule told unit by unit, with lists of atoms."""
+    atoms = [(k, i) for k, (n, _) in enumerate(units) for i in range(n)]
+    fresh = frozenset(k for k, (_, f) in enumerate(units) if f)
+    want, held = [], []
+    for k, (n, _) in enumerate(units):
+        own = [(k, i) for i in range(n)]
+        if held and (k in fresh or len(held) + n > limit):
+            want.append(held)
+            held = [] if k in fresh or not carry else held[-carry:]
+        held = held + own
+    want += [held] if held else []
+    assert [atoms[a:b] for a, b in chunks.packed([n for n, _ in units], [1] * len(atoms), limit, carry, fresh)] == want
+
+
+def test_document_chunks_are_the_text(spark, sf):
+    """Without overlap the chunks hold all words once and in order, none is too long but for a single sentence; with it, each chunk may begin with the paragraph before."""
+    rows = {r["doc_id"]: (r["text"] or "").replace("\n", "\n\n") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    df = spark.createDataFrame(list(rows.items()), "k long, t string")
+    for overlap in (False, True):
+        got: dict = {}
+        for r in sorted(chunks.document_chunks(df, "k", "t", 200, overlap).collect(), key=lambda r: (r["k"], r["chunk"])):
+            got.setdefault(r["k"], []).append(r["text"])
+        for k, x in rows.items():
+            parts = [p.strip() for p in x.split("\n\n") if p.strip()]
+            if not overlap:
+                assert re.sub(r"[\s.]", "", "".join(got.get(k, []))) == re.sub(r"[\s.]", "", "".join(parts))
+                assert all(len(c) // 4 <= 202 + 2 * (c.count("\n\n") + c.count(". ")) or ("\n\n" not in c and ". " not in c) for c in got.get(k, []))
+            for c, after in zip(got.get(k, []), got.get(k, [])[1:]):
+                first = after.split("\n\n")[0]
+                assert first in parts or any(first in p for p in parts)
+                assert not overlap or first == c.split("\n\n")[-1] or any(len(p) // 4 > 200 and first in p for p in parts)
+
+
+def test_session_chunks_hold_any_session(spark):
+    rows = [(k, i, "user", "x" * (5 * (i % 9)) + str(i)) for k in (1, 2, None) for i in range(500 if k == 2 else 3)]
+    got = sorted(chunks.session_chunks(spark.createDataFrame(rows, "s long, n long, r string, t string"), "s", "n", "r", "t", 20).collect(), key=lambda r: (r["s"] is None, r["s"], r["chunk"]))
+    for k in (1, 2, None):
+        own = [r for r in got if r["s"] == k]
+        said = [f"{r}: {t}" for s, _, r, t in rows if s == k]
+        assert [r["chunk"] for r in own] == list(range(len(own))) and "\n".join(r["text"] for r in own) == "\n".join(said)
+        assert [r["start_idx"] for r in own] == [0, *[r["end_idx"] + 1 for r in own[:-1]]] and own[-1]["end_idx"] == len(said) - 1
+        assert all(r["tokens"] == sum(len(x) // 4 for x in said[r["start_idx"] : r["end_idx"] + 1]) for r in own)
+
+
+def test_each_prompt_is_asked_once_an_attempt(spark, tmp_path):
+    import uuid
+
+    from folioflow.operators import models
+
+    def noted(name, fails):
+        def make():
+            def call(prompts):
+                for p in prompts:
+                    (tmp_path / f"{name}-{p}-{uuid.uuid4().hex}").touch()
+                asked = [len(list(tmp_path.glob(f"{name}-{p}-*"))) for p in prompts]
+                if any(n <= fails(p) for p, n in zip(prompts, asked)):
+                    raise ValueError("not yet")
+                return [name + p for p in prompts]
+
+            return call
+
+        return make
+
+    df = spark.createDataFrame([(i, f"p{i}x") for i in range(14)], "n long, p string")
+    # the small model fails once for every prompt, the large one always for two of them
+    got = {r["p"]: (r["reply"], r["tier"], r["error"]) for r in models.tiered_map(df, "p", "n", noted("s", lambda p: 1), noted("l", lambda p: 99 if p in ("p3x", "p12x", "p13x") else 0), retries=0).collect()}
+    assert len(got) == 14 and got["p1x"] == ("lp1x", "large", None) and got["p3x"] == ("sp3x", "small", None) and got["p11x"] == ("lp11x", "large", None)
+    asked = lambda name, p: len(list(tmp_path.glob(f"{name}-{p}-*")))
+    assert [(asked("s", p), asked("l", p)) for p in ("p1x", "p3x", "p11x", "p12x")] == [(1, 1), (2, 1), (0, 1), (1, 2)]
+    assert got["p12x"] == (None, "large", "not yet")
+
+
+def test_deep_json_is_flattened_to_its_leaves(spark):
+    deep = '{"a":' * 60 + "7" + "}" * 60
+    got = memory.flatten_json(spark.createDataFrame([(1, deep), (2, "3"), (3, '{"x":[]}')], "k int, j string"), "k", "j").collect()
+    assert [(r["k"], r["path"], r["value"]) for r in got] == [(1, ".".join("a" * 60), "7")]
+
+
+def test_shared_folders_are_released(spark, tmp_path):
+    from folioflow.sources.shared import release, shared_folder, written
+
+    release(spark)
+    table = written(spark.range(3), "x")
+    assert table.count() == 3 and release(spark) == 1
+    assert not list(spark.sparkContext._jvm.java.io.File(shared_folder(spark, "y")).list() or [])
+    assert release(spark) == 1
 
 
 def test_positions_and_empty_tables(spark):
