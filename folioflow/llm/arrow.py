@@ -10,10 +10,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioflow.sources.shared import shared_folder as scratch  # noqa: F401
+from folioflow.sources.shared import written  # noqa: F401
+
 #: Bytes of text that are worked on at once, unless a single text is longer.
 RUN_BYTES = 1 << 20
 #: Odd multipliers of the rolling hashes, modulo 2**64.
@@ -115,26 +118,3 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """The hash of words[i:i + width] for each i that has so many words."""
     at = np.arange(max(0, len(words) - width + 1))
     return span_hashes(words, at, at + width, WORD_BASE)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where it is unset (a session on one machine)."""
-    import tempfile
-    import uuid
-
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir")
-    if not base:
-        held = context._jsc.sc().getCheckpointDir()
-        if not held.isDefined():
-            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-folioflow-", dir="/tmp"))
-            held = context._jsc.sc().getCheckpointDir()
-        base = held.get()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, so that later jobs read rows that are fixed and survive lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

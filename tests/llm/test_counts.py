@@ -95,16 +95,25 @@ def test_contamination_short_items_blocks_and_odd_rows(spark, odd):
     texts = {i: r[1] for i, r in enumerate(ODD)} | {20: " ".join(str(i) for i in range(2, 18)), 21: "of. THE and-of"}
     df = spark.createDataFrame(list(texts.items()), "k long, text string")
     want = brute_contamination(texts, items)
-    for size in (16 << 20, 20):
-        got = contamination.scan(df, F.col("text"), bench, F.col("id"), F.col("text"), block_bytes=size)
+    for size in (8 << 20, 0):  # by broadcast, and by join
+        got = contamination.scan(df.withColumns({"hits": F.lit(1), "N_Words": F.lit(2), "__text": F.lit(3)}), F.col("text"), bench, F.col("id"), F.col("text"), broadcast_bytes=size)
+        assert sorted(got.columns) == ["__text", "hits", "items", "k", "n_words", "text"]
         hit = contamination.n_hit(F.col("hits"))
         rows = {r["k"]: (r["n_words"], r["h"], len(r["items"]), contamination.items_digest(r["items"]), r["c"]) for r in got.withColumns({"h": hit, "c": contamination.contaminated(F.col("n_words"), hit)}).collect()}
         assert rows == want
     assert contamination.scan(df, F.col("text"), bench.limit(0), F.col("id"), F.col("text")).filter("size(hits) > 0").count() == 0
+    assert contamination.scan(df.limit(0), F.col("text"), bench, F.col("id"), F.col("text"), broadcast_bytes=0).count() == 0
+    assert contamination.scan(df, F.col("text"), bench.limit(0), F.col("id"), F.col("text"), broadcast_bytes=-1).filter("size(hits) > 0").count() == 0
     cleaned = contamination.remove_spans(contamination.scan(df, F.col("text"), bench, F.col("id"), F.col("text")), F.col("text")).filter("k = 20").first()["cleaned"]
     assert cleaned == ""
 
 
+def test_contamination_by_join_equals_that_by_broadcast(spark, sf):
+    docs, bench = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "benchmark"))
+    rows = [sorted(map(str, contamination.scan(docs.select("doc_id", "text"), F.col("text"), bench, F.col("item_id"), F.col("text"), broadcast_bytes=n).drop("text").collect())) for n in (8 << 20, 0)]
+    assert rows[0] == rows[1] and any("first=" in x for x in rows[0])
+
+
 def brute_quality(text: str | None) -> tuple:
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -130,6 +139,27 @@ def test_quality_counts_equal_brute_force(spark, sf, docs, odd):
     assert [tuple(r[k] for k in names) for r in got] == [brute_quality(r[1]) for r in ODD]
 
 
+def test_lines_are_labelled_within_texts(spark, sf):
+    """Boilerplate put between the lines of good texts is found, and the good lines around it are left."""
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.train(docs, labels, F.col("text"), "doc_id", "quality")
+    junk = ["Home | News | Shop | Login | Help | Terms | Contact | About", "BUY!! NOW!! CHEAP!! BEST!! OFFER!! TODAY!! ONLY!! HERE!!", "go*** on*** the$$$ big### win&&& of%%% it*** all###", "click here | click here | click here | click here |"]
+    good = [r["text"] for r in docs.join(labels.filter("quality = 1"), "doc_id").filter("text not rlike '[|#$]' and length(text) > 800").select("text").collect() if r["text"].count("\n") >= 4]
+    texts, of = [], []
+    for k, x in enumerate(good):
+        lines = [y for y in x.split("\n") if y.split()]
+        at = len(lines) // 2
+        texts.append("\n".join([*lines[:at], *junk, *lines[at:]]).encode())
+        of.append([0] * at + [1] * len(junk) + [0] * (len(lines) - at))
+    found = quality.Texts(texts)
+    state = quality.viterbi(quality._scores(found.features, model[0]), model[1], found.line_doc)
+    bad = np.concatenate(of) == 1
+    assert len(good) > 50 and len(bad) == len(state)
+    assert state[bad].mean() < 0.05 and state[~bad].mean() > 0.95
+    part = quality.assess(spark.createDataFrame([(x.decode(),) for x in texts], "text string"), F.col("text"), model).collect()
+    assert np.mean([0 < r["content_share"] < 1 for r in part]) > 0.9
+
+
 def test_viterbi_equals_enumeration():
     rng = np.random.default_rng(3)
     doc = np.repeat([0, 1, 2], [4, 1, 6])
