@@ -149,7 +149,7 @@ def _outputs(w, bounds, hidden, target, grad: bool):
     return out, grads, dh
 
 
-def score(w: dict[str, np.ndarray], bounds: np.ndarray, symbols: np.ndarray, sizes: np.ndarray, lanes: int = 512, steps: int = 8) -> np.ndarray:
+def score(w: dict[str, np.ndarray], bounds: np.ndarray, symbols: np.ndarray, sizes: np.ndarray, lanes: int = 256, steps: int = 24) -> np.ndarray:
     """The natural log-probability of each whole text; symbols holds the texts one behind another."""
     table = w["emb"] @ w["wx"][:-1] + w["wx"][-1]
     laid = Lanes(symbols, sizes, len(w["emb"]) - 1, lanes)

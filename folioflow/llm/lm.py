@@ -84,14 +84,15 @@ class Vocabulary:
         self.rare_total = math.log10(self.rare + distinct - len(h) + 1)
 
     def symbols(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbol and count of each token; rare ones have the second group's and 0."""
-        if not len(self.h):
-            return np.where(tokens == END, 0, self.n_words + 1), np.zeros(len(tokens), np.int64)
-        at = np.minimum(np.searchsorted(self.h, tokens), len(self.h) - 1)
-        known = self.h[at] == tokens
-        symbol, count = np.where(known, self.symbol[at], self.n_words + 1), np.where(known, self.c[at], 0)
-        symbol[(tokens == END) & ~known] = int(np.flatnonzero(self.top == END)[0])
-        return symbol, count
+        """Symbol and count of each token; rare ones have the second group's and 0. Each distinct token is looked up once."""
+        some, where = np.unique(tokens, return_inverse=True)
+        symbol, count = np.full(len(some), self.n_words + 1), np.zeros(len(some), np.int64)
+        if len(self.h):
+            at = np.minimum(np.searchsorted(self.h, some), len(self.h) - 1)
+            known = self.h[at] == some
+            symbol[known], count[known] = self.symbol[at[known]], self.c[at[known]]
+        symbol[(some == END) & (count == 0)] = int(np.flatnonzero(self.top == END)[0])
+        return symbol[where].astype(np.int32), count[where]
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
