@@ -207,11 +207,33 @@ def sections_by_anchor(marks: DataFrame, file: str, page: str, n_pages: str) ->
     return marks.select(file, "anchor", F.col(page).alias("first"), F.coalesce(nxt - 1, F.col(n_pages)).alias("last")).filter("last >= first")
 
 
-def match_anchors(pages: DataFrame, anchors: DataFrame, text: str) -> DataFrame:
-    """Pages with the templates (name, anchor) of which an anchor is in the text. The anchors are a fixed list of at most 10,000, which is checked before they are broadcast."""
-    if anchors.limit(10_001).count() > 10_000:
-        raise ValueError("over 10,000 anchors: use a keyword index and join on words")
-    return pages.join(F.broadcast(anchors), F.lower(text).contains(F.lower("anchor"))).drop("anchor").distinct()
+def match_anchors(pages: DataFrame, anchors: DataFrame, text: str, most: int = 10_000) -> DataFrame:
+    """Pages with the templates (name, anchor) of which an anchor is in the text, in any case.
+
+    The anchors are a list of at most so many, which is checked; an automaton finds all of them in one pass over a text.
+    """
+    rows = anchors.select("name", F.lower("anchor").alias("anchor")).dropna().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} anchors: use a keyword index and join on words")
+    names: dict[str, list[str]] = {}
+    for r in rows:
+        names.setdefault(r["anchor"], []).append(r["name"])
+    held = pages.sparkSession.sparkContext.broadcast(names)
+
+    @F.pandas_udf("array<string>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton, always = ahocorasick.Automaton(), held.value.get("", [])
+        for anchor, own in held.value.items():
+            if anchor:
+                automaton.add_word(anchor, own)
+        automaton.make_automaton()
+        search = automaton.iter if len(automaton) else lambda x: ()
+        for b in batches:
+            yield pd.Series([None if x is None else sorted({n for _, own in search(x) for n in own}.union(always)) for x in b])
+
+    return pages.withColumn("name", F.explode(found(F.lower(text))))
 
 
 def parse_field_defs(df: DataFrame, key: str, text: str) -> DataFrame:

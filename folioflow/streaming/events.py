@@ -56,44 +56,51 @@ def _fixed(limit: int, window_us: int):
 _LIMITS = "key {kind}, event long, allowed boolean, current long, remaining long"
 
 
-def _limit(df: DataFrame, key: str, ts: str, event: str, step: Callable) -> DataFrame:
-    rows = df.select(F.col(key).alias("key"), F.col(event).cast("long").alias("event"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    schema = _LIMITS.format(kind=dict(rows.dtypes)["key"])
+def _stepped(df: DataFrame, key: Column, ts: str, event: str, extra: dict[str, Column], step: Callable, schema: str, keep_us: int, late: str) -> DataFrame:
+    """Each key's events in order through step(state, row), batch or stream; state is a list of times, of no use keep_us after its key's last event.
+
+    A stream takes a key's events of a micro-batch in order, drops those later than the watermark, and forgets a key
+    once the watermark is keep_us past its last event, so that state holds the keys of that time alone.
+    """
+    rows = df.select(key.alias("key"), F.col(event).cast("long").alias("event"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), *[c.alias(k) for k, c in extra.items()], *([F.col(ts).cast("timestamp").alias("at")] if df.isStreaming else []))
+    schema = schema.format(kind=dict(rows.dtypes)["key"])
     if not df.isStreaming:
         return fold_by_key(rows, "key", ["us", "event"], step, list, schema)
 
     def update(keys, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["us", "event"])
         out = [step(held, r) for r in rows.to_dict("records")]
         state.update((held,))
+        state.setTimeoutTimestamp(max((int(rows["us"].max()) + keep_us) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out)
 
-    return rows.groupBy("key").applyInPandasWithState(update, schema, "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    return rows.withWatermark("at", late).groupBy("key").applyInPandasWithState(update, schema, "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
 
+def _limit(df: DataFrame, key: str, ts: str, event: str, step: Callable, window_s: int, late: str) -> DataFrame:
+    return _stepped(df, F.col(key), ts, event, {}, step, _LIMITS, window_s * 1_000_000, late)
 
-def rate_limit_sliding(df: DataFrame, key: str, ts: str, event: str, limit: int, window_s: int) -> DataFrame:
+
+def rate_limit_sliding(df: DataFrame, key: str, ts: str, event: str, limit: int, window_s: int, late: str = "1 hour") -> DataFrame:
     """An event is allowed while fewer than limit allowed ones of its key lie in the window before it; batch or stream.
 
     A stream keeps the allowed times within the window for each key (limit at most) and takes events in order within
     a micro-batch.
     """
-    return _limit(df, key, ts, event, _sliding(limit, window_s * 1_000_000))
+    return _limit(df, key, ts, event, _sliding(limit, window_s * 1_000_000), window_s, late)
 
 
-def rate_limit_fixed(df: DataFrame, key: str, ts: str, event: str, limit: int, window_s: int = 60) -> DataFrame:
+def rate_limit_fixed(df: DataFrame, key: str, ts: str, event: str, limit: int, window_s: int = 60, late: str = "1 hour") -> DataFrame:
     """A window opens at a key's first event and lasts window_s; the first limit events in it are allowed."""
-    return _limit(df, key, ts, event, _fixed(limit, window_s * 1_000_000))
-
+    return _limit(df, key, ts, event, _fixed(limit, window_s * 1_000_000), window_s, late)
 
-def idempotent(df: DataFrame, key: list[str], ts: str, event: str, ttl_s: int, success: Column) -> DataFrame:
-    """(event, replay): whether a stored success of the key is not older than ttl; only successes that are no replays are stored.
 
-    As a stream: the first event of a key within the watermark, and no others.
-    """
-    if df.isStreaming:
-        return df.filter(success).withWatermark(ts, f"{ttl_s} seconds").dropDuplicatesWithinWatermark(key)
-    rows = df.select(F.concat_ws("\u001f", *[F.col(k).cast("string") for k in key]).alias("key"), F.col(event).cast("long").alias("event"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), success.alias("ok"))
+def idempotent(df: DataFrame, key: list[str], ts: str, event: str, ttl_s: int, success: Column, late: str = "1 hour") -> DataFrame:
+    """(event, replay): whether a stored success of the key is not older than ttl; only successes that are no replays are stored. Batch or stream."""
 
     def step(state: list, row: dict) -> dict:
         replay = bool(state) and row["us"] < state[0] + ttl_s * 1_000_000
@@ -101,7 +108,8 @@ def idempotent(df: DataFrame, key: list[str], ts: str, event: str, ttl_s: int, s
             state[:] = [row["us"]]
         return {"event": row["event"], "replay": replay}
 
-    return fold_by_key(rows, "key", ["us", "event"], step, list, "event long, replay boolean")
+    whole = F.concat_ws("\u001f", *[F.col(k).cast("string") for k in key])
+    return _stepped(df, whole, ts, event, {"ok": F.coalesce(success, F.lit(False))}, step, "event long, replay boolean", ttl_s * 1_000_000, late)
 
 
 def ttl_latest(df: DataFrame, key: str, ts: str, event: str, value: Column, ttl_s: int, now: Column) -> DataFrame:

@@ -90,10 +90,26 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, f"2024-01-01 00:{rng.randrange(60):02d}:{rng.randrange(60):02d}", rng.randrange(4)) for i in range(300)]
     df = spark.createDataFrame(rows, "event long, ts string, key int").withColumn("ts", F.col("ts").cast("timestamp"))
     df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = events.rate_limit_sliding(stream, "key", "ts", "event", 5, 120).writeStream.format("memory").queryName("limited").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(map(tuple, spark.table("limited").collect())) == sorted(map(tuple, events.rate_limit_sliding(df, "key", "ts", "event", 5, 120).collect()))
+    later = spark.createDataFrame([(1000, "2024-01-03 00:00:00", 9), (1001, "2024-01-03 00:00:01", 9)], "event long, ts string, key int").withColumn("ts", F.col("ts").cast("timestamp"))
+    cases = {
+        "limited": lambda x: events.rate_limit_sliding(x, "key", "ts", "event", 5, 120),
+        "windowed": lambda x: events.rate_limit_fixed(x, "key", "ts", "event", 5, 120),
+        "replayed": lambda x: events.idempotent(x, ["key"], "ts", "event", 300, F.col("event") % 3 > 0),
+    }
+    for name, made in cases.items():
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in"))
+        start = lambda made=made, stream=stream, name=name: made(stream).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"c-{name}")).outputMode("append").trigger(availableNow=True).start()
+        start().awaitTermination()
+        got = spark.read.parquet(str(tmp_path / name))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, made(df).select(*got.columns).collect()))
+    # a day later the keys of the first day are forgotten
+    kept = []
+    for k in (1000, 1001):
+        later.filter(F.col("event") == k).write.mode("append").parquet(str(tmp_path / "in"))
+        q = start()
+        q.awaitTermination()
+        kept += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert kept[-1] == 1
 
 
 @settings(max_examples=200, deadline=None)
