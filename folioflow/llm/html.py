@@ -23,13 +23,17 @@ from folioflow.llm.arrow import append_columns
 BLOCKS = """address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul""".split()
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object video audio canvas noframes xmp noembed".split())
+#: Elements whose content is not markup: what is up to the end tag goes; where that is missing, the code of the first two to the page's end, of the others nothing.
+RAW = frozenset("script style textarea title iframe noframes xmp noembed".split())
+CODE = frozenset(("script", "style"))
+#: Elements that are left out with all that they hold; where the end tag is missing, the tag alone goes.
+OUT = frozenset("noscript template svg math object video audio canvas".split())
 #: What an opening tag ends, and what holds that from reaching further out.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "body": ({"head"}, {"html"})}
 #: Words in classes, ids and roles.
 NAMES = [re.compile(x) for x in (r"nav|menu|crumb|pagina|toc", r"\b(ad|ads|adv|advert\w*|advertisement|sponsor\w*|promo\w*|banner-ad)\b", r"header|masthead|topbar|\bhead\b", r"foot|copyright|legal|imprint", r"side|aside|widget|related|recommend|popular|complementary", r"comment|respon|discuss|disqus|reply|replies|review", r"cookie|consent|notice|alert|gdpr|popup|modal|newsletter|subscri|banner", r"form|login|search|signup|register", r"share|social|follow|byline|\bmeta\b|tags", r"article|content|main|post|entry|story|text")]
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/a-zA-Z][^<>]*\Z""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/a-zA-Z][^<>]*\Z""", re.S)
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _LABEL = re.compile(r"""data-label\s*=\s*["']?([01])""")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -51,7 +55,8 @@ class Tree:
         self.open = [self._add("html", -1, "")]
         self._pieces: list[str] = []
         self._linked = self._in_link = 0
-        at, raw_end = 0, len(page)
+        self._ends: dict[str, dict[int, int]] = {}
+        at = 0
         while (m := _TOKEN.search(page, at)) is not None:
             self._words(page[at : m.start()])
             at = m.end()
@@ -62,14 +67,30 @@ class Tree:
             if m[1] or m[4]:
                 self._close(name)
                 continue
-            if name in RAW and not m[0].endswith("/>"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else raw_end
+            if name in RAW:
+                end = re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I).search(page, at)
+                at = end.end() if end else len(page) if name in CODE else at
+                continue
+            if name in OUT:
+                if not m[0].endswith("/>"):
+                    at = self._past(page, name, m.start()) or at
                 continue
             self._start(name, (m[3] or m[6] or ""))
         self._words(page[at:])
         self._flush()
 
+    def _past(self, page: str, name: str, start: int) -> int | None:
+        """Where the element that starts there ends; elements of a name may hold each other. A page's are matched at once."""
+        if name not in self._ends:
+            ends, held = {}, []
+            for m in re.finditer(rf"<(/?){name}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", page, re.I):
+                if not m[1] and not m[0].endswith("/>"):
+                    held.append(m.start())
+                elif m[1] and held:
+                    ends[held.pop()] = m.end()
+            self._ends[name] = ends
+        return self._ends[name].get(start)
+
     def _add(self, tag: str, parent: int, attributes: str) -> int:
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
@@ -234,17 +255,17 @@ def fit(forest: Forest, truth: np.ndarray, rounds: int = 120, rate: float = 0.15
     return w, edge
 
 
-def train(pages: DataFrame, page: Column, key: Column, bound: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def train(pages: DataFrame, page: Column, key: Column, bound: int = 300, longest: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Weights from the labelled pages of the package and about bound pages of the table that mark their article.
 
     The chosen pages (by the hash of key; those with one article or main element label themselves) reach the driver;
-    their number is bounded by the parameter, whatever the size of the table.
+    the parameters bound their number and, in bytes, the length of each, whatever the size of the table.
     """
     from folioflow.llm.labelled_pages import labelled_pages
 
     trees = [Tree(x) for x in labelled_pages()]
     truths = [t.truth() for t in trees]
-    rows = pages.select(page.alias("page"), key.cast("string").alias("key")).filter("page rlike '(?i)<(article|main)[ >]'")
+    rows = pages.select(page.alias("page"), key.cast("string").alias("key")).filter(f"octet_length(page) <= {longest} and page rlike '(?i)<(article|main)[ >]'")
     n = rows.count()
     share = min(1.0, bound / n) if n else 0.0
     for r in sorted(rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 24)) < share * (1 << 24)).collect(), key=lambda r: (r["key"] or "", r["page"])):
@@ -259,7 +280,8 @@ def extract(df: DataFrame, page: Column, model: tuple[np.ndarray, np.ndarray], n
     """df with the main text of each whole page: the stretches of text whose marginal is at least a half, in page order.
 
     Character references are decoded; white space inside a block becomes one space; blocks are joined by one space.
-    Scripts, styles, other raw elements, comments and markup have no text. A null or empty page, and one without
+    Scripts, styles, what is no text (as svg, object or noscript), comments and markup go; behind an element of these
+    that is never closed the page goes on, but for code. A null or empty page, and one without
     content, has the empty text. A column of that name is replaced.
     """
     held = df.sparkSession.sparkContext.broadcast(model)

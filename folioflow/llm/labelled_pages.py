@@ -17,6 +17,8 @@ _BODIES = """
 <div class="page"><p class="notice">{s}</p><h1 data-label="1">{h}</h1><div data-label="1">{p}</div><div class="related-posts"><h3>{w}</h3>{l}</div><div id="respond"><h3>{w}</h3>{c}</div></div>
 <article data-label="1"><h1>{h}</h1>{p}<footer data-label="0"><p>{s}</p></footer><section class="comments" data-label="0"><h2>{w}</h2>{c}</section><form data-label="0"><p>{s}</p><button>{w}</button></form><div class="ad" data-label="0"><p>{s}</p></div><nav data-label="0">{l}</nav></article>
 <div class="sidebar"><p>{s}</p><p>{s} {s}</p>{l}</div><main data-label="1"><article><h1>{h}</h1>{p}<div class="notice" data-label="0"><p>{s} {s}</p></div>{p}<div class="comment" data-label="0"><p>{s} {s}</p></div></article></main><aside><p>{s} {s}</p></aside><footer><p>{s} {s}</p></footer>
+<nav>{l}</nav><article data-label="1"><h1>{h}</h1>{p}<ul><li>{w}</li><li>{w}</li><li>{w}</li></ul>{p}<figure><img><figcaption>{s}</figcaption></figure>{p}<ol><li>{w}</li><li>{s}</li></ol></article><div class="author-bio"><p>{s} {s}</p></div><footer><p>{s}</p></footer>
+<div class="header"><h2>{w}</h2>{l}</div><div class="content" data-label="1"><h1>{h}</h1>{p}<figure><figcaption>{w}</figcaption></figure>{p}<pre>{w} {s}</pre><dl><dt>{w}</dt><dd>{s}</dd></dl><ul><li>{w}</li><li>{w}</li></ul>{p}<div class="author-box" data-label="0"><h4>{w}</h4><p>{s} {s} {s}</p></div></div><div class="sidebar">{l}<p>{s}</p></div>
 <main data-label="1"><header data-label="0"><p>{s}</p>{l}</header><article><h1>{h}</h1>{p}{p}</article><div class="ads" data-label="0">{s} {s}</div></main><dialog class="modal"><p>{s} {s}</p></dialog>
 """.strip().split("\n")
 
