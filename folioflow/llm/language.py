@@ -42,15 +42,17 @@ def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket.astype(np.int64), begins, np.searchsorted(at, where[begins], "right") - 1
 
 
-def train(labelled: DataFrame, text: Column, lang: Column, key: Column, docs_per_lang: int = 3000) -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, text: Column, lang: Column, key: Column, docs_per_lang: int = 3000, most_langs: int = 1000) -> tuple[list[str], np.ndarray]:
     """The languages in order and their log-probabilities of the buckets.
 
     Fitted on about docs_per_lang rows of each language (all where it has fewer), chosen by the hash of key; whole
     texts. Rows with a null text, language or key are left out. What reaches the driver is at most BUCKETS rows for
-    each language.
+    each language, and over most_langs languages are an error: such labels need cleaning first.
     """
     rows = labelled.select(F.lower(text).alias("text"), lang.alias("lang"), key.cast("string").alias("key")).dropna()
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_langs + 1).collect()}
+    if len(sizes) > most_langs:
+        raise ValueError(f"over {most_langs} languages among the labels")
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, BUCKETS), np.float32)
@@ -122,8 +124,8 @@ def identify(df: DataFrame, text: Column, langs: list[str], table: np.ndarray, r
     """df with lang_pred (the largest proportion's language), score (that proportion), langs and shares (the set chosen).
 
     A null text or one without a letter has `und`, score 0 and empty lists; so has every text if no language was
-    learned. Sets of every size up to all languages are tried. Equal proportions: the first in alphabetical order. Whole texts of any length count. Columns of df with
-    these names are replaced; all others and repeated rows stay.
+    learned. Sets of every size up to all languages are tried. Equal proportions: the first in alphabetical order.
+    Whole texts of any length count. Columns of df with these names are replaced; all others and repeated rows stay.
     """
     held = df.sparkSession.sparkContext.broadcast((langs, table))
 

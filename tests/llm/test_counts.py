@@ -37,6 +37,58 @@ def test_language_held_out(spark, sf, docs):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def plain_mixture(text: str, langs: list[str], table: np.ndarray, rounds: int = 8, penalty: float = 2.0) -> dict[str, float]:
+    """The chosen set and its proportions, by the definitions, a word at a time; empty without a letter."""
+    low = "".join(x.lower() for x in text).encode()
+    words = re.findall(rb"[a-z\x80-\xff]+", low)
+    if not words or not re.search(r"[^\W\d_]", text):
+        return {}
+    like = []
+    for w in words:
+        x = b" " + w + b" "
+        grams = [x[i] << 16 | x[i + 1] << 8 | x[i + 2] for i in range(len(w))]
+        e = sum(table[:, (g * 2654435761 % 2**32) >> 16].astype(float) for g in grams) / 3
+        like.append(np.exp(np.maximum(e - e.max(), -40)))
+
+    def em(allowed):
+        share = {k: 1 / len(allowed) for k in allowed}
+        for _ in range(rounds):
+            total = dict.fromkeys(allowed, 0.0)
+            for e in like:
+                mass = sum(share[k] * e[k] for k in allowed)
+                for k in allowed:
+                    total[k] += share[k] * e[k] / (mass + 1e-30)
+            share = {k: v / len(like) for k, v in total.items()}
+        return share, sum(np.log(sum(share[k] * e[k] for k in allowed) + 1e-30) for e in like)
+
+    alone = [sum(np.log(e[k] + 1e-30) for e in like) for k in range(len(langs))]
+    best, gain = {int(np.argmax(alone)): 1.0}, max(alone)
+    full, _ = em(range(len(langs)))
+    order = sorted(full, key=lambda k: (-full[k], k))
+    for n in range(2, len(langs) + 1):
+        share, fit = em(order[:n])
+        if fit - penalty * (n - 1) * np.log(len(like) + 1) > gain:
+            best, gain = share, fit - penalty * (n - 1) * np.log(len(like) + 1)
+    return {langs[k]: v for k, v in best.items() if v > 0}
+
+
+def test_language_equals_plain_expectation_maximisation(spark, sf, docs):
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    langs, table = language.train(rows, F.col("text"), F.col("lang"), F.col("doc_id"))
+    some = [(k, r["text"]) for k, r in docs.items() if r["text"] and len(r["text"]) < 2500][:120]
+    some += [(10**6 + i, f"{a[1][:400]} {b[1][:300]} {c[1][:200]}") for i, (a, b, c) in enumerate(zip(some, some[7:], some[31:]))][:40]
+    got = language.identify(spark.createDataFrame(some, "k long, t string"), F.col("t"), langs, table).collect()
+    several = 0
+    for r in got:
+        want = plain_mixture(r["t"], langs, table)
+        several += len(want) > 1
+        assert set(r["langs"]) == set(want) and r["lang_pred"] == max(want, key=want.get)
+        np.testing.assert_allclose(r["shares"], [want[x] for x in r["langs"]], atol=2e-3)
+    assert several > 10
+    with pytest.raises(ValueError):
+        language.train(rows, F.col("text"), F.col("lang"), F.col("doc_id"), most_langs=2)
+
+
 def test_language_mixture_and_odd_rows(spark, sf, odd):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     langs, table = language.train(docs, F.col("text"), F.col("lang"), F.col("doc_id"))
@@ -139,6 +191,21 @@ def test_quality_counts_equal_brute_force(spark, sf, docs, odd):
     assert [tuple(r[k] for k in names) for r in got] == [brute_quality(r[1]) for r in ODD]
 
 
+def test_quality_of_empty_tables_and_clashing_names(spark, sf, odd):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert quality.train(docs.limit(0), labels, F.col("text"), "doc_id", "quality") is None
+    assert quality.train(docs, labels.limit(0), F.col("text"), "doc_id", "quality") is None
+    model = quality.train(docs, labels, F.col("text"), "doc_id", "quality")
+    assert quality.assess(docs.limit(0), F.col("text"), model).count() == 0
+    got = quality.assess(odd.withColumns({"Kept": F.lit("x"), "n_words": F.lit("y")}), F.col("text"), model)
+    assert sorted(got.columns) == sorted(["doc_id", "text", "lang", "score", *quality.FIELDS.names])
+    rows = got.collect()
+    assert [r["n_words"] for r in rows] == [brute_quality(r["text"])[0] for r in rows]
+    same = [tuple(r[c] for c in quality.FIELDS.names) for r in rows if r["doc_id"] == 6]
+    assert len(same) == 2 and same[0] == same[1]
+
+
 def test_lines_are_labelled_within_texts(spark, sf):
     """Boilerplate put between the lines of good texts is found, and the good lines around it are left."""
     docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
@@ -190,6 +257,37 @@ def test_sharding(spark, sf, docs):
     assert max(sums) - min(sums) <= 50
 
 
+def plain_differencing(sizes: list[int], ways: int) -> list[list[int]]:
+    """The members of each way, by the rule told with lists: the two partial partitions of largest spread, again and again."""
+    parts = [(k, [(x, [k])] + [(0, []) for _ in range(ways - 1)]) for k, x in enumerate(sizes)]
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (p[1][-1][0] - p[1][0][0], p[0]))
+        (_, a), (_, b) = parts[:2]
+        both = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))]
+        parts = [*parts[2:], (made, sorted(both, key=lambda v: -v[0]))]
+        made += 1
+    return [members for _, members in parts[0][1]]
+
+
+def test_sharding_equals_plain_differencing(spark, sf, docs):
+    rows = queries.op10_sharding(spark, sf).collect()
+    size: dict[bytes, int] = Counter()
+    for r in docs.values():
+        size[(r["text"] or "").encode()] += len((r["text"] or "").encode()) + 1
+    order = sorted(size, key=lambda x: (-size[x], hashlib.sha256(x).digest()))
+    want = {frozenset(order[k] for k in members) for members in plain_differencing([size[x] for x in order], 16)}
+    got = {frozenset((docs[r["doc_id"]]["text"] or "").encode() for r in rows if r["shard"] == s) for s in range(16)}
+    assert got == want
+
+
+def test_sharding_spreads_a_hot_key(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("k"), F.col("id").cast("string").alias("slot"), F.lit(1).alias("shard"))
+    rows = sharding.shard(df, F.col("slot"), F.col("k"), 4).collect()
+    assert len(rows) == 3000
+    check_shards(rows, 4)
+
+
 def test_sharding_odd_rows_and_differencing(spark, odd):
     rows = sharding.shard(odd, F.col("text"), F.col("doc_id"), 3).collect()
     assert len(rows) == len(ODD)

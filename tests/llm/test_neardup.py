@@ -101,6 +101,27 @@ def test_a_chain_of_copies_is_one_class(spark):
     assert {r["class_id"] for r in neardup.groups(df, F.col("t"), F.col("k")).collect()} == {0}
 
 
+def test_a_hot_bucket_loses_no_link(spark, monkeypatch):
+    """All texts share a bucket; around one leader lie copies, and further out classes of their own that link among each other."""
+    rng = np.random.default_rng(7)
+    word = lambda: f"w{rng.integers(0, 10**7)}"
+    base = [word() for _ in range(200)]
+    rows = []
+    for change in (0, 0, 0, 60, 60, 90, 90, 140, 140, 190, 190):  # pairs that are alike, at growing distance from the base
+        own = rows[-1][1].split() if rows and rows[-1][2] == change and change else base[: 200 - change] + [word() for _ in range(change)]
+        own = list(own)
+        own[rng.integers(200)] = word()
+        rows.append((len(rows), " ".join(own), change))
+    rows += [(100 + i, " ".join(base[:i] + [word()] + base[i + 1 :]), 0) for i in range(40)]
+    want, sim = brute([r[:2] for r in rows])
+    monkeypatch.setattr(neardup, "bands", lambda taken: np.tile(np.arange(1, neardup.BANDS + 1, dtype=np.uint64), (len(taken), 1)))
+    df = spark.createDataFrame(rows, "k long, t string, d int")
+    for block, size in ((500, 8 << 20), (3, 8 << 20), (500, 3000)):
+        got = {r["key"]: r["class_id"] for r in neardup.groups(df, F.col("t"), F.col("k"), block=block, block_bytes=size).collect()}
+        assert got == want
+    assert len(set(want.values())) == 5
+
+
 def test_odd_rows(spark):
     rows = [(3, None, "a"), (2, "", "b"), (9, "...", "c"), (4, "The and of", "d"), (5, "the AND, of", "e"), (None, "x y z w v u", "f"), (6, "x y z w v u", "g"), (6, "x y z w v u", "h"), (None, "alone it is here now", "i"), (8, "q " * 20000, "j")]
     df = spark.createDataFrame(rows, "key long, text string, g string")
@@ -109,6 +130,10 @@ def test_odd_rows(spark):
     kept = neardup.keep_one(df, F.col("text"), "key").collect()
     assert sorted(r["g"] for r in kept if r["key"] != 6) == ["b", "c", "d", "i", "j"] and sum(r["key"] == 6 for r in kept) == 1
     assert neardup.groups(df.limit(0), F.col("text"), F.col("key")).count() == 0
+    clash = df.select("key", "text", F.col("g").alias("__g"), F.lit(1).alias("row"), F.lit(2).alias("own_g"), F.lit(3).alias("label"))
+    kept = neardup.keep_one(clash, F.col("text"), "key")
+    assert kept.columns == clash.columns and kept.count() == 6 and {(r["row"], r["own_g"], r["label"]) for r in kept.collect()} == {(1, 2, 3)}
+    assert neardup.keep_one(clash.limit(0), F.col("text"), "key").count() == 0
 
 
 def test_components(spark):

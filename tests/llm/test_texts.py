@@ -47,6 +47,34 @@ def test_page_model_on_other_make_ups_and_odd_pages(spark, sf):
     assert len(rows) == len(pages)
 
 
+def test_pages_go_on_behind_elements_that_are_never_closed():
+    cases = {
+        "<title>T<body><article><p>one.</p></article>": ["T", "one."],
+        "<p>a</p><noscript><p>b</p><p>c</p>": ["a", "b", "c"],
+        "<p>a</p><svg><text>no</text></svg><p>b</p>": ["a", "b"],
+        "<object>x<object>y</object>no</object>k": ["k"],
+        "<script src=x/>code()</script><p>t</p>": ["t"],
+        "a<![CDATA[x > y]]>b</>c": ["abc"],
+        "<svg/>k<p>l": ["k", "l"],
+        "<p>u</p><style>x{}<p>v": ["u"],
+        "<textarea>abc<p>def": ["abc", "def"],
+        "<noscript>a<p>b</noscript>c <SVG foo='>'>d</svg >e": ["c e"],
+        "<object>" * 3000 + "z": ["z"],
+    }
+    for page, want in cases.items():
+        assert [x for x in html.Tree(page).text if x] == want, page
+
+
+def test_lists_captions_code_and_authors(spark):
+    p = "The first sentence of it is long enough, and goes on. A second one follows here, with more words in it than that."
+    page = f"<nav><ul><li><a href=/>Home</a></li><li><a href=/b>News of it</a></li></ul></nav><article><h1>A heading of words</h1><p>{p}</p><ul><li>short</li><li>items</li><li>here</li></ul><p>{p}</p><figure><img src=x><figcaption>A caption.</figcaption></figure><p>{p}</p></article><div class='author-bio'><p>Someone writes about things and lives somewhere. They like other things.</p></div><footer><p>Imprint and more.</p></footer>"
+    pages = spark.createDataFrame([], "page_id long, html string")
+    model = html.train(pages, F.col("html"), F.col("page_id"))  # the package's pages alone
+    got = html.extract(spark.createDataFrame([(1, page, 5)], "page_id long, html string, text int"), F.col("html"), model).first()
+    assert got["text"] == f"A heading of words {p} short items here {p} A caption. {p}"
+    assert html.extract(pages, F.col("html"), model).count() == 0
+
+
 def test_tree_marginals_equal_enumeration():
     rng = np.random.default_rng(2)
     forest = html.Forest([html.Tree("<div><p>a</p><p>b <i>c</i></p></div><ul><li>d"), html.Tree("x")])
@@ -104,6 +132,13 @@ def test_pieces_equal_the_library_on_any_text(piece):
     assert codec.decode([200, 3, 201, 5]) == library.decode([200, 3, 201, 5])
 
 
+def test_pieces_of_empty_tables(spark, odd):
+    model = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    assert pieces.round_trip(odd.limit(0), F.col("text"), model).count() == 0
+    coded = pieces.encode(odd.limit(0), F.col("text"), model)
+    assert coded.count() == 0 and pieces.decode(coded, F.col("ids"), model).count() == 0
+
+
 def test_chat_round_trip(spark, sf):
     rows = [(-2, 0, "us\ner\\n", "a<\\|b <\\\\|c<|im_start|>"), (-2, 1, "assistant", "x<|im_end|>\n"), (-3, 0, None, None), (-3, None, "assistant", "<"), (-3, 2, "assistant", "<|x|> \n"), (-3, 2, "assistant", "<|x|> \n"), (-4, 1, "<|im_end|>\n", "\\"), (None, 1, "user", "z" * 100000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
