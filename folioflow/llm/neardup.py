@@ -24,6 +24,8 @@ WIDTH, ROWS, BANDS = 5, 4, 16
 RARE = 1e-3
 #: Bytes of text sampled at once, for the caches.
 RUN = 1 << 19
+#: What distances may be off by, from weights of single precision.
+SLACK = 1e-4
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,26 +187,25 @@ def similarities(left: list[bytes], right: list[bytes], idf) -> np.ndarray:
     return least / np.maximum(total - least, 1e-9)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
-    """The pairs (a, b) of texts that are as similar."""
+def _measured(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """The pairs (a, b) of texts with their similarity s and the bytes of b."""
     held = pairs.sparkSession.sparkContext.broadcast(idf)
     left = texts.select(F.col("g").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("g").alias("b"), F.col("text").alias("right"))
 
-    def check(batches):
+    def measure(batches):
         for batch in batches:
             x, y = as_bytes(batch.column(2)), as_bytes(batch.column(3))
-            good = np.zeros(len(x), bool)
+            s = np.zeros(len(x))
             for i, j in in_runs([p + q for p, q in zip(x, y, strict=True)], RUN):
-                good[i:j] = similarities(x[i:j], y[i:j], held.value) >= least - 1e-6
-            keep = pa.array(good)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+                s[i:j] = similarities(x[i:j], y[i:j], held.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array([len(q) for q in y], pa.int64())], names=["a", "b", "s", "bytes"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(measure, "a binary, b binary, s double, bytes long")
 
 
 def _finish(idf, least: float):
-    """Of members of a bucket (side 0 against side 1), links that join components: for each member of side 0 its similarity to all of side 1 of other components at once."""
+    """Of members of a bucket (side 0 against side 1), links that join components: for each member of side 0 its similarity to all of side 1 of other components at once, where their distances to the leader allow one."""
 
     def links(key, table):
         import pyarrow.compute as pc
@@ -213,7 +214,7 @@ def _finish(idf, least: float):
         n_right = pc.sum(table["side"]).as_py() or 0
         names, root_of = np.unique(np.array(table["label"].to_pylist(), dtype=object), return_inverse=True)
         root = np.arange(len(names))
-        g = table["g"].to_pylist()
+        g, far = table["g"].to_pylist(), table["far"].to_numpy()
         doc, h, w = shingles(as_bytes(table["text"].combine_chunks()), idf.value)
         codes = np.unique(h, return_inverse=True)[1]
         first = np.searchsorted(doc, np.arange(len(g) + 1))
@@ -222,7 +223,7 @@ def _finish(idf, least: float):
         dense = np.zeros(codes.max() + 1 if len(codes) else 1, np.float32)
         out: list[tuple[bytes, bytes]] = []
         for x in range(n_right, len(g) if n_right else 0):
-            other = root[root_of[:n_right]] != root[root_of[x]]
+            other = (root[root_of[:n_right]] != root[root_of[x]]) & (np.abs(far[:n_right] - far[x]) <= 1 - least + SLACK)
             if not other.any():
                 continue
             own = slice(first[x], first[x + 1])
@@ -239,25 +240,28 @@ def _finish(idf, least: float):
     return links
 
 
-def groups(df: DataFrame, text: Column, key: Column, least: float = 0.8, block: int = 500) -> DataFrame:
-    """A row for each row of df: key, g (the text's 128-bit digest), label and class_id, class_size, chosen.
+def groups(df: DataFrame, text: Column, key: Column, least: float = 0.8, block: int = 500, block_bytes: int = 8 << 20) -> DataFrame:
+    """A row for each row of df: key, g (the first 128 bits of the text's SHA-256), label and class_id, class_size, chosen.
 
     Classes are the connected components of the texts under links of weighted Jaccard similarity of at least least;
     equal texts are of one class (a null text is empty; texts without words link to none but their equals). class_id
     is the least key of the class (null if all are), class_size counts its rows, chosen marks the rows that have
-    class_id as key and the least text digest among such: one row, unless rows repeat.
+    class_id as key and the least text digest among such: one row, unless rows repeat. All other columns are left out.
 
     Distinct texts meet in the buckets of their bands. First each member of a bucket is held against the least one,
     its leader; that takes a pair for each member and settles buckets of true copies, however large. In a bucket of
     more than two that is then in several components, the members outside of the leader's component are held against
-    all of the bucket, in blocks of so many against so many, so that no link within a bucket is lost; a block is one
-    group of a task and gives links alone. Buckets, leaders and labels otherwise meet in joins and in sums of a row
-    for each key and task; no bucket is gathered.
+    the others, so that no link within a bucket is lost. 1 - similarity is a metric, so texts whose distances to the
+    leader differ by more than 1 - least can't be linked: members are dealt by that distance into rings as wide, and
+    only neighbouring rings meet; the many true copies around a leader don't meet what is far from it. Rings meet in
+    blocks of about block texts and block_bytes against as many; a block is one group of a task and gives links alone.
+    Buckets, leaders and labels otherwise meet in joins and in sums of a row for each key and task; no bucket is
+    gathered.
     """
     rows = df.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     n_docs, *idf = document_frequencies(rows, F.col("text"))
     idf = tuple(idf)
-    digest = F.unhex(F.md5("text"))
+    digest = _digest(F.col("text"))
     signed = written(with_bands(rows.select("key", digest.alias("g"), "text"), F.col("text"), idf).drop("text"), "neardup-signed")
     each = signed.groupBy("g").agg(F.first("bands").alias("bands")).select("g", F.explode("bands").alias("bucket"))
     each = written(each, "neardup-buckets")
@@ -268,19 +272,28 @@ def groups(df: DataFrame, text: Column, key: Column, least: float = 0.8, block:
     texts = written(texts, "neardup-texts")
 
     pairs = members.filter("g <> leader").select(F.col("leader").alias("a"), F.col("g").alias("b")).distinct()
-    links = written(_verified(pairs, texts, idf, least), "neardup-links")
+    measured = written(_measured(pairs, texts, idf), "neardup-measured")
+    links = measured.filter(F.col("s") >= least - 1e-6).select("a", "b")
     labels = _labels(active, links)
 
     lead = labels.select(F.col("node").alias("leader"), F.col("label").alias("lead_label"))
     named = members.filter("n > 2").join(labels.withColumnRenamed("node", "g"), "g").join(lead, "leader")
-    named = written(named.select("bucket", "g", "label", "n", (F.col("label") != F.col("lead_label")).alias("apart")), "neardup-named")
-    sizes = named.groupBy("bucket").agg(F.count_if("apart").alias("s")).filter("s > 0")
-    sized = named.join(sizes, "bucket").withColumns({"parts": F.ceil(F.col("s") / block), "all": F.ceil(F.col("n") / block)})
-    part, place = F.pmod(F.xxhash64("g"), F.col("parts")), F.pmod(F.xxhash64("g", F.lit(1)), F.col("all"))
-    left = sized.filter("apart").select("bucket", part.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"), "g", "label", F.lit(0).alias("side"))
-    right = sized.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), place.alias("j"), "g", "label", F.lit(1).alias("side"))
+    named = written(named.select("bucket", "g", "leader", "label", "n", (F.col("label") != F.col("lead_label")).alias("apart")), "neardup-named")
+    open_ = named.groupBy("bucket").agg(F.count_if("apart").alias("s")).filter("s > 0").select("bucket")
+    reach = measured.select(F.col("a").alias("leader"), F.col("b").alias("g"), (1 - F.col("s")).alias("far"), "bytes")
+    placed = named.join(open_, "bucket").join(reach, ["leader", "g"], "left")
+    far, size = F.coalesce("far", F.lit(0.0)), F.coalesce("bytes", F.lit(0)).alias("bytes")  # only the leader itself has none
+    placed = written(placed.select("bucket", "g", "label", "apart", size, far.alias("far"), F.floor(far / (1 - least + SLACK)).alias("ring")), "neardup-placed")
+    count = lambda n, size: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(size / block_bytes)).cast("long")
+    rights = placed.groupBy("bucket", "ring").agg(count(F.count("*"), F.sum("bytes")).alias("all"))
+    lefts = placed.filter("apart").withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)))
+    parts = lefts.groupBy("bucket", "ring").agg(count(F.count("*"), F.sum("bytes")).alias("parts")).join(rights, ["bucket", "ring"])
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine, place = F.pmod(F.xxhash64("g"), F.col("parts")), F.pmod(F.xxhash64("g", F.lit(1)), F.col("all"))
+    left = lefts.join(parts, ["bucket", "ring"]).select("bucket", "ring", mine.alias("i"), spread("all").alias("j"), "g", "label", "far", F.lit(0).alias("side"))
+    right = placed.join(parts, ["bucket", "ring"]).select("bucket", "ring", spread("parts").alias("i"), place.alias("j"), "g", "label", "far", F.lit(1).alias("side"))
     finish = _finish(df.sparkSession.sparkContext.broadcast(idf), least)
-    more = left.union(right).join(texts, "g").groupBy("bucket", "i", "j").applyInArrow(finish, "a binary, b binary")
+    more = left.union(right).join(texts, "g").groupBy("bucket", "ring", "i", "j").applyInArrow(finish, "a binary, b binary")
     labels = _labels(active, links.union(written(more, "neardup-more")))
 
     named = signed.select("key", "g").join(labels.withColumnRenamed("node", "g"), "g", "left").withColumn("label", F.coalesce("label", "g"))
@@ -298,11 +311,16 @@ def _labels(active: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_one(df: DataFrame, text: Column, key: str) -> DataFrame:
-    """df with one row of each class: the one of the least key; of rows that repeat both key and text, any one."""
-    named = groups(df, text, F.col(key))
+    """df, all its columns, with one row of each class: the one of the least key; of rows that repeat both key and text, any one."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    named = groups(rows, F.col("text"), F.col("key"))
     chosen = written(named.filter("chosen").groupBy("key", "g").agg(F.count("*").alias("n")), "neardup-chosen")
-    rows = df.withColumns({"__g": F.unhex(F.md5(F.coalesce(text, F.lit(""))))})
-    on = rows[key].eqNullSafe(chosen["key"]) & (rows["__g"] == chosen["g"])
-    once = rows.join(chosen.filter("n = 1"), on, "left_semi")
-    again = rows.join(chosen.filter("n > 1"), on, "left_semi").dropDuplicates([key, "__g"])
-    return once.unionByName(again).drop("__g")
+    given = rows.select("row", F.col("key").alias("own_key"), _digest(F.col("text")).alias("own_g"))
+    on = F.col("own_key").eqNullSafe(F.col("key")) & (F.col("own_g") == F.col("g"))
+    once = given.join(chosen.filter("n = 1"), on, "left_semi")
+    again = given.join(chosen.filter("n > 1"), on, "left_semi").dropDuplicates(["own_key", "own_g"])
+    return once.unionByName(again).select("row.*")
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
