@@ -178,7 +178,7 @@ def _scan_joined(df: DataFrame, text: Column, tests: DataFrame, width: int) -> D
     """The scan where the windows are too many for a broadcast: hashes meet in a join, and a row's hits are verified beside its text."""
     names = {f.name.lower() for f in FIELDS}
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
-    rows = written(df.select(F.struct(F.lit(0).alias("__none"), *kept).alias("__row"), text.alias("__text"), F.monotonically_increasing_id().alias("__id")), "scan-rows")
+    rows = written(df.select(F.struct(*(kept or [F.lit(0).alias("none")])).alias("__row"), text.alias("__text"), F.monotonically_increasing_id().alias("__id")), "scan-rows")
     windows = tests.mapInArrow(_window_rows(width), "size int, h long, gram binary, item string")
     grams = written(windows.groupBy("size", "h", "gram").agg(F.collect_set("item").alias("items")), "scan-grams")
     sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())
@@ -217,7 +217,7 @@ def _scan_joined(df: DataFrame, text: Column, tests: DataFrame, width: int) -> D
 
     both = rows.join(found, "__id", "left").select("__row", "__text", "__found")
     out = append_columns(both, make, FIELDS, {"text": F.col("__text"), "found": F.col("__found")})
-    return out.select("__row.*", *[f.name for f in FIELDS]).drop("__none")
+    return out.select(*(["__row.*"] if kept else []), *[f.name for f in FIELDS])
 
 
 def n_hit(hits: Column) -> Column:
