@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat, contamination, html, language, lm, neardup, pieces, quality, records, sharding
+from folioflow.llm import bpe, chat, contamination, html, language, lm, neardup, pieces, quality, records, sharding
 from folioflow.llm.arrow import written
 
 
@@ -107,6 +107,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.round_trip(docs, F.col("text"), bpe.load(public_tokenizers.path("byte_bpe_50k.json")))
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_extraction, op3_decontamination, op4_neardup, op5_pieces, op6_chat, op7_quality, op8_lm, op9_records, op10_sharding)
+    f.__name__: f for f in (op1_language, op2_extraction, op3_decontamination, op4_neardup, op5_pieces, op6_chat, op7_quality, op8_lm, op9_records, op10_sharding, op12_bpe)
 }
