@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, chat, contamination, html, language, lm, neardup, pieces, quality, records, sharding
+from folioflow.llm import bpe, chat, contamination, html, language, lm, neardup, pieces, quality, records, sharding, whitening
 from folioflow.llm.arrow import written
 
 
@@ -107,6 +107,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows, F.col("embedding"), 4)
+    made = whitening.apply(rows, F.col("embedding"), model).select("vec_id", "deviation", F.posexplode("whitened").alias("i", "whitened"))
+    share = F.array(*[F.lit(float(e / model.trace)) for e in model.variances]).cast("array<double>")
+    return made.select(
+        "vec_id",
+        (F.col("i") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        F.col("deviation").cast("long").alias("deviation"),
+        "whitened",
+        share[F.col("i")].alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -116,5 +132,5 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_extraction, op3_decontamination, op4_neardup, op5_pieces, op6_chat, op7_quality, op8_lm, op9_records, op10_sharding, op12_bpe)
+    f.__name__: f for f in (op1_language, op2_extraction, op3_decontamination, op4_neardup, op5_pieces, op6_chat, op7_quality, op8_lm, op9_records, op10_sharding, op11_whitening, op12_bpe)
 }
