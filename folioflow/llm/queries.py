@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, chat, contamination, html, language, lm, neardup, pieces, quality, records, sharding, whitening
+from folioflow.llm import bpe, chat, contamination, html, language, lm, neardup, phrases, pieces, quality, records, sharding, whitening
 from folioflow.llm.arrow import written
 
 
@@ -131,6 +131,13 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("text", "lang")
+    found, totals = phrases.mine(docs, F.col("text"), F.col("lang"), least=30, longest=4, share=80)
+    top = phrases.ranked(found, 2000).join(F.broadcast(totals), "lang")
+    return top.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_extraction, op3_decontamination, op4_neardup, op5_pieces, op6_chat, op7_quality, op8_lm, op9_records, op10_sharding, op11_whitening, op12_bpe)
+    f.__name__: f for f in (op1_language, op2_extraction, op3_decontamination, op4_neardup, op5_pieces, op6_chat, op7_quality, op8_lm, op9_records, op10_sharding, op11_whitening, op12_bpe, op13_phrases)
 }

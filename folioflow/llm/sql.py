@@ -38,4 +38,33 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op3_decontamination": OP3, "op6_chat": OP6}
+OP13 = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM pieces, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k)
+  GROUP BY ALL
+), totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k >= 2 AND f >= 30),
+longer AS (
+  SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(a) AS longest
+  FROM (SELECT lang, w, a, size, unnest(generate_series(1, k - size + 1)) AS i FROM c, (VALUES (2), (3)) t(size) WHERE size < k)
+  GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, j, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:c.j], ' ') AND x.k = c.j
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.j + 1:], ' ') AND y.k = c.k - c.j
+), best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS first FROM cuts),
+ranked AS (
+  SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank, best.phrase, a, l, r, n, score
+  FROM best JOIN totals ON totals.lang = best.lang LEFT JOIN longer ON longer.lang = best.lang AND longer.phrase = best.phrase
+  WHERE first = 1 AND NOT coalesce(100 * longest >= 80 * a, false)
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op3_decontamination": OP3, "op6_chat": OP6, "op13_phrases": OP13}
