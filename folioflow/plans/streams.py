@@ -18,15 +18,16 @@ def stream_of(t: Tables, name: str):
     return t.spark.readStream.schema(getattr(t, name).schema).parquet(path)
 
 
-def drained(t: Tables, df, mode: str = "append"):
-    """All of a stream's output as a table: each batch is written into a shared folder."""
+def drained(t: Tables, df, mode: str = "append", number: str | None = None):
+    """All of a stream's output as a table: each batch is written into a shared folder. number names a column with the batch's."""
     path = shared_folder(t.spark, "stream")
 
     def write(batch, epoch: int) -> None:
-        batch.withColumn("__epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
+        batch.withColumn(number or "__epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
 
     df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(df.schema).parquet(f"{path}/out/epoch=*")
+    schema = df.schema.add(number, "long") if number else df.schema
+    return t.spark.read.schema(schema).parquet(f"{path}/out/epoch=*")
 
 
 @query(f"""WITH RECURSIVE {_E}, r AS (SELECT user_id, event_id, i, true AS allowed, [t] AS log FROM e WHERE i = 1
@@ -85,3 +86,26 @@ SELECT user_id AS key, count(*) FILTER (WHERE n <= 3) AS allowed FROM r GROUP BY
 def j2_rate_limit_stream(t):
     got = drained(t, S.rate_limit_fixed(stream_of(t, "events"), "user_id", "ts", "event_id", 3, 36000))
     return got.groupBy("key").agg(F.count_if("allowed").alias("allowed"))
+
+
+@query("""SELECT user_id, event_type AS value, ts AS at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events)
+WHERE i = 1 AND event_type <> 'error' AND ts > (SELECT max(ts) FROM events) - INTERVAL 6 HOUR - INTERVAL 2 DAY""")
+def j4_ttl_stream(t):
+    value = F.when(F.col("event_type") != "error", F.col("event_type"))
+    changes = S.ttl_changes(stream_of(t, "events"), "user_id", "ts", "event_id", value, 2 * 86400, "6 hours")
+    return S.ttl_view(drained(t, changes, "update", "epoch"), "user_id", "epoch")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, i, false AS replay, CASE WHEN ok THEN t END AS s FROM e WHERE i = 1
+ UNION ALL SELECT e.user_id, e.event_id, e.i, coalesce(e.t < r.s + 86400000000, false), CASE WHEN coalesce(e.t < r.s + 86400000000, false) OR NOT e.ok THEN r.s ELSE e.t END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT event_id AS event, replay FROM r""")
+def j3_idempotent_stream(t):
+    return drained(t, S.idempotent(stream_of(t, "events"), ["user_id"], "ts", "event_id", 86400, F.col("event_type") != "error"))
+
+
+@query(f"""WITH RECURSIVE {_E}, r AS (SELECT user_id, event_id, i, true AS allowed, [t] AS log FROM e WHERE i = 1
+ UNION ALL SELECT user_id, event_id, i, len(f) < 3, CASE WHEN len(f) < 3 THEN list_append(f, t) ELSE f END FROM (SELECT e.*, list_filter(r.log, lambda x: x > e.t - 36000000000) AS f FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT user_id AS key, event_id AS event, allowed, len(log) AS current, 3 - len(log) AS remaining FROM r""")
+def j1_rate_limit_stream(t):
+    return drained(t, S.rate_limit_sliding(stream_of(t, "events"), "user_id", "ts", "event_id", 3, 36000))

@@ -2,114 +2,104 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from folioflow.functions.batches import arrow_types, same
+from folioflow.streaming.state import Fixed, InOrder, Latest, Once, Sliding, run_stateful
 
-def fold_by_key(df: DataFrame, key: str, order: list[str], step: Callable, start: Callable, schema: str) -> DataFrame:
-    """Each key's rows in order through step(state, row) -> output row.
 
-    Rows are dealt by key, sorted within the partition by Spark and read in batches, so a key of any number of rows
-    needs only its state in memory.
+def fold_by_key(df: DataFrame, keys: list[str], rule, schema: str) -> DataFrame:
+    """Each key's rows (us, event, ok) in order through the rule.
+
+    Rows are dealt by key, sorted within the partition by Spark and read in Arrow batches, so a key of any number of
+    rows needs only its state in memory. Null keys are a key like any other.
     """
+    types, n = arrow_types(schema), len(keys)
+    with_key = len(keys) == 1 and rule.names[0] == "key"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, state = object(), None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state, step = None, None, rule.step
         for b in batches:
-            out = []
-            for row in b.to_dict("records"):
-                k = row[key]
-                if k != own:
-                    own, state = k, start()
-                out.append(step(state, row))
-            if out:
-                yield pd.DataFrame(out)
-
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
-
-
-def _sliding(limit: int, window_us: int):
-    def step(log: list, row: dict) -> dict:
-        log[:] = [x for x in log if x > row["us"] - window_us]
-        allowed = len(log) < limit
-        if allowed:
-            log.append(row["us"])
-        return {"key": row["key"], "event": row["event"], "allowed": allowed, "current": len(log), "remaining": limit - len(log)}
+            answers = []
+            given = [b.column(i).to_pylist() for i in range(n)]
+            for *key, us, ok in zip(*given, b.column("us").to_pylist(), b.column("ok").to_pylist(), strict=True):
+                if state is None or not all(map(same, key, own)):
+                    own, state = key, []
+                answers.append(step(state, us, ok))
+            if answers:
+                passed = [b.column(0), b.column("event")] if with_key else [b.column("event")]
+                made = [pa.array(x, t) for x, t in zip(zip(*answers, strict=True), types[len(passed) :], strict=True)]
+                yield pa.RecordBatch.from_arrays(passed + made, names=list(rule.names))
 
-    return step
-
-
-def _fixed(limit: int, window_us: int):
-    def step(state: list, row: dict) -> dict:
-        if not state or row["us"] >= state[0] + window_us:
-            state[:] = [row["us"], 0]
-        state[1] += 1
-        return {"key": row["key"], "event": row["event"], "allowed": state[1] <= limit, "current": state[1], "remaining": max(0, limit - state[1])}
-
-    return step
+    rows = df.select(*keys, "event", "us", "ok")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "us", "event").mapInArrow(run, schema)
 
 
 _LIMITS = "key {kind}, event long, allowed boolean, current long, remaining long"
 
 
-def _stepped(df: DataFrame, key: Column, ts: str, event: str, extra: dict[str, Column], step: Callable, schema: str, keep_us: int, late: str) -> DataFrame:
-    """Each key's events in order through step(state, row), batch or stream; state is a list of times, of no use keep_us after its key's last event.
+def _stepped(df: DataFrame, keys: list[Column], ts: str, event: str, ok: Column, rule, schema: str, keep_us: int, late: str) -> DataFrame:
+    """Each key's events in order through a rule, batch or stream. Events without a time are left out.
 
     A stream takes a key's events of a micro-batch in order, drops those later than the watermark, and forgets a key
-    once the watermark is keep_us past its last event, so that state holds the keys of that time alone.
+    once the watermark is keep_us past its last event, so that state holds the keys of that time alone. It answers at
+    once; where all of a key's events come in order of time, it answers as the batch form does.
     """
-    rows = df.select(key.alias("key"), F.col(event).cast("long").alias("event"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), *[c.alias(k) for k, c in extra.items()], *([F.col(ts).cast("timestamp").alias("at")] if df.isStreaming else []))
-    schema = schema.format(kind=dict(rows.dtypes)["key"])
+    names = [f"k{i}" for i in range(len(keys))]
+    at = F.col(ts).cast("timestamp")
+    rows = df.filter(at.isNotNull()).select(*[k.alias(n) for k, n in zip(keys, names, strict=True)], F.col(event).cast("long").alias("event"), F.unix_micros(at).alias("us"), ok.alias("ok"), *([at.alias("at")] if df.isStreaming else []))
+    schema = schema.format(kind=rows.schema["k0"].dataType.simpleString())
     if not df.isStreaming:
-        return fold_by_key(rows, "key", ["us", "event"], step, list, schema)
-
-    def update(keys, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", "event"])
-        out = [step(held, r) for r in rows.to_dict("records")]
-        state.update((held,))
-        state.setTimeoutTimestamp(max((int(rows["us"].max()) + keep_us) // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out)
-
-    return rows.withWatermark("at", late).groupBy("key").applyInPandasWithState(update, schema, "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _limit(df: DataFrame, key: str, ts: str, event: str, step: Callable, window_s: int, late: str) -> DataFrame:
-    return _stepped(df, F.col(key), ts, event, {}, step, _LIMITS, window_s * 1_000_000, late)
+        return fold_by_key(rows, names, rule, schema)
+    return run_stateful(rows.withWatermark("at", late), names, InOrder(rule, keep_us), schema)
 
 
 def rate_limit_sliding(df: DataFrame, key: str, ts: str, event: str, limit: int, window_s: int, late: str = "1 hour") -> DataFrame:
     """An event is allowed while fewer than limit allowed ones of its key lie in the window before it; batch or stream.
 
-    A stream keeps the allowed times within the window for each key (limit at most) and takes events in order within
-    a micro-batch.
+    A stream keeps the allowed times within the window for each key (limit at most).
     """
-    return _limit(df, key, ts, event, _sliding(limit, window_s * 1_000_000), window_s, late)
+    us = window_s * 1_000_000
+    return _stepped(df, [F.col(key)], ts, event, F.lit(True), Sliding(limit, us), _LIMITS, us, late)
 
 
 def rate_limit_fixed(df: DataFrame, key: str, ts: str, event: str, limit: int, window_s: int = 60, late: str = "1 hour") -> DataFrame:
-    """A window opens at a key's first event and lasts window_s; the first limit events in it are allowed."""
-    return _limit(df, key, ts, event, _fixed(limit, window_s * 1_000_000), window_s, late)
+    """A window opens at a key's first event and lasts window_s; the first limit events in it are allowed. Batch or stream."""
+    us = window_s * 1_000_000
+    return _stepped(df, [F.col(key)], ts, event, F.lit(True), Fixed(limit, us), _LIMITS, us, late)
 
 
 def idempotent(df: DataFrame, key: list[str], ts: str, event: str, ttl_s: int, success: Column, late: str = "1 hour") -> DataFrame:
-    """(event, replay): whether a stored success of the key is not older than ttl; only successes that are no replays are stored. Batch or stream."""
+    """(event, replay): whether a stored success of the key is not older than ttl; only successes that are no replays are stored. Batch or stream.
 
-    def step(state: list, row: dict) -> dict:
-        replay = bool(state) and row["us"] < state[0] + ttl_s * 1_000_000
-        if not replay and row["ok"]:
-            state[:] = [row["us"]]
-        return {"event": row["event"], "replay": replay}
+    The parts of a key are compared one by one: null and another's null are the same part, and (x, null) isn't (null, x).
+    """
+    us = ttl_s * 1_000_000
+    return _stepped(df, [F.col(k) for k in key], ts, event, F.coalesce(success, F.lit(False)), Once(us), "event long, replay boolean", us, late)
 
-    whole = F.concat_ws("\u001f", *[F.col(k).cast("string") for k in key])
-    return _stepped(df, whole, ts, event, {"ok": F.coalesce(success, F.lit(False))}, step, "event long, replay boolean", ttl_s * 1_000_000, late)
+
+def ttl_changes(df: DataFrame, key: str, ts: str, event: str, value: Column, ttl_s: int, late: str = "1 hour") -> DataFrame:
+    """J4 as a stream: key, value, at, live: a row for each change of a key's last value, and one with live false when it is revoked or ttl is over.
+
+    Out of date is decided by timers in event time, at the watermark; the text of the value is kept. Events without a
+    time are left out.
+    """
+    at = F.col(ts).cast("timestamp")
+    rows = df.filter(at.isNotNull()).select(F.col(key).alias("k0"), F.col(event).cast("long").alias("event"), F.unix_micros(at).alias("us"), value.cast("string").alias("value"), at.alias("at"))
+    kind = rows.schema["k0"].dataType.simpleString()
+    made = run_stateful(rows.withWatermark("at", late), ["k0"], Latest(ttl_s * 1_000_000), f"key {kind}, value string, at_us long, live boolean", "update")
+    return made.select(F.col("key").alias(key), "value", F.timestamp_micros("at_us").alias("at"), "live")
+
+
+def ttl_view(changes: DataFrame, key: str, batch: str) -> DataFrame:
+    """The values that are live after all changes written so far; batch numbers their micro-batches."""
+    # a key's own changes of one micro-batch are in order of time, and one that ends a value comes first
+    last = changes.groupBy(key).agg(F.max_by(F.struct("value", "at", "live"), F.struct(batch, "at", "live")).alias("r")).select(key, "r.*")
+    return last.filter("live").select(key, "value", "at")
 
 
 def ttl_latest(df: DataFrame, key: str, ts: str, event: str, value: Column, ttl_s: int, now: Column) -> DataFrame:
