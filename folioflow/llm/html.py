@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,13 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}
 #: Words in classes, ids and roles.
 NAMES = [re.compile(x) for x in (r"nav|menu|crumb|pagina|toc", r"\b(ad|ads|adv|advert\w*|advertisement|sponsor\w*|promo\w*|banner-ad)\b", r"header|masthead|topbar|\bhead\b", r"foot|copyright|legal|imprint", r"side|aside|widget|related|recommend|popular|complementary", r"comment|respon|discuss|disqus|reply|replies|review", r"cookie|consent|notice|alert|gdpr|popup|modal|newsletter|subscri|banner", r"form|login|search|signup|register", r"share|social|follow|byline|\bmeta\b|tags", r"article|content|main|post|entry|story|text")]
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/a-zA-Z][^<>]*\Z""", re.S)
+#: Elements within each other beyond this depth are taken as beside each other, as browsers do.
+DEEPEST = 512
+
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: One attribute, or the end of the tag, or a value whose quote is never closed.
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?=>)|[^\s>"'][^\s>]*+|(["'])))?+)""")
+_COMMENT_END = re.compile("--!?>")
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _LABEL = re.compile(r"""data-label\s*=\s*["']?([01])""")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -56,38 +63,103 @@ class Tree:
         self._pieces: list[str] = []
         self._linked = self._in_link = 0
         self._ends: dict[str, dict[int, int]] = {}
-        at = 0
-        while (m := _TOKEN.search(page, at)) is not None:
-            self._words(page[at : m.start()])
-            at = m.end()
-            name = m[2] or m[5]
-            if not name:
+        self._held: dict[str, list[int]] = {}
+        self._dead: set[int] = set()
+        self._last = page.rfind(">")
+        self._endless: set[str] = set()
+        self._read(page)
+        self._flush()
+
+    def _read(self, page: str) -> None:
+        """Goes through the markup once; everything that is looked for in vain is looked for once only."""
+        at = start = 0
+        while (start := page.find("<", start)) >= 0:
+            past, name, ends, attributes = self._markup(page, start)
+            if past is None:  # a character of the text
+                start += 1
                 continue
-            name = name.lower()
-            if m[1] or m[4]:
+            self._words(page[at:start])
+            at = past
+            if not name:
+                pass
+            elif ends:
                 self._close(name)
-                continue
-            if name in RAW:
-                end = re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I).search(page, at)
-                at = end.end() if end else len(page) if name in CODE else at
-                continue
-            if name in OUT:
-                if not m[0].endswith("/>"):
-                    at = self._past(page, name, m.start()) or at
-                continue
-            self._start(name, (m[3] or m[6] or ""))
+            elif name in RAW:
+                at = self._past_raw(page, name, at)
+            elif name in OUT:
+                if not page.startswith("/>", past - 2):
+                    at = self._past(page, name, start) or at
+            else:
+                self._start(name, attributes)
+            start = at
         self._words(page[at:])
-        self._flush()
+
+    def _markup(self, page: str, start: int) -> tuple[int | None, str, bool, str]:
+        """Where the markup that begins there ends (None: it is text), and of a tag its name, whether it ends an element, and its attributes."""
+        after = page[start + 1 : start + 2]
+        if after == "!" and page.startswith("--", start + 2):
+            return self._comment_end(page, start + 4), "", False, ""
+        if after in ("!", "?"):
+            end = -1
+            if page.startswith("[CDATA[", start + 2) and "cdata" not in self._endless and (end := page.find("]]>", start + 9)) < 0:
+                self._endless.add("cdata")
+            end = end + 3 if end >= 0 else page.find(">", start) + 1 if start < self._last else len(page)
+            return end, "", False, ""
+        m = _NAME.match(page, start)
+        if m is None:
+            if page.startswith("</>", start):
+                return start + 3, "", False, ""
+            return None, "", False, ""
+        if start > self._last:  # a tag that is cut off ends the page
+            return (None if page.find("<", start + 1) >= 0 else len(page)), "", False, ""
+        end = self._tag_end(page, m.end()) or page.find(">", start) + 1
+        return end, m[2].lower(), bool(m[1]), page[m.end() : end - 1]
+
+    def _comment_end(self, page: str, at: int) -> int:
+        for short in (">", "->"):
+            if page.startswith(short, at):
+                return at + len(short)
+        m = _COMMENT_END.search(page, at)
+        return m.end() if m else len(page)
+
+    def _tag_end(self, page: str, at: int) -> int | None:
+        """Behind the > that ends a tag whose attributes begin there: a quote opens a value only behind =, and an unquoted value ends at white space or >.
+
+        None where a quote is open or values hold every > up to the page's end; attributes that led there are remembered.
+        """
+        seen = []
+        while at not in self._dead:
+            seen.append(at)
+            m = _ATTRIBUTE.match(page, at)
+            if m is None or m[2]:
+                break
+            if m[1]:
+                return m.end()
+            at = m.end()
+        self._dead.update(seen)
+        return None
+
+    def _past_raw(self, page: str, name: str, at: int) -> int:
+        """Behind the end tag of an element without markup in it; where there is none, the page's end for code and the tag alone for others."""
+        if name not in self._endless:
+            m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+            if m and m.end() <= self._last:
+                return page.find(">", m.end()) + 1
+            self._endless.add(name)
+        return len(page) if name in CODE else at
 
     def _past(self, page: str, name: str, start: int) -> int | None:
         """Where the element that starts there ends; elements of a name may hold each other. A page's are matched at once."""
         if name not in self._ends:
-            ends, held = {}, []
-            for m in re.finditer(rf"<(/?){name}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", page, re.I):
-                if not m[1] and not m[0].endswith("/>"):
+            ends, held, done = {}, [], 0
+            for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])", page, re.I):
+                if m.start() < done or m.start() > self._last:
+                    continue
+                done = self._tag_end(page, m.end()) or page.find(">", m.end()) + 1
+                if m[1] and held:
+                    ends[held.pop()] = done
+                elif not m[1] and not page.startswith("/>", done - 2):
                     held.append(m.start())
-                elif m[1] and held:
-                    ends[held.pop()] = m.end()
             self._ends[name] = ends
         return self._ends[name].get(start)
 
@@ -145,36 +217,42 @@ class Tree:
         self._flush()
         if name == "html":
             return
-        ended, held = ENDS.get(name, ((), ()))
         if self.tag[self.open[-1]] == "p":
-            self.open.pop()
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.tag[self.open[k]]
-            if tag in held:
-                break
-            if tag in ended:
-                del self.open[k:]
+            self._cut(len(self.open) - 1)
+        if name in ENDS:
+            ended, held = ENDS[name]
+            bound = max([self._held[t][-1] for t in held if self._held.get(t)], default=0)
+            further = [own[i] for t in ended if (own := self._held.get(t)) and (i := bisect_right(own, bound)) < len(own)]
+            if further:
+                self._cut(min(further))
+        if len(self.open) >= DEEPEST:
+            self._cut(DEEPEST - 1)
+        self._held.setdefault(name, []).append(len(self.open))
         self.open.append(self._add(name, self.open[-1], attributes))
 
+    def _cut(self, k: int) -> None:
+        """Ends the k-th of the open elements and those in it."""
+        for i in self.open[k:]:
+            self._held[self.tag[i]].pop()
+        del self.open[k:]
+
     def _close(self, name: str) -> None:
         if name == "a":
             self._in_link = 0
         if name not in _BLOCK or name in ("html", "body"):
             return
         self._flush()
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[k]] == name:
-                del self.open[k:]
-                return
+        if self._held.get(name):
+            self._cut(self._held[name][-1])
 
     def truth(self) -> np.ndarray:
         """Labels from data-label attributes, the innermost deciding; an element that holds content is content."""
         state = np.zeros(len(self.parent), np.int64)
         for i, p in enumerate(self.parent):
             state[i] = self.label[i] if self.label[i] is not None else (state[p] if p >= 0 else 0)
-        return self._held(state)
+        return self._spread(state)
 
-    def _held(self, state: np.ndarray) -> np.ndarray:
+    def _spread(self, state: np.ndarray) -> np.ndarray:
         out = np.array([s if t is not None else 0 for s, t in zip(state, self.text, strict=True)])
         for i in range(len(out) - 1, 0, -1):
             out[self.parent[i]] |= out[i]
@@ -189,7 +267,7 @@ class Tree:
         state = np.zeros(len(self.parent), np.int64)
         for i, p in enumerate(self.parent):
             state[i] = i in outer or (p >= 0 and state[p] and self.tag[i] not in ("nav", "aside", "footer", "form", "button", "select", "dialog") and not any(N_TAGS <= k < N_TAGS + N_NAMES - 2 for k in self.on[i]))
-        return self._held(state)
+        return self._spread(state)
 
 
 class Forest:
@@ -280,7 +358,7 @@ def extract(df: DataFrame, page: Column, model: tuple[np.ndarray, np.ndarray], n
     """df with the main text of each whole page: the stretches of text whose marginal is at least a half, in page order.
 
     Character references are decoded; white space inside a block becomes one space; blocks are joined by one space.
-    Scripts, styles, what is no text (as svg, object or noscript), comments and markup go; behind an element of these
+    Tags are read as HTML reads them, in time linear in the page, however broken it is. Scripts, styles, what is no text (as svg, object or noscript), comments and markup go; behind an element of these
     that is never closed the page goes on, but for code. A null or empty page, and one without
     content, has the empty text. A column of that name is replaced.
     """

@@ -65,6 +65,39 @@ def test_pages_go_on_behind_elements_that_are_never_closed():
         assert [x for x in html.Tree(page).text if x] == want, page
 
 
+def test_tags_are_read_as_html_reads_them():
+    cases = {
+        "<p class=it's>A</p><p>We don't know.</p><p>Last.</p>": ["A", "We don't know.", "Last."],
+        "<p>a<img alt='Bob's photo'>b</p><p>it's</p>": ["ab", "it's"],
+        "a<!-->b<!--->c<!-- x --!>d<!--!>e-->f": ["abcdf"],
+        "<p title='a > b' lang=en>A</p ><p a=>B": ["A", "B"],
+        '<p title="x>A</p><p>B': ["A", "B"],
+        "a < b <3 c</ d": ["a < b <3 c</ d"],
+        "<p>cut off <a href='x": ["cut off"],
+        "<P CLASS = nav>x<p/class=y>z": ["x", "z"],
+        "<title>x</titles></TITLE >y": ["y"],
+    }
+    for page, want in cases.items():
+        assert [x for x in html.Tree(page).text if x] == want, page
+    assert html.Tree("<div id = nav>x").on[1] == html.Tree("<div id='nav'>x").on[1] != html.Tree("<div>x").on[1]
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    patterns = ["<a ", "<ul><li>", '<a b="', "<a b='>'", "<title>", "</title x", "<svg>", '<svg "', "<", "<div>", "<!--", "<!", "<![CDATA[", "</li>", "&", '<p class="', "<table><tr><td>x", "<noscript><p x='"]
+    slow = []
+    for x in patterns:
+        for page in (x * ((1 << 20) // len(x)), x * ((1 << 20) // len(x)) + ">", "<div>" * 1000 + x * ((1 << 18) // len(x))):
+            start = time.process_time()
+            tree = html.Tree(page)
+            html.Forest([tree]).marginals(np.zeros(html.N_FEATURES), np.zeros((2, 2, 2)))
+            assert max(tree.depth) <= html.DEEPEST
+            if time.process_time() - start > 8:  # a quadratic one takes minutes
+                slow.append(x)
+    assert slow == []
+
+
 def test_lists_captions_code_and_authors(spark):
     p = "The first sentence of it is long enough, and goes on. A second one follows here, with more words in it than that."
     page = f"<nav><ul><li><a href=/>Home</a></li><li><a href=/b>News of it</a></li></ul></nav><article><h1>A heading of words</h1><p>{p}</p><ul><li>short</li><li>items</li><li>here</li></ul><p>{p}</p><figure><img src=x><figcaption>A caption.</figcaption></figure><p>{p}</p></article><div class='author-bio'><p>Someone writes about things and lives somewhere. They like other things.</p></div><footer><p>Imprint and more.</p></footer>"
