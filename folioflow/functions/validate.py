@@ -113,10 +113,10 @@ def _named(name: str) -> str:
 
 
 def _bound(kind: str, default: int, measure: Callable[[Column], Column], holds: Callable[[Column, object], Column], note: Callable[[Column, object], Column]) -> Callable[[Column, Given], Verdict]:
-    """A rule that compares what is measured of a value with the parameter named like the bound."""
+    """A rule that compares what is measured of a value with the parameter named like the bound, or by its first three letters."""
 
     def rule(x: Column, given: Given) -> Verdict:
-        limit = given.options.get(kind[:3], default)
+        limit = given.options.get(kind, given.options.get(kind[:3], default))
         return Verdict(F.coalesce(holds(measure(x), limit), F.lit(False)), note(measure(x), limit))
 
     return rule

@@ -10,24 +10,28 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from folioflow.functions.batches import arrow_types, same
 from folioflow.functions.text import blank, clean_text, quality_score, strip
 
 
 def _cut(df: DataFrame, key: str, text: str, cut: Callable[[str], list[str]]) -> DataFrame:
-    """(key, chunk, text): the pieces of each text, numbered from 0."""
+    """(key, chunk, text): the pieces of each text, numbered from 0. Keys of any type pass as they are, nulls too."""
     rows = df.select(F.col(key).alias("key"), blank(F.col(text)).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pieces = [cut(x) for x in b["text"]]
-            out = pd.DataFrame({"key": b["key"], "p": pieces}).explode("p", ignore_index=True).dropna(subset=["p"])
-            yield pd.DataFrame({"key": out["key"], "chunk": out.groupby("key", dropna=False).cumcount() if b["key"].is_unique else [i for p in pieces for i in range(len(p))], "text": out["p"]})
+            pieces = [cut(x) for x in b.column(1).to_pylist()]
+            row = [i for i, p in enumerate(pieces) for _ in p]
+            chunk = [i for p in pieces for i in range(len(p))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(chunk, pa.int64()), pa.array([x for p in pieces for x in p], pa.string())], names=["key", "chunk", "text"])
 
-    kind = dict(rows.dtypes)["key"]
-    return rows.mapInPandas(run, f"key {kind}, chunk long, text string").withColumnRenamed("key", key)
+    schema = T.StructType([rows.schema["key"], T.StructField("chunk", T.LongType()), T.StructField("text", T.StringType())])
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def _paragraphs(text: str) -> list[str]:
@@ -116,27 +120,32 @@ def session_chunks(df: DataFrame, session: str, turn: str, role: str, text: str,
     said = F.concat(F.coalesce(role, F.lit("user")), F.lit(": "), F.coalesce(text, F.lit("")))
     rows = df.select(F.col(session).alias("key"), F.col(turn).alias("turn"), said.alias("said"))
     names = ["key", "chunk", "start_idx", "end_idx", "tokens", "text"]
+    schema = T.StructType([rows.schema["key"], *[T.StructField(n, T.LongType()) for n in names[1:5]], T.StructField("text", T.StringType())])
+    types = arrow_types(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, chunk, start, tokens = None, 0, 0, 0
         held: list[str] = []
         for b in batches:
             out = []
-            for key, s in zip(b["key"].astype(object).where(b["key"].notna(), None), b["said"], strict=True):
-                other = held and key != own
+            for key, s in zip(b.column("key").to_pylist(), b.column("said").to_pylist(), strict=True):
+                other = held and not same(key, own)
                 if other or (held and tokens + len(s) // 4 > max_tokens):
                     out.append((own, chunk, start, start + len(held) - 1, tokens, "\n".join(held)))
                     chunk, start = (0, 0) if other else (chunk + 1, start + len(held))
                     held, tokens = [], 0
                 own, tokens = key, tokens + len(s) // 4
                 held.append(s)
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield made(out)
         if held:
-            yield pd.DataFrame([(own, chunk, start, start + len(held) - 1, tokens, "\n".join(held))], columns=names)
+            yield made([(own, chunk, start, start + len(held) - 1, tokens, "\n".join(held))])
 
-    kind = dict(rows.dtypes)["key"]
     dealt = rows.repartition("key").sortWithinPartitions("key", "turn", "said")
-    return dealt.mapInPandas(run, f"key {kind}, chunk long, start_idx long, end_idx long, tokens long, text string").withColumnRenamed("key", session)
+    return dealt.mapInArrow(run, schema).withColumnRenamed("key", session)
 
 
 def _document_packs(text: str, max_tokens: int, overlap: bool) -> list[str]:

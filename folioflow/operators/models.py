@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioflow.functions.batches import with_columns
 from folioflow.functions.hashing import protect
 from folioflow.functions.replies import reply_records
 from folioflow.functions.text import keywords_simple
@@ -20,21 +21,25 @@ from folioflow.sources.shared import written
 def model_map(df: DataFrame, prompt: str, make: Callable[[], Callable[[list[str]], list[str]]], batch: int = 32, retries: int = 3, wait: float = 1.0) -> DataFrame:
     """K1: df with reply and error. make() is called once a task and gives the function of a batch of prompts.
 
-    A batch that fails is tried again after a delay that doubles, 60 s at most; then its rows have an error. Order stays.
+    A batch that fails is tried again after a delay that doubles, 60 s at most; then its rows have an error. Order stays, and so do all
+    other columns, of whatever type.
     """
-    out = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
+    at = df.columns.index(prompt)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[pa.RecordBatch], list]:
         call = make()
-        for b in batches:
+
+        def ask(b: pa.RecordBatch) -> list:
             replies: list[str | None] = []
             errors: list[str | None] = []
-            prompts = b[prompt].tolist()
+            prompts = b.column(at).to_pylist()
             for i in range(0, len(prompts), batch):
                 some = prompts[i : i + batch]
                 for k in range(retries + 1):
                     try:
                         got, error = list(call(some)), None
+                        if len(got) != len(some):
+                            raise ValueError(f"{len(got)} replies to {len(some)} prompts")
                         break
                     except Exception as e:  # noqa: BLE001  the caller's function may raise anything
                         got, error = [None] * len(some), str(e)[:500]
@@ -42,9 +47,11 @@ def model_map(df: DataFrame, prompt: str, make: Callable[[], Callable[[list[str]
                             time.sleep(min(60.0, wait * 2**k))
                 replies += got
                 errors += [error] * len(some)
-            yield b.assign(reply=replies, error=errors)
+            return [replies, errors]
+
+        return ask
 
-    return df.mapInPandas(run, out)
+    return with_columns(df, start, [T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
 
 
 def tiered_map(df: DataFrame, prompt: str, order: str, small: Callable, large: Callable, first: int = 10, cut: int = 1500, **options) -> DataFrame:

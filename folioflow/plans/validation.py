@@ -117,6 +117,14 @@ def h17_cleaning_rules(t):
     return t.customer.select("c_custkey", mail["cleaned"].alias("mail"), mail["status"].alias("mail_status"), phone["cleaned"].alias("phone"), phone["status"].alias("phone_status"), date["status"].alias("date_status"), date["error"].alias("date_error"))
 
 
+@query("""SELECT c_custkey, CASE WHEN length(c_mktsegment) >= 9 THEN 'pass' ELSE 'fail' END AS least, CASE WHEN length(c_mktsegment) < 9 THEN 'Minimum length 9, got ' || length(c_mktsegment) END AS least_error,
+CASE WHEN length(c_mktsegment) <= 8 THEN 'pass' ELSE 'fail' END AS most, CASE WHEN length(c_mktsegment) <= 9 THEN 'pass' ELSE 'fail' END AS shorter FROM customer""")
+def h17_length_rules(t):
+    least = V.validate_field(F.col("c_mktsegment"), "min_length", min_length=9, min=1)
+    most, shorter = V.validate_field(F.col("c_mktsegment"), "max_length", max_length=8), V.validate_field(F.col("c_mktsegment"), "max_length", max=9)
+    return t.customer.select("c_custkey", least["status"].alias("least"), least["error"].alias("least_error"), most["status"].alias("most"), shorter["status"].alias("shorter"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'pass' ELSE 'fail' END AS status, CASE WHEN c_custkey % 2 = 1 THEN 'odd key' END AS error FROM customer")
 def k8_register_rule(t):
     V.register_rule("even", lambda x: x.try_cast("long") % 2 == 0)

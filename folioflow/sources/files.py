@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -17,17 +18,25 @@ EXTENSIONS = ("csv", "json", "jsonl", "txt", "xlsx", "docx")
 _TABLE = "file string, sheet string, row_idx long, headers array<string>, cells array<string>"
 
 
-def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """A1: a header line, all cells as text; short rows are padded, cells beyond the header dropped, null is empty."""
-    return spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", escape='"', multiLine=False, enforceSchema=False).na.fill("")
+def read_csv_strings(spark: SparkSession, path: str, line_feeds: bool = True) -> DataFrame:
+    """A1: a header line, all cells as text; short rows are padded, cells beyond the header dropped, null is empty.
+
+    Quoted cells may hold line feeds, so a file is one task's work; without line_feeds files are split, and no cell may.
+    """
+    return spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", escape='"', multiLine=line_feeds, enforceSchema=False).na.fill("")
+
+
+def _records(text: Column) -> Column:
+    """The records of JSON text as JSON texts: those of a list, of {rows}, of {data: {rows}}, or the one object; null for what is no JSON."""
+    text = F.trim(text)
+    listed = F.when(text.startswith("["), text).otherwise(F.coalesce(F.get_json_object(text, "$.rows"), F.get_json_object(text, "$.data.rows"), F.concat(F.lit("["), text, F.lit("]"))))
+    return F.when(F.try_parse_json(text).isNotNull(), F.from_json(listed, "array<string>"))
 
 
 def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
     """A2: (file, i, record): the records of a list, of {rows}, of {data: {rows}}, or the one object, as JSON text."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    text = F.trim("value")
-    rows = F.when(text.startswith("["), text).otherwise(F.coalesce(F.get_json_object(text, "$.rows"), F.get_json_object(text, "$.data.rows"), F.concat(F.lit("["), text, F.lit("]"))))
-    return raw.filter(F.try_parse_json(text).isNotNull()).select("file", F.posexplode(F.from_json(rows, "array<string>")).alias("i", "record"))
+    return raw.select("file", F.posexplode(_records(F.col("value"))).alias("i", "record"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -47,14 +56,25 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
+def _sheet_files(z: zipfile.ZipFile, names: set[str]) -> Iterator[tuple[str, str]]:
+    """Names of a workbook's sheets, in its order, with their files by relation id; by number where relations are missing."""
+    listed = [e for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(e.tag) == "sheet"]
+    links = "xl/_rels/workbook.xml.rels"
+    target = {e.get("Id"): e.get("Target", "") for e in ElementTree.fromstring(z.read(links)).iter() if _local(e.tag) == "Relationship"} if links in names else {}
+    numbered = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
+    for i, e in enumerate(listed):
+        own = next((target[v] for k, v in e.attrib.items() if _local(k) == "id" and v in target), None)
+        name = (own.lstrip("/") if own.startswith("/") else posixpath.normpath(f"xl/{own}")) if own is not None else numbered[i] if i < len(numbered) else ""
+        if name in names and name.rsplit("/", 2)[-2] != "chartsheets":
+            yield e.get("name", ""), name
+
+
 def _sheets(content: bytes) -> Iterator[tuple[str, list[list[str]]]]:
     """Sheets of a workbook: name and rows of text."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        titles = [e.get("name", "") for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(e.tag) == "sheet"]
-        files = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
-        for title, name in zip(titles, files, strict=False):
+        for title, name in _sheet_files(z, names):
             rows = []
             for r in (e for e in ElementTree.fromstring(z.read(name)).iter() if _local(e.tag) == "row"):
                 cells: list[str] = []
@@ -144,7 +164,7 @@ def extract_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
 
     tables = [_rows_of(_typed(spark, root, "csv"), sheet), _rows_of(_typed(spark, root, "xlsx"), _sheets), _rows_of(_typed(spark, root, "docx"), lambda c: ((f"table_{i}", t) for i, t in enumerate(_document(c)[1])))]
     for ext in ("json", "jsonl"):
-        records = _typed(spark, root, ext).select(F.col("path").alias("file"), F.posexplode(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "") if ext == "jsonl" else F.from_json(text, "array<string>")).alias("row_idx", "r"))
+        records = _typed(spark, root, ext).select(F.col("path").alias("file"), F.posexplode(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "") if ext == "jsonl" else _records(text)).alias("row_idx", "r"))
         fields = F.map_entries(F.from_json("r", "map<string,string>"))
         tables.append(records.select("file", F.lit("").alias("sheet"), F.col("row_idx").cast("long").alias("row_idx"), F.transform(fields, lambda e: e["key"]).alias("headers"), F.transform(fields, lambda e: F.coalesce(e["value"], F.lit(""))).alias("cells")))
     return plain.unionByName(words), reduce(DataFrame.unionByName, tables)
