@@ -34,3 +34,11 @@ def with_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], li
 def same(a: object, b: object) -> bool:
     """Whether two keys are one: null is itself, and so is NaN."""
     return a == b or (a != a and b != b)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, or if it is a scan of fewer splits than there are cores, df dealt out; a table of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
