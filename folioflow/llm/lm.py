@@ -18,10 +18,15 @@ from pyspark.sql import types as T
 from folioflow.llm import gru
 from folioflow.llm.arrow import BYTE_BASE, append_columns, as_bytes, in_runs, joined, span_hashes, spans, written
 from folioflow.llm.neardup import _grouped
+from folioflow.sources.shared import discard
 
 HEAD, WORDS, CLASSES, STATE = 1 << 20, 4095, 64, 24
 #: Tokens that a task learns from at once, unless a run of texts has more; a task's texts are never all in memory.
 TOGETHER = 1 << 21
+#: Tokens of a group of texts that are learned from one after another; of a unit by which groups are weighed.
+GROUP, UNIT = 1 << 22, 1 << 10
+#: Parts of 1 in which weights are added up; weights in a row.
+FINE, BLOCK = 1 << 24, 512
 #: The hash that stands for the end of a text.
 END = np.uint64(0)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -103,58 +108,90 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy(), n, v)
 
 
-def train(df: DataFrame, text: Column, key: Column, vocab: Vocabulary, rounds: int = 2, rate: float = 0.1) -> dict[str, np.ndarray]:
+def train(df: DataFrame, text: Column, key: Column, vocab: Vocabulary, rounds: int = 2, rate: float = 0.1, group: int = GROUP) -> dict[str, np.ndarray]:
     """The recurrent model's weights, from all texts, each of which is learned from once.
 
-    The texts are dealt over the rounds by the hash of key and text. In a round every task learns from its own texts of
-    the round, a run of them at a time, beginning with the same weights; the mean of the results, by tokens, starts the
-    next round. The mean is taken in Spark; the driver gets a value for each weight. So the weights depend, a little,
-    on how the table is split into tasks.
+    The texts are dealt over the rounds and, within a round, over groups of about group / rounds tokens by the hash of
+    key and text. A group's texts are learned from in the order of their hashes, beginning with the round's weights; the
+    mean of the groups' results, by tokens, starts the next round. So the weights depend on the rows alone, not on
+    files, partitions or machines: the mean is taken of whole numbers, whose sum has no order. Groups are taken by
+    tasks, a block of weights is a row of each task, and the driver gets a value for each weight.
     """
     weights = gru.start(vocab.counts, (vocab.middle, vocab.rare), vocab.bounds, STATE)
-    raw = F.coalesce(text, F.lit(""))
-    dealt = df.select(raw.alias("text"), F.pmod(F.xxhash64(key, raw), F.lit(rounds)).alias("round"))
     context = df.sparkSession.sparkContext
+    groups = max(1, -(-vocab.tokens // group))
+    words = context.broadcast(vocab)
+    raw = F.coalesce(text, F.lit(""))
+    given = df.select(raw.alias("text"), F.xxhash64(key, raw).alias("h"))
+
+    def encode(batches):
+        for b in batches:
+            out: list[bytes] = []
+            texts = as_bytes(b.column(0))
+            for i, j in in_runs(texts):
+                tokens, first = _tokens(texts[i:j])
+                symbols = words.value.symbols(tokens)[0].astype("<u2")
+                out += [symbols[p:q].tobytes() for p, q in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.binary())], names=["h", "symbols"])
+
+    dealt = given.mapInArrow(encode, "h long, symbols binary")
+    coded = written(dealt.withColumn("round", F.pmod("h", F.lit(rounds))).withColumn("grp", F.pmod(F.shiftright("h", 8), F.lit(groups))), "lm-symbols")
     for k in range(rounds):
-        held = context.broadcast((weights, vocab))
-        rows = dealt.filter(F.col("round") == k).select("text")
+        held = context.broadcast(weights)
+        rows = coded.filter(F.col("round") == k).select("grp", "h", "symbols").repartition(min(groups, 10_000), "grp").sortWithinPartitions("grp", "h", "symbols")
 
         def learn(batches, held=held, k=k):
-            own, words = held.value
-            learnt, moments, n = own, gru.Moments(own), 0
-            for symbols, sizes in _symbol_runs(batches, words):
-                learnt = gru.learn(learnt, words.bounds, symbols, sizes, rate / (1 + k), moments=moments)
-                n += len(symbols)
-            if not n:
-                return
-            flat = np.concatenate([learnt[x].ravel() for x in gru.NAMES])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat.astype(np.float64) * n), pa.array(np.full(len(flat), float(n)))], names=["i", "s", "n"])
-
-        means = rows.mapInArrow(learn, "i long, s double, n double").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("w")).toArrow()
-        if not means.num_rows:  # no text in this round
+            total, n = None, 0
+            for symbols, sizes in _group_runs(batches):
+                learnt, moments = held.value, gru.Moments(held.value)
+                for some, own in _cut(symbols, sizes):
+                    learnt = gru.learn(learnt, words.value.bounds, some, own, rate / (1 + k), moments=moments)
+                units = max(1, len(symbols) // UNIT)
+                flat = np.rint(np.concatenate([learnt[x].ravel() for x in gru.NAMES]).astype(np.float64) * FINE).astype(np.int64) * units
+                total, n = flat if total is None else total + flat, n + units
+            if total is not None:
+                cuts = range(0, len(total), BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int64()), pa.array([n] * len(cuts), pa.int64()), pa.array([total[i : i + BLOCK] for i in cuts], pa.list_(pa.int64()))], names=["block", "n", "s"])
+
+        def add(table: pa.Table) -> pa.Table:
+            sums = np.sum([x for x in table["s"].to_numpy()], axis=0)
+            return pa.table({"block": table["block"][:1], "n": pa.array([int(np.sum(table["n"].to_numpy()))]), "s": pa.array([sums], pa.list_(pa.int64()))})
+
+        sums = rows.mapInArrow(learn, "block long, n long, s array<long>").groupBy("block").applyInArrow(add, "block long, n long, s array<long>").toArrow()
+        if not sums.num_rows:  # no text in this round
             continue
-        flat = np.zeros(means.num_rows)
-        flat[means.column("i").to_numpy()] = means.column("w").to_numpy()
+        sums = sums.sort_by("block")
+        flat = np.concatenate(sums["s"].to_numpy()) / (float(sums["n"][0].as_py()) * FINE)
         cuts = np.cumsum([weights[x].size for x in gru.NAMES])
         weights = {x: v.reshape(weights[x].shape).astype(np.float32) for x, v in zip(gru.NAMES, np.split(flat, cuts[:-1]), strict=True)}
+    discard(coded)
     return weights
 
 
-def _symbol_runs(batches, words: Vocabulary):
-    """Symbols of all texts and the texts' sizes, TOGETHER tokens or a little more at a time."""
-    symbols, sizes, held = [], [], 0
+def _group_runs(batches):
+    """The symbols and texts' sizes of each group; groups come one after another."""
+    own, symbols, sizes = None, [], []
     for b in batches:
-        raw = as_bytes(b.column(0))
-        for i, j in in_runs(raw):
-            tokens, first = _tokens(raw[i:j])
-            symbols.append(words.symbols(tokens)[0])
-            sizes.append(np.diff(first))
-            held += len(tokens)
-            if held >= TOGETHER:
-                yield np.concatenate(symbols), np.concatenate(sizes)
-                symbols, sizes, held = [], [], 0
-    if held:
-        yield np.concatenate(symbols), np.concatenate(sizes)
+        for g, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+            if g != own and sizes:
+                yield np.concatenate(symbols), np.array(sizes)
+                symbols, sizes = [], []
+            own = g
+            symbols.append(np.frombuffer(x, "<u2"))
+            sizes.append(len(x) // 2)
+    if sizes:
+        yield np.concatenate(symbols), np.array(sizes)
+
+
+def _cut(symbols: np.ndarray, sizes: np.ndarray):
+    """A group's texts in runs of about TOGETHER tokens."""
+    past = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        before = past[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(past, before + TOGETHER, "right")))
+        yield symbols[before : past[end - 1]].astype(np.int32), sizes[at:end]
+        at = end
 
 
 _PARTIAL = T.StructType(

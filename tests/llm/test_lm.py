@@ -162,3 +162,17 @@ def test_odd_rows(spark):
     empty = lm.vocabulary(none)
     assert empty.tokens == 0
     assert len(lm.score(df, F.col("text"), none, empty, lm.train(df.limit(0), F.col("text"), F.col("doc_id"), empty)).collect()) == len(rows)
+
+
+def test_scores_don_t_depend_on_files_or_partitions(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    found = []
+    for parts in (1, 16):
+        df = docs.repartition(parts, F.rand(parts))
+        counts = lm.count_tokens(df, F.col("text"))
+        vocab = lm.vocabulary(counts)
+        weights = lm.train(df, F.col("text"), F.col("doc_id"), vocab, group=vocab.tokens // 5)
+        found.append((weights, {r.doc_id: r.score for r in lm.score(df, F.col("text"), counts, vocab, weights).collect()}))
+    (a, x), (b, y) = found
+    assert all(np.array_equal(a[k], b[k]) for k in a)
+    assert all(math.isclose(x[k], y[k], rel_tol=1e-5) for k in x)
