@@ -25,7 +25,7 @@ def with_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for b in batches:
-            made = [pa.array(x, t, from_pandas=False) for x, t in zip(work(b), types, strict=True)]
+            made = [x if isinstance(x, pa.Array) else pa.array(x, t, from_pandas=False) for x, t in zip(work(b), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], *made], names=out.names)
 
     return df.mapInArrow(run, out)

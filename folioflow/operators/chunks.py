@@ -9,14 +9,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.functions.batches import arrow_types, same
+from folioflow.functions.batches import arrow_types, same, with_columns
 from folioflow.functions.text import blank, clean_text, quality_score, strip
+from folioflow.operators.automaton import Automaton
 
 
 def _cut(df: DataFrame, key: str, text: str, cut: Callable[[str], list[str]]) -> DataFrame:
@@ -216,33 +217,47 @@ def sections_by_anchor(marks: DataFrame, file: str, page: str, n_pages: str) ->
     return marks.select(file, "anchor", F.col(page).alias("first"), F.coalesce(nxt - 1, F.col(n_pages)).alias("last")).filter("last >= first")
 
 
-def match_anchors(pages: DataFrame, anchors: DataFrame, text: str, most: int = 10_000) -> DataFrame:
-    """Pages with the templates (name, anchor) of which an anchor is in the text, in any case.
+def match_anchors(pages: DataFrame, anchors: DataFrame, text: str, most_bytes: int = 16 << 20) -> DataFrame:
+    """Pages with the templates (name, anchor) of which an anchor is in the text, in any case; an empty anchor is in every text.
 
-    The anchors are a list of at most so many, which is checked; an automaton finds all of them in one pass over a text.
+    The anchors and names may have so many bytes together, which is checked before they are collected; an automaton
+    finds all of them in one pass over a batch's texts. Null anchors, names and texts match nothing.
     """
-    rows = anchors.select("name", F.lower("anchor").alias("anchor")).dropna().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"over {most} anchors: use a keyword index and join on words")
-    names: dict[str, list[str]] = {}
-    for r in rows:
-        names.setdefault(r["anchor"], []).append(r["name"])
-    held = pages.sparkSession.sparkContext.broadcast(names)
-
-    @F.pandas_udf("array<string>")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        automaton, always = ahocorasick.Automaton(), held.value.get("", [])
-        for anchor, own in held.value.items():
-            if anchor:
-                automaton.add_word(anchor, own)
-        automaton.make_automaton()
-        search = automaton.iter if len(automaton) else lambda x: ()
-        for b in batches:
-            yield pd.Series([None if x is None else sorted({n for _, own in search(x) for n in own}.union(always)) for x in b])
-
-    return pages.withColumn("name", F.explode(found(F.lower(text))))
+    given = anchors.select("name", F.lower("anchor").alias("anchor")).dropna()
+    size = given.agg(F.sum(F.octet_length("name") + F.octet_length("anchor"))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"over {most_bytes} bytes of anchors: use a keyword index and join on words")
+    names: dict[str, set[str]] = {}
+    for r in given.distinct().collect():
+        names.setdefault(r["anchor"], set()).add(r["name"])
+    always = sorted(names.pop("", ()))
+    strings = sorted(names)
+    every = sorted({n for own in names.values() for n in own}.union(always))
+    code = {n: i for i, n in enumerate(every)}
+    own = [np.array(sorted(code[n] for n in names[x]), np.int64) for x in strings]
+    count = np.array([len(x) for x in own], np.int64)
+    held = pages.sparkSession.sparkContext.broadcast((Automaton([x.encode() for x in strings]), np.cumsum(count) - count, count, np.concatenate([*own, np.zeros(0, np.int64)]), [code[n] for n in always], every))
+    low = "__low"
+
+    def start() -> Callable[[pa.RecordBatch], list]:
+        automaton, first, count, flat, always, every = held.value
+        shown = pa.array(every, pa.string())
+
+        def found(b: pa.RecordBatch) -> list:
+            texts = [None if x is None else x.encode() for x in b.column(b.num_columns - 1).to_pylist()]
+            text, string = automaton.find([x or b"" for x in texts])
+            n = count[string]
+            code = flat[np.arange(int(n.sum())) + np.repeat(first[string] - np.cumsum(n) + n, n)]
+            there = np.array([i for i, x in enumerate(texts) if x is not None], np.int64)
+            pair = np.concatenate([np.repeat(text, n) * len(every) + code, *[there * len(every) + c for c in always]])
+            text, code = np.divmod(np.unique(pair), max(1, len(every)))
+            at = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
+            return [pa.ListArray.from_arrays(pa.array(at), shown.take(pa.array(code)))]
+
+        return found
+
+    made = with_columns(pages.withColumn(low, F.lower(text)), start, [T.StructField("name", T.ArrayType(T.StringType()))])
+    return made.drop(low).withColumn("name", F.explode("name"))
 
 
 def parse_field_defs(df: DataFrame, key: str, text: str) -> DataFrame:

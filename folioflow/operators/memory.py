@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.sources.shared import written
 
@@ -127,23 +131,57 @@ def current_version(templates: DataFrame, key: str) -> DataFrame:
     return templates.groupBy(key).agg(F.max_by(F.struct(*templates.columns), "version").alias("r")).select("r.*")
 
 
-def flatten_json(df: DataFrame, key: str, json: str) -> DataFrame:
-    """H7: (key, path, value): the scalar leaves of JSON text by dotted path, arrays by index; empty containers give none.
-
-    A level is one narrow pass over the containers of the level before, by variant_explode, and is written with what is
-    left for the next, so no level is read twice; the loop ends with the deepest level.
+_JSON = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],]|[^\s{}\[\],:"]+', re.S)
+
+
+def _leaves(text: str) -> tuple[list[str], list[str | None], list[bool]]:
+    """Paths and values of the scalars within containers of valid JSON; and which values are numbers to be shown as doubles."""
+    paths: list[str] = []
+    values: list[str | None] = []
+    wide: list[bool] = []
+    at: list[str | int | None] = []  # where we are in each open container: the index, or the key (None until it is read)
+    for m in _JSON.finditer(text):
+        x = m[0]
+        c = x[0]
+        if c == ",":
+            at[-1] = at[-1] + 1 if isinstance(at[-1], int) else None
+        elif c in "]}":
+            at.pop()
+        elif c in "[{":
+            at.append(0 if c == "[" else None)
+        elif at and at[-1] is None:
+            at[-1] = json.loads(x) if "\\" in x else x[1:-1]
+        elif at:
+            number = c == "-" or c.isdigit()
+            paths.append(".".join(map(str, at)))
+            wide.append(number and ("e" in x or "E" in x or sum(map(str.isdigit, x)) > 38))
+            if c == '"':
+                x = json.loads(x) if "\\" in x else x[1:-1]
+            elif number and "." in x and not wide[-1]:
+                x = x.rstrip("0").rstrip(".")
+                x = "0" if x == "-0" else x
+            values.append(None if x == "null" and c == "n" else x)
+    return paths, values, wide
+
+
+def flatten_json(df: DataFrame, key: str, text: str) -> DataFrame:
+    """H7: (key, path, value): the scalar leaves of JSON text by dotted path, arrays by index; empty containers and what is no JSON give none.
+
+    One narrow pass, whatever the depth: a scanner goes over each text once and keeps the path that it is on. Numbers
+    are shown as Spark shows them: those with an exponent as doubles, others without zeros at a fraction's end.
     """
-    spark = df.sparkSession
-    found = df.select(F.col(key).alias("k"), F.lit("").alias("path"), F.try_parse_json(json).alias("v")).filter("v is not null")
-    inner = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
-    levels = []
-    while True:
-        text = F.coalesce(F.try_variant_get("v", "$", "string"), F.when(F.schema_of_variant("v") != "VOID", F.to_json("v")))
-        level = written(found.select("k", "path", F.when(inner, F.to_json("v")).alias("left"), F.when(~inner, text).alias("value"), inner.alias("inner")), "flatten")
-        levels.append(level.filter("not inner and path <> ''").select(F.col("k").alias(key), "path", "value"))
-        deeper = level.filter("inner")
-        if deeper.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        # variant_explode beside a row's other columns is a lateral join, which SQL says
-        found = spark.sql("SELECT k, path, f.pos, f.key, f.value FROM {d}, LATERAL variant_explode(v) f", d=deeper.select("k", "path", F.parse_json("left").alias("v")))
-        found = found.select("k", F.concat_ws(".", F.nullif("path", F.lit("")), F.coalesce("key", F.col("pos").cast("string"))).alias("path"), F.col("value").alias("v"))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.try_parse_json("text").isNotNull())
+    schema = T.StructType([rows.schema["key"], T.StructField("path", T.StringType()), T.StructField("value", T.StringType()), T.StructField("wide", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, columns = [], ([], [], [])
+            for i, x in enumerate(b.column(1).to_pylist()):
+                found = _leaves(x)
+                row += [i] * len(found[0])
+                for own, more in zip(columns, found, strict=True):
+                    own += more
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *[pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.bool_()), strict=True)]], names=schema.names)
+
+    value = F.when(F.col("wide"), F.col("value").cast("double").cast("string")).otherwise(F.col("value"))
+    return rows.mapInArrow(run, schema).select(F.col("key").alias(key), "path", value.alias("value"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.functions.hashing import record_hash
-from folioflow.sources.shared import shared_folder
+from folioflow.sources.shared import shared_folder, written
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -160,6 +160,33 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*[F.col(c) if c in keys else F.col(f"r.`{c}`").alias(c) for c in target.columns])
 
 
+def upsert_kept(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], parts: int = 64) -> int:
+    """A13 on a table that is kept in partitions by the keys' hash: updates win; returns the number of partitions written anew.
+
+    Only partitions that updates fall into are read, merged into a folder of their own and then swapped in; the files of
+    all others stay as they are. A table that isn't there yet is made with so many parts, which it keeps; updates of one
+    key are to be one row.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    sized = spark._jvm.org.apache.hadoop.fs.Path(path, f"_parts={parts}")
+    there = fs.exists(folder) and fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "_parts=*"))
+    if there:
+        parts = int(there[0].getPath().getName().split("=")[1])
+    dealt = updates.withColumn("__part", F.pmod(F.xxhash64(*keys), F.lit(parts)))
+    new = written(dealt, "upsert")
+    touched = [r[0] for r in new.select("__part").distinct().collect()]  # parts at most
+    if not touched:
+        return 0
+    if there:
+        held = spark.read.option("basePath", path).parquet(path).filter(F.col("__part").isin(touched))
+        new = upsert(held.select(*new.columns[:-1], F.col("__part").cast("long").alias("__part")), new, [*keys, "__part"])
+    merged = written(new, "upsert-merged")
+    merged.repartition("__part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__part").parquet(path)
+    fs.create(sized, True).close()
+    return len(touched)
+
+
 def delete_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key), key, "left_anti")
 

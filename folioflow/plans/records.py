@@ -8,6 +8,7 @@ from folioflow.functions import hashing
 from folioflow.operators import records as R
 from folioflow.operators import reports as P
 from folioflow.plans.registry import query
+from folioflow.sources.shared import shared_folder
 
 
 @query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer")
@@ -129,6 +130,16 @@ def a13_upsert(t):
     return R.upsert(rows, updates, ["vec_id"])
 
 
+@query("SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN -1 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, -2 FROM embeddings WHERE vec_id % 50 = 0")
+def a13_upsert_kept(t):
+    path = shared_folder(t.spark, "kept")
+    rows = t.embeddings.select("vec_id", "label")
+    R.upsert_kept(t.spark, path, rows, ["vec_id"], 16)
+    R.upsert_kept(t.spark, path, rows.filter("vec_id % 4 = 0").withColumn("label", F.lit(-1)), ["vec_id"])
+    R.upsert_kept(t.spark, path, rows.filter("vec_id % 50 = 0").select((F.col("vec_id") + 1000000).alias("vec_id"), F.lit(-2).alias("label")), ["vec_id"])
+    return t.spark.read.parquet(path).select("vec_id", "label")
+
+
 @query("SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 6 <> 0 AND label >= 3 GROUP BY label")
 def a14_delete_get_count(t):
     left = R.delete_ids(t.embeddings, t.embeddings.filter("vec_id % 6 = 0"), "vec_id")
