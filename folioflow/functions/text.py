@@ -228,7 +228,7 @@ def clamp01(x: Column) -> Column:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """1 if equal, 0.85 if one contains the other, else common prefix and suffix by the longer length, at most 1; of normalized names."""
+    """1 if equal, 0.85 if one contains the other, else common prefix and suffix by the longer length, at most 1; of normalized names. Null with a null name."""
     a, b = normalize_name(a), normalize_name(b)
     short = F.least(F.length(a), F.length(b))
 
@@ -239,4 +239,4 @@ def name_similarity(a: Column, b: Column) -> Column:
 
     most = F.greatest(F.length(a), F.length(b))
     part = F.least(F.lit(1.0), (common(a, b) + common(F.reverse(a), F.reverse(b))) / F.greatest(most, F.lit(1)))
-    return F.when(a == b, 1.0).when(a.contains(b) | b.contains(a), 0.85).otherwise(part)
+    return F.when(a == b, 1.0).when(a.contains(b) | b.contains(a), 0.85).when(a.isNotNull() & b.isNotNull(), part)

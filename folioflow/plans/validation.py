@@ -132,7 +132,7 @@ def k8_register_rule(t):
     return t.customer.select("c_custkey", r["status"].alias("status"), r["error"].alias("error"))
 
 
-_PARTS = "(SELECT DISTINCT replace(lower(p_type), ' ', '_') AS s FROM part) a CROSS JOIN (SELECT DISTINCT p_brand || '-' || lower(p_type) AS u FROM part WHERE p_size < 10) b"
+_PARTS = "(SELECT DISTINCT replace(lower(p_type), ' ', '_') AS s FROM part) a CROSS JOIN (SELECT DISTINCT p_brand || '-' || lower(p_type) AS u FROM part) b"
 _SIMILAR = """SELECT s, u, CASE WHEN x = y THEN 1.0 WHEN contains(x, y) OR contains(y, x) THEN 0.85 ELSE least(1.0, (
   coalesce(list_min([i FOR i IN range(1, least(length(x), length(y)) + 1) IF substr(x, i, 1) <> substr(y, i, 1)]) - 1, least(length(x), length(y)))
   + coalesce(list_min([i FOR i IN range(1, least(length(x), length(y)) + 1) IF substr(reverse(x), i, 1) <> substr(reverse(y), i, 1)]) - 1, least(length(x), length(y)))) / greatest(length(x), length(y), 1)) END AS score
@@ -142,14 +142,14 @@ FROM (SELECT s, u, replace(replace(lower(s), '_', ''), '-', '') AS x, replace(re
 @query("SELECT s, u, round(score, 6) AS score FROM (" + _SIMILAR + ")")
 def h18_name_similarity(t):
     a = t.part.select(F.replace(F.lower("p_type"), F.lit(" "), F.lit("_")).alias("s")).distinct()
-    b = t.part.filter("p_size < 10").select(F.concat("p_brand", F.lit("-"), F.lower("p_type")).alias("u")).distinct()
+    b = t.part.select(F.concat("p_brand", F.lit("-"), F.lower("p_type")).alias("u")).distinct()
     return M.name_pairs(a, b, "s", "u").select("s", "u", F.round("score", 6).alias("score"))
 
 
 @query("SELECT s, u, round(score, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, u) AS i FROM (" + _SIMILAR + ") WHERE score >= 0.7) WHERE i = 1")
 def c5_fuzzy_map(t):
     a = t.part.select(F.replace(F.lower("p_type"), F.lit(" "), F.lit("_")).alias("s")).distinct()
-    b = t.part.filter("p_size < 10").select(F.concat("p_brand", F.lit("-"), F.lower("p_type")).alias("u")).distinct()
+    b = t.part.select(F.concat("p_brand", F.lit("-"), F.lower("p_type")).alias("u")).distinct()
     return M.fuzzy_map(a, b, "s", "u").select("s", "u", F.round("confidence", 6).alias("confidence"))
 
 
@@ -198,7 +198,7 @@ def g7_map_fields(t):
 @query("SELECT count(*) AS mapped, coalesce(round(avg(score), 6), 0) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, u) AS i FROM (" + _SIMILAR + ") WHERE score >= 0.7) WHERE i = 1")
 def d7_mapping_summary(t):
     a = t.part.select(F.replace(F.lower("p_type"), F.lit(" "), F.lit("_")).alias("s")).distinct()
-    b = t.part.filter("p_size < 10").select(F.concat("p_brand", F.lit("-"), F.lower("p_type")).alias("u")).distinct()
+    b = t.part.select(F.concat("p_brand", F.lit("-"), F.lower("p_type")).alias("u")).distinct()
     return M.mapping_summary(M.fuzzy_map(a, b, "s", "u"))
 
 
