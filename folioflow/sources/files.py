@@ -69,24 +69,38 @@ def _sheet_files(z: zipfile.ZipFile, names: set[str]) -> Iterator[tuple[str, str
             yield e.get("name", ""), name
 
 
+def sheet_rows(z: zipfile.ZipFile, name: str) -> list[list[str]]:
+    """A sheet's rows of text."""
+    shared: list[str] = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+    rows = []
+    for r in (e for e in ElementTree.fromstring(z.read(name)).iter() if _local(e.tag) == "row"):
+        cells: list[str] = []
+        for c in (e for e in r if _local(e.tag) == "c"):
+            letters = re.match(r"[A-Z]+", c.get("r", ""))
+            at = reduce(lambda a, x: a * 26 + ord(x) - 64, letters[0], 0) - 1 if letters else len(cells)
+            cells += [""] * (at - len(cells))
+            value = next((e.text or "" for e in c if _local(e.tag) == "v"), "".join(t.text or "" for t in c.iter() if _local(t.tag) == "t"))
+            kind = c.get("t")
+            cells.append(shared[int(value)] if kind == "s" and value else {"1": "true", "0": "false"}.get(value, value) if kind == "b" else value)
+        rows.append(cells)
+    return rows
+
+
 def _sheets(content: bytes) -> Iterator[tuple[str, list[list[str]]]]:
     """Sheets of a workbook: name and rows of text."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        for title, name in _sheet_files(z, names):
-            rows = []
-            for r in (e for e in ElementTree.fromstring(z.read(name)).iter() if _local(e.tag) == "row"):
-                cells: list[str] = []
-                for c in (e for e in r if _local(e.tag) == "c"):
-                    letters = re.match(r"[A-Z]+", c.get("r", ""))
-                    at = reduce(lambda a, x: a * 26 + ord(x) - 64, letters[0], 0) - 1 if letters else len(cells)
-                    cells += [""] * (at - len(cells))
-                    value = next((e.text or "" for e in c if _local(e.tag) == "v"), "".join(t.text or "" for t in c.iter() if _local(t.tag) == "t"))
-                    kind = c.get("t")
-                    cells.append(shared[int(value)] if kind == "s" and value else {"1": "true", "0": "false"}.get(value, value) if kind == "b" else value)
-                rows.append(cells)
-            yield title, rows
+        for title, name in _sheet_files(z, set(z.namelist())):
+            yield title, sheet_rows(z, name)
+
+
+def headed(file: str, name: str, rows: list[list[str]]) -> list[tuple]:
+    """A table row for each row below the first, whose text cells are the headers."""
+    if not rows:
+        return []
+    heads = [h if h and not re.fullmatch(r"-?[\d.]+", h) else f"column_{i}" for i, h in enumerate(rows[0])]
+    return [(file, name, i, heads, (r + [""] * len(heads))[: len(heads)]) for i, r in enumerate(rows[1:])]
 
 
 def _rows_of(binary: DataFrame, tables) -> DataFrame:
@@ -96,9 +110,7 @@ def _rows_of(binary: DataFrame, tables) -> DataFrame:
         for b in batches:
             for file, content in zip(b["path"], b["content"], strict=True):
                 for name, rows in tables(content):
-                    if rows:
-                        heads = [h if h and not re.fullmatch(r"-?[\d.]+", h) else f"column_{i}" for i, h in enumerate(rows[0])]
-                        body = [(file, name, i, heads, (r + [""] * len(heads))[: len(heads)]) for i, r in enumerate(rows[1:])]
+                    if body := headed(file, name, rows):
                         yield pd.DataFrame(body, columns=["file", "sheet", "row_idx", "headers", "cells"])
 
     return binary.select("path", "content").mapInPandas(run, _TABLE)
