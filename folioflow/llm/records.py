@@ -208,7 +208,7 @@ def write(df: DataFrame, text: Column, key: Column, tokenizer: str, end: int, na
     """Writes the ids of each whole text (null: empty), with the end id behind, in ascending order of key; returns the manifest.
 
     tokenizer is the tokenizer's JSON. The rows are dealt by ranges of the key and, for equal or null keys, of the
-    text's hash, so that one hot key is dealt over many tasks; they are in that order (null keys first). Each task
+    text's hash, then of the row's number, so that one hot key, and one row that repeats, is dealt over many tasks; they are in that order (null keys first). Each task
     writes one file and its index into a new folder that all machines share, under a name of its own that is made known
     only when it is complete; what attempts that failed or came second left behind is deleted at the end. The manifest
     (written too) has a row for each file: file, first (its place in the order), start (ids in the files before it),
@@ -222,7 +222,8 @@ def write(df: DataFrame, text: Column, key: Column, tokenizer: str, end: int, na
     dtype = "<u2" if max(size, end + 1) <= 1 << 16 else "<u4"
     held, which = spark.sparkContext.broadcast(tokenizer), (zlib.crc32(tokenizer.encode()), dtype)
     rows = df.select(key.cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("key", "h").sortWithinPartitions("key", "h", "text").select("key", "text")
+    # a row's own number parts rows that are equal in key and text
+    rows = rows.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange("key", "h", "row").sortWithinPartitions("key", "h", "text").select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os

@@ -313,3 +313,21 @@ def test_sharding_keeps_balance_above_the_groups_of_a_task(spark, monkeypatch):
     assert sorted(got) == list(range(len(sizes)))
     assert sums == [sum(x for i, x in enumerate(sizes) if got[i] == s) for s in range(16)]
     assert max(sums) * 16 / sum(sizes) < 1.001
+
+
+def test_rows_that_repeat_are_dealt_over_many_tasks(spark):
+    rows = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"), F.col("id").alias("extra")).repartition(8)
+    out = sharding.shard(rows, F.col("text"), F.col("doc_id"), 4)
+    slots = sorted(r["slot"] for r in out.collect())
+    assert slots == list(range(60_000)) and out.select("shard").distinct().count() == 1
+    import public_tokenizers
+
+    from folioflow.llm import bpe, records
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be one partition else
+    manifest = records.write(rows, F.col("text"), F.col("doc_id"), bpe.load(public_tokenizers.path("byte_bpe_50k.json")), end=2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 4 and manifest.agg(F.max("docs")).first()[0] < 30_000
+    assert records.read(manifest).agg(F.count("*"), F.countDistinct("start"), F.max("start")).first()[:] == (60_000, 60_000, 59_999)
+    none = records.write(rows.limit(0), F.col("text"), F.col("doc_id"), bpe.load(public_tokenizers.path("byte_bpe_50k.json")), end=2)
+    assert records.read(none).count() == 0
