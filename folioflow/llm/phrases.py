@@ -4,7 +4,7 @@ Each task parts the texts that it reads into words and builds, a shard of some m
 transforms: of the shard's words and of the same words backwards, each ordered by as many words as the longest phrase
 has. An n-gram is an interval in either. The symbols of the backward transform within its interval are the words that
 follow it, so their counts are those of the n-grams one word longer; with the numbers of smaller symbols they give the
-new interval in the forward transform, and with a rank in the backward transform that one's. The step that the forward
+new interval in the forward transform, and ranks in the backward transform give that one's. The step that the forward
 transform makes from a row to the next word's tells the interval of an n-gram without its first word. So a shard
 extends all of its intervals at once, and keeps those whose two parts, without the last and without the first word,
 are frequent in the whole corpus.
@@ -31,7 +31,7 @@ from folioflow.llm.arrow import as_bytes, scratch, written
 from folioflow.sources.shared import discard
 
 #: Bytes of text in a shard, and symbols of an index in a row.
-SHARD, ROW = 16 << 20, 1 << 20
+SHARD, ROW = 12 << 20, 1 << 20
 #: A shard's number is the task's and one of so many for each task; a place is a shard's number and a row in its index.
 _SHARDS_A_TASK = 1 << 11
 _ROWS_A_SHARD = 1 << 32
@@ -85,12 +85,27 @@ def _rows_of(symbols: np.ndarray) -> np.ndarray:
     return np.sort(symbols.astype(np.int64) * len(symbols) + np.arange(len(symbols)))
 
 
-def extended(fwd: np.ndarray, rev: np.ndarray, low: np.ndarray, size: np.ndarray, rev_low: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All n-grams one word longer than the given ones that have a given one at either end: low, size, rev_low, and the indexes of the ones without the last and without the first word.
+def located(fwd_rows: np.ndarray, rev_rows: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Size and rev_low of n-grams of k words from their low: the words are read off the forward transform, then looked up in the other."""
+    n = len(fwd_rows)
+    row, words = low, []
+    for _ in range(k):
+        words.append(fwd_rows[row] // n)  # the sorted rows begin with the symbols' first column
+        row = fwd_rows[row] % n
+    begin = np.searchsorted(rev_rows, words[0] * n)
+    end = np.searchsorted(rev_rows, (words[0] + 1) * n)
+    for w in words[1:]:
+        begin, end = np.searchsorted(rev_rows, w * n + begin), np.searchsorted(rev_rows, w * n + end)
+    return end - begin, begin
 
-    The given n-grams are of one length and in the order of low.
+
+def extended(rev: np.ndarray, fwd_rows: np.ndarray, rev_rows: np.ndarray, low: np.ndarray, size: np.ndarray, rev_low: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All n-grams one word longer than the given ones that have a given one at either end: low, size, and the indexes of the ones without the last and without the first word.
+
+    The given n-grams are of one length and in the order of low; *_rows are the transforms' rows (see _rows_of).
     """
-    n, base = len(fwd), int(fwd.max()) + 1
+    n = len(rev)
+    base = int(fwd_rows[-1]) // n + 1
     begin = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(low)), size)
     follow = rev[np.arange(len(owner)) + (rev_low - begin)[owner]]
@@ -100,12 +115,11 @@ def extended(fwd: np.ndarray, rev: np.ndarray, low: np.ndarray, size: np.ndarray
     head, symbol = key[first] // base, key[first] % base
     new_low = low[head] + first - begin[head]
     real = symbol > 0
-    first, count, head, symbol, new_low = (x[real] for x in (first, count, head, symbol, new_low))
-    after = _rows_of(fwd)[new_low] % n  # the row of the place one word on
+    count, head, new_low = (x[real] for x in (count, head, new_low))
+    after = fwd_rows[new_low] % n  # the row of the place one word on
     tail = np.searchsorted(low, after, "right") - 1
     held = (tail >= 0) & (after < (low + size)[tail])
-    count, head, symbol, new_low, tail = (x[held] for x in (count, head, symbol, new_low, tail))
-    return new_low, count, np.searchsorted(_rows_of(rev), symbol * n + rev_low[head]), head, tail
+    return tuple(x[held] for x in (new_low, count, head, tail))
 
 
 def _pieces_of(text: bytes, limit: int) -> Iterator[bytes]:
@@ -189,30 +203,35 @@ def index(df: DataFrame, text: Column, lang: Column, depth: int, size: int = SHA
 def _summed(rows: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
     """The rows of n-grams that are frequent in all shards together, with their sum (f) and id."""
     own = Window.partitionBy(*keys)
-    out = rows.withColumn("f", F.sum("n").over(own)).withColumn("id", F.min("place").over(own))
+    out = rows.withColumn("f", F.sum("n").over(own)).withColumn("id", F.min("place").over(own)).drop("n")
     return written(out.filter(F.col("f") >= least), name)
 
 
-def _level(shards: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The n-grams of each shard one word longer than the frequent ones: place, rev, n, and the ids of both parts."""
+def _level(shards: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
+    """The n-grams of each shard one word longer than the frequent ones of k words: place, n, and the ids of both parts.
+
+    Only places and ids go to the shards; the intervals are found again in their indexes.
+    """
+    fields = ["place", "n", "head", "tail"]
 
     def grow(own: pa.Table, known: pa.Table) -> pa.Table:
-        fields = ["place", "rev", "n", "head", "tail"]
         if not len(known) or not len(own):
             return pa.table({x: pa.array([], pa.int64()) for x in fields})
-        shard = known["place"][0].as_py() // _ROWS_A_SHARD
         own = own.sort_by("at")
         sizes = own["n"].to_pylist()
-        fwd, rev = (np.concatenate([np.frombuffer(pa.decompress(x.as_buffer(), 4 * k, "zstd"), np.int32) for x, k in zip(own[c], sizes, strict=True)]) for c in ("fwd", "rev"))
-        low, size, back, ids = (known[c].to_numpy() for c in ("place", "n", "rev", "id"))
-        order = np.argsort(low)
-        low, size, back, ids = low[order] % _ROWS_A_SHARD, size[order], back[order], ids[order]
-        new_low, count, new_back, head, tail = extended(fwd, rev, low, size, back)
-        return pa.table([new_low + shard * _ROWS_A_SHARD, new_back, count, ids[head], ids[tail]], names=fields)
+        fwd, rev = (np.concatenate([np.frombuffer(pa.decompress(x.as_buffer(), 4 * m, "zstd"), np.int32) for x, m in zip(own[c], sizes, strict=True)]) for c in ("fwd", "rev"))
+        fwd_rows = _rows_of(fwd)
+        del fwd
+        rev_rows = _rows_of(rev)
+        place, ids = known["place"].to_numpy(), known["id"].to_numpy()
+        order = np.argsort(place)
+        ids, shard, low = ids[order], int(place[0]) // _ROWS_A_SHARD, place[order] % _ROWS_A_SHARD
+        new_low, count, head, tail = extended(rev, fwd_rows, rev_rows, low, *located(fwd_rows, rev_rows, low, k))
+        return pa.table([new_low + shard * _ROWS_A_SHARD, count, ids[head], ids[tail]], names=fields)
 
     index_rows = shards.filter("fwd is not null").select("shard", "at", "n", "fwd", "rev")
-    known = frequent.select(F.expr(f"place div {_ROWS_A_SHARD}").alias("shard"), "place", "n", "rev", "id")
-    return index_rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(grow, "place long, rev long, n long, head long, tail long")
+    known = frequent.select(F.expr(f"place div {_ROWS_A_SHARD}").alias("shard"), "place", "id")
+    return index_rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(grow, "place long, n long, head long, tail long")
 
 
 def mine(df: DataFrame, text: Column, lang: Column, least: int = 30, longest: int = 4, share: int = 80, size: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -229,13 +248,13 @@ def mine(df: DataFrame, text: Column, lang: Column, least: int = 30, longest: in
     shards = index(df, text, lang, 1 << (longest - 1).bit_length(), size)
     words = shards.filter("word is not null")
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    places = words.select((F.col("shard") * _ROWS_A_SHARD + F.col("at")).alias("place"), F.col("at").alias("rev"), "n", "lang", "word")
+    places = words.select((F.col("shard") * _ROWS_A_SHARD + F.col("at")).alias("place"), "n", "lang", "word")
     frequent = _summed(places, ["lang", "word"], least, "words")
     known = frequent.filter("place = id").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
     levels, spent = [], [shards]
     for k in range(2, longest + 1):
         spent.append(frequent)
-        frequent = _summed(_level(shards, frequent), ["head", "tail"], least, f"phrases-{k}")
+        frequent = _summed(_level(shards, frequent, k - 1), ["head", "tail"], least, f"phrases-{k}")
         head, tail = known.select(F.col("id").alias("head"), "lang", "phrase", "heads"), known.select(F.col("id").alias("tail"), "last", "tails")
         known = frequent.filter("place = id").select("id", "head", "tail", "f").join(head, "head").join(tail, "tail")
         known = known.select("id", "head", "tail", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", F.array_append("heads", F.col("f")).alias("heads"), F.array_append("tails", F.col("f")).alias("tails"))

@@ -91,22 +91,24 @@ def test_intervals_count_and_extend():
     rnd = np.random.default_rng(4)
     text = np.append(rnd.integers(0, 6, 2000), 0).astype(np.int32)
     fwd, rev = phrases.transform(text, 4), phrases.transform(text[::-1], 4)
+    fwd_rows, rev_rows = phrases._rows_of(fwd), phrases._rows_of(rev)
+    grow = lambda low, k: phrases.extended(rev, fwd_rows, rev_rows, low, *phrases.located(fwd_rows, rev_rows, low, k))
     counts = np.bincount(text)
-    low = (np.cumsum(counts) - counts)[1:]
-    size, back, grams = counts[1:], low, [(w,) for w in range(1, 6)]
+    low, grams = (np.cumsum(counts) - counts)[1:], [(w,) for w in range(1, 6)]
+    assert phrases.located(fwd_rows, rev_rows, low, 1)[0].tolist() == counts[1:].tolist()
     for k in range(2, 5):
-        new_low, count, new_back, head, tail = phrases.extended(fwd, rev, low, size, back)
+        new_low, count, head, tail = grow(low, k - 1)
         made = [grams[h] + (grams[t][-1],) for h, t in zip(head, tail, strict=True)]
         assert all(grams[h][1:] == grams[t][:-1] for h, t in zip(head, tail, strict=True))
         want = Counter(tuple(text[i : i + k].tolist()) for i in range(len(text) - k + 1) if (text[i : i + k] > 0).all())
         assert dict(zip(made, count.tolist(), strict=True)) == want
-        kept = np.sort(rnd.permutation(len(made))[: len(made) * 3 // 4]) if k == 2 else np.arange(len(made))
+        assert phrases.located(fwd_rows, rev_rows, new_low, k)[0].tolist() == count.tolist()
         if k == 2:  # without some of them, the longer ones that hold them go
-            full = phrases.extended(fwd, rev, new_low, count, new_back)
-            part = phrases.extended(fwd, rev, new_low[kept], count[kept], new_back[kept])
-            held = set(kept.tolist())
-            assert len(part[0]) == sum(h in held and t in held for h, t in zip(full[3].tolist(), full[4].tolist(), strict=True))
-        low, size, back, grams = new_low, count, new_back, made
+            held = np.sort(rnd.permutation(len(made))[: len(made) * 3 // 4])
+            full, part = grow(new_low, 2), grow(new_low[held], 2)
+            some = set(held.tolist())
+            assert len(part[0]) == sum(h in some and t in some for h, t in zip(full[2].tolist(), full[3].tolist(), strict=True))
+        low, grams = new_low, made
 
 
 def test_query_equals_its_sql(spark, sf):
