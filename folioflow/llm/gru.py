@@ -83,15 +83,16 @@ def _forward(wh: np.ndarray, gx: np.ndarray, keep: np.ndarray, cuts: list[int],
     """States after each place of a window with a 1 behind, the last of them, and with all_held also what is needed to go back: gates, candidates, and the states before."""
     size, rows = len(wh), cuts[-1]
     out = np.ones((rows, size + 1), wh.dtype)
+    half = wh.dtype.type(0.5)
     zr, n, ghn, before = (np.empty((rows, k * size), wh.dtype) for k in (2, 1, 1, 1)) if all_held else (None,) * 4
     for a, b in zip(cuts, cuts[1:], strict=False):
         was = h[: b - a] * keep[a:b]
         gh = was @ wh
         gate = gx[a:b, : 2 * size] + gh[:, : 2 * size]
-        np.negative(gate, out=gate)
-        np.exp(np.minimum(gate, _LIMIT, out=gate), out=gate)
-        gate += 1
-        np.reciprocal(gate, out=gate)
+        gate *= half  # the logistic function by tanh
+        np.tanh(gate, out=gate)
+        gate *= half
+        gate += half
         new = gate[:, size:] * gh[:, 2 * size :]
         new += gx[a:b, 2 * size :]
         np.tanh(new, out=new)
@@ -213,13 +214,14 @@ def learn(w: dict[str, np.ndarray], bounds: np.ndarray, symbols: np.ndarray, siz
     moments = moments or Moments(w)
     laid = Lanes(symbols, sizes, len(w["emb"]) - 1, lanes)
     h = np.zeros((len(laid.n), len(w["wh"])), w["wh"].dtype)
+    spare = {k: np.empty_like(v) for k, v in w.items()}
     for at, cuts in laid.windows(steps):
         grads, _, h = gradients(w, bounds, laid, at, cuts, h)
         for k, v in w.items():
-            g, squares = grads[k], moments.squares[k]
+            g, squares, own = grads[k], moments.squares[k], spare[k]
             g *= np.float32(1 / (len(laid.n) * steps))
-            squares += g * g
+            squares += np.multiply(g, g, out=own)
             g *= np.float32(rate)
-            g /= np.sqrt(squares)
+            g /= np.sqrt(squares, out=own)
             v -= g
     return w
