@@ -164,8 +164,8 @@ def _indexed(texts: dict[str, list[bytes]], shard: int, depth: int) -> Iterator[
         yield batch(1, at=pa.array([k]), n=pa.array([len(fwd[k : k + ROW])]), fwd=packed[0], rev=packed[1])
 
 
-def index(df: DataFrame, text: Column, lang: Column, depth: int, size: int = SHARD) -> DataFrame:
-    """The shards' words and transforms, as a table in buckets by shard: shard, at, lang, word, n, fwd, rev.
+def index(df: DataFrame, text: Column, lang: Column, depth: int, size: int = SHARD) -> tuple[DataFrame, str]:
+    """The shards' words and transforms, as a table in buckets by shard (shard, at, lang, word, n, fwd, rev), and its name.
 
     A narrow pass; a shard is a run of a task's rows, or of a text's pieces if that is longer. Null texts have no words,
     a null language is `und`.
@@ -197,7 +197,7 @@ def index(df: DataFrame, text: Column, lang: Column, depth: int, size: int = SHA
     name = f"phrases_{uuid.uuid4().hex}"
     buckets = max(1, min(10_000, rows.rdd.getNumPartitions()))
     made.write.format("parquet").bucketBy(buckets, "shard").option("path", scratch(spark, "phrases")).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def _summed(rows: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
@@ -245,7 +245,7 @@ def mine(df: DataFrame, text: Column, lang: Column, least: int = 30, longest: in
     """
     if not 2 <= longest <= 16:
         raise ValueError("phrases of 2 to 16 words")
-    shards = index(df, text, lang, 1 << (longest - 1).bit_length(), size)
+    shards, table = index(df, text, lang, 1 << (longest - 1).bit_length(), size)
     words = shards.filter("word is not null")
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     places = words.select((F.col("shard") * _ROWS_A_SHARD + F.col("at")).alias("place"), "n", "lang", "word")
@@ -261,6 +261,7 @@ def mine(df: DataFrame, text: Column, lang: Column, least: int = 30, longest: in
         known = written(known, f"known-{k}")
         levels.append(known.withColumn("words", F.lit(k)))
     discard(*spent, frequent)
+    df.sparkSession.sql(f"DROP TABLE {table}")
     wide = F.col("f").cast("decimal(20,0)")
     # an n-gram inside of a longer one is inside of one a single word longer that is as frequent at least
     inside = [
