@@ -62,5 +62,6 @@ def cosine(a: Column, b: Column) -> Column:
 def unit(x: Column) -> Column:
     """The vector at length 1, in doubles."""
     size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    return F.transform(x, lambda v: F.when(size > 0, v.cast("double") / size).otherwise(0.0))
+    # a list of one, so that the length is found once and not for each place
+    return F.transform(F.array(size), lambda n: F.transform(x, lambda v: F.when(n > 0, v.cast("double") / n).otherwise(0.0)))[0]
 
