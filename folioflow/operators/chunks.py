@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,22 +20,35 @@ from folioflow.functions.batches import arrow_types, same, with_columns
 from folioflow.functions.text import blank, clean_text, quality_score, strip
 from folioflow.operators.automaton import Automaton
 
+#: Bytes of text that a task cuts at once.
+CUT = 1 << 20
 
 def _cut(df: DataFrame, key: str, text: str, cut: Callable[[str], list[str]]) -> DataFrame:
     """(key, chunk, text): the pieces of each text, numbered from 0. Keys of any type pass as they are, nulls too."""
     rows = df.select(F.col(key).alias("key"), blank(F.col(text)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pieces = [cut(x) for x in b.column(1).to_pylist()]
-            row = [i for i, p in enumerate(pieces) for _ in p]
-            chunk = [i for p in pieces for i in range(len(p))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(chunk, pa.int64()), pa.array([x for p in pieces for x in p], pa.string())], names=["key", "chunk", "text"])
+        for whole in batches:
+            for b in _parts(whole, whole.column(1)):
+                pieces = [cut(x) for x in b.column(1).to_pylist()]
+                row = [i for i, p in enumerate(pieces) for _ in p]
+                chunk = [i for p in pieces for i in range(len(p))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(chunk, pa.int64()), pa.array([x for p in pieces for x in p], pa.string())], names=["key", "chunk", "text"])
 
     schema = T.StructType([rows.schema["key"], T.StructField("chunk", T.LongType()), T.StructField("text", T.StringType())])
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
+def _parts(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have CUT bytes together; a longer text is a run of its own."""
+    past = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(), dtype=np.int64)
+    i = 0
+    while i < batch.num_rows:
+        end = max(i + 1, int(np.searchsorted(past, (past[i - 1] if i else 0) + CUT, "right")))
+        yield batch.slice(i, end - i)
+        i = end
+
+
 def _paragraphs(text: str) -> list[str]:
     return [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
 
