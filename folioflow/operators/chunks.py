@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.functions.batches import arrow_types, same, with_columns
+from folioflow.functions.batches import arrow_types, same, spread, with_columns
 from folioflow.functions.text import blank, clean_text, quality_score, strip
 from folioflow.operators.automaton import Automaton
 
@@ -122,8 +122,8 @@ def line_chunks(df: DataFrame, key: str, text: str, size: int = 3000, carry: int
 def page_chunks(df: DataFrame, key: str, text: Column, n: int = 2, sep: str = "\n\n---PAGE BREAK---\n\n") -> DataFrame:
     """Texts cut at page marks or form feeds, n pages in a chunk."""
     pages = F.filter(F.transform(F.split(blank(text), r"\n\s*Page \d+\s*\n|\n\s*-+\s*\d+\s*-+\s*\n|\f"), strip), lambda p: p != "")
-    starts = F.when(F.size(pages) > 0, F.sequence(F.lit(1), F.size(pages), F.lit(n))).otherwise(F.array().cast("array<int>"))
-    return df.select(key, F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice(pages, i, n), sep))).alias("chunk", "text"))
+    starts = F.when(F.size("pages") > 0, F.sequence(F.lit(1), F.size("pages"), F.lit(n))).otherwise(F.array().cast("array<int>"))
+    return df.select(key, pages.alias("pages")).select(key, F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("pages", i, n), sep))).alias("chunk", "text"))
 
 
 def session_chunks(df: DataFrame, session: str, turn: str, role: str, text: str, max_tokens: int = 800) -> DataFrame:
@@ -193,14 +193,15 @@ def atomic_records(df: DataFrame, key: str, text: str, marker: str = r"(?:employ
 
     Cuts are marked by a character beyond ASCII, which cleaned texts don't have.
     """
-    cut, clean = "\uffff", clean_text(blank(F.col(text)))
-    marks = F.regexp_count(clean, F.lit(f"(?i){marker}"))
-    at_marks = F.slice(F.split(F.regexp_replace(clean, f"(?i)({marker})", f"{cut}$1"), cut), 2, F.greatest(marks, F.lit(1)))
-    pieces = F.when(marks > 5, at_marks).otherwise(F.split(clean, r"\n\s*\n\s*\n"))
-    pieces = F.filter(F.transform(pieces, strip), lambda p: F.length(p) > least)
+    cut, clean = "\uffff", F.col("clean")
+    rows = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", clean_text(blank(F.col("text"))).alias("clean"))
+    # a step a select: what is used twice is found once, and not again for each slice
+    rows = rows.select("key", "clean", F.split(F.regexp_replace(clean, f"(?i)({marker})", f"{cut}$1"), cut).alias("marked"))
+    pieces = F.when(F.size("marked") > 6, F.slice("marked", 2, F.size("marked"))).otherwise(F.split(clean, r"\n\s*\n\s*\n"))
+    rows = rows.select("key", "clean", F.filter(F.transform(pieces, strip), lambda p: F.length(p) > least).alias("pieces"))
     starts = F.sequence(F.lit(1), F.greatest(F.length(clean), F.lit(1)), F.lit(size))
     slices = F.filter(F.transform(starts, lambda i: strip(F.substr(clean, i, F.lit(size)))), lambda s: s != "")
-    return df.select(key, F.posexplode(F.when(F.size(pieces) >= 3, pieces).otherwise(slices)).alias("chunk", "text"))
+    return rows.select(F.col("key").alias(key), F.posexplode(F.when(F.size("pieces") >= 3, F.col("pieces")).otherwise(slices)).alias("chunk", "text"))
 
 
 def fixed_slices(df: DataFrame, key: str, text: Column, size: int) -> DataFrame:
