@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.arrow import written
 
-#: Groups, or bins of them, that the one task differences besides the heavy groups.
+#: Bins of groups that the one task differences, besides half as many groups.
 GROUPS_A_TASK = 50_000
-#: A group of over a HEAVY-th part of a shard's mean stays alone.
-HEAVY = 64
+#: Parts of each shard whose rows are numbered by a task.
+SALTS = 256
 
 
 def difference(partials: list[tuple[int, ...]], ways: int) -> tuple[tuple[int, ...], list[tuple[int, ...]]]:
@@ -55,14 +55,20 @@ def difference(partials: list[tuple[int, ...]], ways: int) -> tuple[tuple[int, .
 def assign(groups: DataFrame, shards: int) -> tuple[DataFrame, list[int]]:
     """groups (g, bytes) with shard; and the shards' sums.
 
-    Up to GROUPS_A_TASK groups are differenced one by one. Of more, each group of over a HEAVY-th part of a shard's mean
-    is still an item by itself; the others are dealt by hash into GROUPS_A_TASK bins, and a bin is an item. So one task
-    differences a bounded number of items at any size, and all that is heavy is in the same heap with all that can
-    offset it.
+    Groups are told by classes of size, each of about a hundredth. As many of the highest classes as have half of
+    GROUPS_A_TASK groups together are items one by one; the other groups are dealt by hash into GROUPS_A_TASK bins,
+    and a bin is an item. The rule is one at all sizes, one group more or less moves a class at most, and the items' number is
+    bounded. What is heavy against a shard is among the highest, in the same heap with all that can offset it.
     """
     groups = written(groups.select("g", "bytes"), "shard-groups")
-    size = groups.agg(F.count("*").alias("n"), F.sum("bytes").alias("s")).first()
-    single = F.lit(True) if size["n"] <= GROUPS_A_TASK else F.col("bytes") > F.lit((size["s"] or 0) // (HEAVY * shards))
+    rank = F.floor(64 * F.log2(F.col("bytes") + 1))
+    left, least = GROUPS_A_TASK // 2, None
+    for r in sorted(groups.groupBy(rank.alias("rank")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["rank"]):
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["rank"]
+    single = F.lit(False) if least is None else rank >= least
     binned = F.pmod(F.xxhash64("g"), F.lit(GROUPS_A_TASK)).cast("string").cast("binary")
     dealt = groups.withColumn("item", F.when(single, F.concat(F.lit(b"g"), "g")).otherwise(F.concat(F.lit(b"b"), binned)))
 
@@ -90,8 +96,7 @@ def shard(df: DataFrame, text: Column, order: Column, shards: int = 16) -> DataF
     rows = df.select(order.alias("key"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("g"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, "shard-rows")
     where, _ = assign(rows.groupBy("g").agg(F.sum("size").alias("bytes")), shards)
-    salts = max(1, rows.count() // 20_000)
-    placed = written(rows.join(where, "g").select("key", "size", "text_crc32", "shard", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt")), "shard-placed")
+    placed = written(rows.join(where, "g").select("key", "size", "text_crc32", "shard", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")), "shard-placed")
     from pyspark.sql import Window
 
     counts = placed.groupBy("shard", "salt").agg(F.count("*").alias("n"))
