@@ -147,9 +147,14 @@ def keywords_simple(x: Column, most: int = 20) -> Column:
     return F.slice(F.array_distinct(F.filter(cleaned_words(x), lambda w: (F.length(w) > 2) & ~w.isin(SIMPLE_STOP_WORDS))), 1, most)
 
 
+def cleaned(x: Column) -> Column:
+    """A text, lowered, of letters, digits, _, - and white space alone."""
+    return F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_\s\-]", "")
+
+
 def cleaned_words(x: Column) -> Column:
-    """The words of a text, lowered, of letters, digits, _ and - alone."""
-    return F.split(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_\s\-]", ""), r"\s+")
+    """The words of a cleaned text."""
+    return F.split(cleaned(x), r"\s+")
 
 
 def is_keyword(word: Column) -> Column:

@@ -28,7 +28,7 @@ def d1_keyword_index(t):
 
 @query(_COUNTS + "SELECT keyword, count(*) AS n FROM (SELECT doc_id, keyword, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, keyword) AS r FROM postings) WHERE r <= 5 GROUP BY keyword")
 def e6_top_keywords(t):
-    return R.postings(R.keyword_counts(t.documents, "doc_id", "text"), "doc_id", top=5).groupBy("keyword").agg(F.count("*").alias("n"))
+    return R.postings(R.keyword_counts(t.documents, "doc_id", "text", 5), "doc_id", top=5).groupBy("keyword").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT doc_id, source AS keyword, 0.5 AS tf FROM documents UNION ALL SELECT doc_id, lang, 0.5 FROM documents""")
@@ -39,7 +39,7 @@ def d2_uniform_postings(t):
 def _search(t, k=20):
     asked = t.documents.filter("doc_id % 100 = 0").select("doc_id", F.explode(X.keywords_simple(F.col("text"), 6)).alias("keyword")).select(F.col("doc_id").alias("query"), "keyword")
     live = t.documents.filter("lang = 'en'")  # known before the index is built, so only these documents are indexed
-    return R.keyword_search(R.postings(R.keyword_counts(live, "doc_id", "text"), "doc_id"), live, asked, "doc_id", k)
+    return R.keyword_search(R.postings(R.keyword_counts(live, "doc_id", "text", 50), "doc_id"), live, asked, "doc_id", k)
 
 
 _SIMPLE = ", ".join(f"'{w}'" for w in X.SIMPLE_STOP_WORDS)
