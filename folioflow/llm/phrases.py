@@ -11,8 +11,10 @@ are frequent in the whole corpus.
 
 The shards' counts are summed between the levels: an n-gram is told by the ids of its two parts, and its id is its
 least place in any shard. A sum below the least frequency ends an n-gram, and no longer one can have it inside; what is
-left goes back to the shards. Nothing is cut off: the counts are exact. An n-gram has one row for each shard at most,
-however often it occurs. The index is written once, in buckets by shard, and is not shuffled for the levels.
+left goes back to the shards. Nothing is cut off: the counts are exact. A shard sends an n-gram once at most, however
+often it occurs. N-grams are dealt by their head into parts whose number grows with the corpus, heads of very many over
+several; what a shard and a part send each other is one row, whose n-grams are packed in the order of their places. The
+index is written once, in buckets by shard, and is not shuffled for the levels.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.arrow import as_bytes, scratch, written
+from folioflow.llm.arrow import WORD_BASE, as_bytes, mix, scratch, written
 from folioflow.sources.shared import discard
 
 #: Bytes of text in a shard, and symbols of an index in a row.
@@ -35,6 +37,8 @@ SHARD, ROW = 12 << 20, 1 << 20
 #: A shard's number is the task's and one of so many for each task; a place is a shard's number and a row in its index.
 _SHARDS_A_TASK = 1 << 11
 _ROWS_A_SHARD = 1 << 32
+#: Words of the corpus for each part of the n-grams; occurrences of a head for each part that it is dealt over.
+PART, HEAD = 1 << 21, 1 << 18
 #: Parts into which a language's phrases are dealt to rank them.
 SALTS = 64
 
@@ -200,38 +204,104 @@ def index(df: DataFrame, text: Column, lang: Column, depth: int, size: int = SHA
     return spark.table(name), name
 
 
-def _summed(rows: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
-    """The rows of n-grams that are frequent in all shards together, with their sum (f) and id."""
-    own = Window.partitionBy(*keys)
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of whole numbers, each by its numbers' first bytes, then their second ones and so on, compressed."""
+    planes = np.stack(columns).astype("<i8").view(np.uint8).reshape(len(columns), -1, 8)
+    return pa.Codec("zstd", compression_level=1).compress(planes.transpose(0, 2, 1).tobytes(), asbytes=True)
+
+
+def _unpacked(packed: pa.BinaryScalar, n: int, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(pa.decompress(packed.as_buffer(), 8 * n * columns, "zstd"), np.uint8).reshape(columns, 8, n)
+    return list(np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8")[:, :, 0])
+
+
+def _runs(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin of each run of equal values, and whether a value begins one."""
+    new = np.append(True, of[1:] != of[:-1])[: len(of)]
+    return np.flatnonzero(new), new
+
+
+def _before(x: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The value before each, 0 where a run begins."""
+    return np.where(new, 0, np.append(0, x[:-1])[: len(x)])
+
+
+def _summed_words(rows: DataFrame, least: int) -> DataFrame:
+    """The shards' words that are frequent in all shards together, with their sum (f) and id."""
+    own = Window.partitionBy("lang", "word")
     out = rows.withColumn("f", F.sum("n").over(own)).withColumn("id", F.min("place").over(own)).drop("n")
-    return written(out.filter(F.col("f") >= least), name)
+    return written(out.filter(F.col("f") >= least), "words")
 
 
-def _level(shards: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
-    """The n-grams of each shard one word longer than the frequent ones of k words: place, n, and the ids of both parts.
+def _level(shards: DataFrame, known: DataFrame, k: int, parts: int) -> DataFrame:
+    """The n-grams of each shard one word longer than the frequent ones of k words, a row for each part: part, shard, m (their number) and grams.
 
-    Only places and ids go to the shards; the intervals are found again in their indexes.
+    grams packs place, number, and the ids of both parts; known is shard and either place, id and f, or packed as
+    _summed_grams packs them. Only places and ids go to the shards; the intervals are found again in their indexes.
     """
-    fields = ["place", "n", "head", "tail"]
+    fields = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("m", pa.int64()), ("grams", pa.binary())])
 
     def grow(own: pa.Table, known: pa.Table) -> pa.Table:
         if not len(known) or not len(own):
-            return pa.table({x: pa.array([], pa.int64()) for x in fields})
+            return fields.empty_table()
         own = own.sort_by("at")
         sizes = own["n"].to_pylist()
         fwd, rev = (np.concatenate([np.frombuffer(pa.decompress(x.as_buffer(), 4 * m, "zstd"), np.int32) for x, m in zip(own[c], sizes, strict=True)]) for c in ("fwd", "rev"))
         fwd_rows = _rows_of(fwd)
         del fwd
         rev_rows = _rows_of(rev)
-        place, ids = known["place"].to_numpy(), known["id"].to_numpy()
-        order = np.argsort(place)
-        ids, shard, low = ids[order], int(place[0]) // _ROWS_A_SHARD, place[order] % _ROWS_A_SHARD
-        new_low, count, head, tail = extended(rev, fwd_rows, rev_rows, low, *located(fwd_rows, rev_rows, low, k))
-        return pa.table([new_low + shard * _ROWS_A_SHARD, count, ids[head], ids[tail]], names=fields)
+        shard = known["shard"][0].as_py()
+        if "grams" in known.column_names:
+            packed = [_unpacked(x, m, 3) for x, m in zip(known["grams"], known["m"].to_pylist(), strict=True)]
+            low, ids, shares = (np.concatenate(x) for x in zip(*[(np.cumsum(gap), i, n) for gap, i, n in packed], strict=True))
+        else:
+            low, ids, shares = known["place"].to_numpy() % _ROWS_A_SHARD, known["id"].to_numpy(), known["f"].to_numpy() // HEAD + 1
+        order = np.argsort(low)
+        low, ids, shares = low[order], ids[order].view(np.uint64), shares[order].astype(np.uint64)
+        low, n, head, tail = extended(rev, fwd_rows, rev_rows, low, *located(fwd_rows, rev_rows, low, k))
+        del fwd_rows, rev_rows, rev
+        part = (mix(ids[head] + mix(ids[tail]) % shares[head] * np.uint64(WORD_BASE)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        part, low, n, head, tail = part[order], low[order], n[order], ids[head[order]].view(np.int64), ids[tail[order]].view(np.int64)
+        first, new = _runs(part)
+        columns = low - _before(low + n, new), n, head ^ _before(head, new), tail
+        cuts = np.append(first, len(part))
+        grams = [_packed([c[i:j] for c in columns]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return pa.table([pa.array(part[first].astype(np.int64)), pa.array(np.full(len(first), shard)), pa.array(np.diff(cuts)), pa.array(grams, pa.binary())], schema=fields)
 
     index_rows = shards.filter("fwd is not null").select("shard", "at", "n", "fwd", "rev")
-    known = frequent.select(F.expr(f"place div {_ROWS_A_SHARD}").alias("shard"), "place", "id")
-    return index_rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(grow, "place long, n long, head long, tail long")
+    return index_rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(grow, "part long, shard long, m long, grams binary")
+
+
+def _summed_grams(rows: DataFrame, least: int, name: str, back: bool) -> DataFrame:
+    """Of n-grams that are frequent in all shards together a row each: id, head, tail and f; with back also rows for the shards: shard, m and grams, which packs place, id and the number of parts of a head."""
+    fields = pa.schema([*[(c, pa.int64()) for c in ("id", "head", "tail", "f", "shard", "m")], ("grams", pa.binary())])
+
+    def add(own: pa.Table) -> pa.Table:
+        packed = [(s, *_unpacked(x, m, 4)) for s, x, m in zip(own["shard"].to_pylist(), own["grams"], own["m"].to_pylist(), strict=True)]
+        place = np.concatenate([s * _ROWS_A_SHARD + np.cumsum(gap) + np.cumsum(n) - n for s, gap, n, _, _ in packed])
+        n, tail = (np.concatenate([x[i] for x in packed]) for i in (2, 4))
+        head = np.concatenate([np.bitwise_xor.accumulate(x[3]) for x in packed])
+        del packed
+        order = np.lexsort((tail, head))
+        place, n, head, tail = place[order], n[order], head[order], tail[order]
+        first = np.flatnonzero(np.append(True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])))
+        f, ids, many = np.add.reduceat(n, first), np.minimum.reduceat(place, first), np.diff(np.append(first, len(n)))
+        kept = f >= least
+        table = pa.table([ids[kept], head[first[kept]], tail[first[kept]], f[kept], *[pa.nulls(int(kept.sum()), x.type) for x in list(fields)[4:]]], schema=fields)
+        if not back or not kept.any():
+            return table
+        place, ids, f = place[np.repeat(kept, many)], np.repeat(ids[kept], many[kept]), np.repeat(f[kept], many[kept])
+        order = np.argsort(place)
+        shard, low = np.divmod(place[order], _ROWS_A_SHARD)
+        first, new = _runs(shard)
+        columns = low - _before(low, new), ids[order], f[order] // HEAD + 1
+        cuts = np.append(first, len(shard))
+        grams = [_packed([c[i:j] for c in columns]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        sent = pa.table([*[pa.nulls(len(first), pa.int64())] * 4, shard[first], np.diff(cuts), pa.array(grams, pa.binary())], schema=fields)
+        return pa.concat_tables([table, sent]).combine_chunks()
+
+    return written(rows.groupBy("part").applyInArrow(add, "id long, head long, tail long, f long, shard long, m long, grams binary"), name)
 
 
 def mine(df: DataFrame, text: Column, lang: Column, least: int = 30, longest: int = 4, share: int = 80, size: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -249,14 +319,17 @@ def mine(df: DataFrame, text: Column, lang: Column, least: int = 30, longest: in
     words = shards.filter("word is not null")
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     places = words.select((F.col("shard") * _ROWS_A_SHARD + F.col("at")).alias("place"), "n", "lang", "word")
-    frequent = _summed(places, ["lang", "word"], least, "words")
+    parts = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // PART))
+    frequent = _summed_words(places, least)
     known = frequent.filter("place = id").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
+    sent = frequent.select(F.expr(f"place div {_ROWS_A_SHARD}").alias("shard"), "place", "id", "f")
     levels, spent = [], [shards]
     for k in range(2, longest + 1):
         spent.append(frequent)
-        frequent = _summed(_level(shards, frequent, k - 1), ["head", "tail"], least, f"phrases-{k}")
+        frequent = _summed_grams(_level(shards, sent, k - 1, parts), least, f"phrases-{k}", k < longest)
+        sent = frequent.filter("grams is not null").select("shard", "m", "grams")
         head, tail = known.select(F.col("id").alias("head"), "lang", "phrase", "heads"), known.select(F.col("id").alias("tail"), "last", "tails")
-        known = frequent.filter("place = id").select("id", "head", "tail", "f").join(head, "head").join(tail, "tail")
+        known = frequent.filter("grams is null").select("id", "head", "tail", "f").join(head, "head").join(tail, "tail")
         known = known.select("id", "head", "tail", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", F.array_append("heads", F.col("f")).alias("heads"), F.array_append("tails", F.col("f")).alias("tails"))
         known = written(known, f"known-{k}")
         levels.append(known.withColumn("words", F.lit(k)))
