@@ -9,18 +9,19 @@ transform makes from a row to the next word's tells the interval of an n-gram wi
 extends all of its intervals at once, and keeps those whose two parts, without the last and without the first word,
 are frequent in the whole corpus.
 
-The shards' counts are summed between the levels: an n-gram is told by the ids of its two parts, and its id is its
-least place in any shard. A sum below the least frequency ends an n-gram, and no longer one can have it inside; what is
+The shards' counts are summed between the levels: an n-gram is told by the ids of its two parts. Words have symbols in
+the order of a checksum, and ids rise with symbols, so that what follows a head comes in the order of its ids. A sum below the least frequency ends an n-gram, and no longer one can have it inside; what is
 left goes back to the shards. Nothing is cut off: the counts are exact. A shard sends an n-gram once at most, however
 often it occurs. N-grams are dealt by their head into parts whose number grows with the corpus, heads of very many over
-several; what a shard and a part send each other is one row, whose n-grams are packed in the order of their places. The
-index is written once, in buckets by shard, and is not shuffled for the levels.
+several; what a shard and a part send each other is one row, whose n-grams are packed in the order of their places, as
+differences. The index is written once, in buckets by shard, and is not shuffled for the levels.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -37,6 +38,8 @@ SHARD, ROW = 12 << 20, 1 << 20
 #: A shard's number is the task's and one of so many for each task; a place is a shard's number and a row in its index.
 _SHARDS_A_TASK = 1 << 11
 _ROWS_A_SHARD = 1 << 32
+#: An id is the part's number and one of so many within it.
+_IDS_A_PART = 1 << 32
 #: Words of the corpus for each part of the n-grams; occurrences of a head for each part that it is dealt over.
 PART, HEAD = 1 << 21, 1 << 18
 #: Parts into which a language's phrases are dealt to rank them.
@@ -71,6 +74,10 @@ def _words(raw: bytes) -> tuple[np.ndarray, pa.Array]:
     return out, own.dictionary.cast(pa.string())
 
 
+def _checksums(words: pa.Array) -> np.ndarray:
+    return np.array([zlib.crc32(x) for x in words.cast(pa.binary()).to_pylist()], np.int64)
+
+
 def transform(symbols: np.ndarray, depth: int) -> np.ndarray:
     """The symbol before each place of a circular text, the places ordered by the depth symbols (a power of two) from there on."""
     rank, step, order = symbols.astype(np.int64), 1, None
@@ -148,19 +155,23 @@ def _indexed(texts: dict[str, list[bytes]], shard: int, depth: int) -> Iterator[
         symbols.append(ids)
         words.append(found)
         langs += [lang] * len(found)
-    whole = np.append(np.concatenate(symbols), 0).astype(np.int32)
     if not base:
         return
+    words = pa.concat_arrays(words)
+    order = np.argsort(_checksums(words))
+    symbol = np.zeros(base + 1, np.int32)
+    symbol[order + 1] = np.arange(1, base + 1)
+    whole = symbol[np.append(np.concatenate(symbols), 0)]
+    words, langs = words.take(pa.array(order)), pa.array(langs).take(pa.array(order))
     counts = np.bincount(whole, minlength=base + 1)
     lows = np.cumsum(counts) - counts
 
     def batch(rows: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([shard] * rows, pa.int64()), *[columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in list(_FIELDS)[1:]]], schema=_FIELDS)
 
-    words = pa.concat_arrays(words)
     for k in range(0, base, 1 << 16):
         m = min(1 << 16, base - k)
-        yield batch(m, at=pa.array(lows[k + 1 : k + 1 + m]), lang=pa.array(langs[k : k + m]), word=words.slice(k, m), n=pa.array(counts[k + 1 : k + 1 + m]))
+        yield batch(m, at=pa.array(lows[k + 1 : k + 1 + m]), lang=langs.slice(k, m), word=words.slice(k, m), n=pa.array(counts[k + 1 : k + 1 + m]))
     fwd, rev = transform(whole, depth), transform(whole[::-1], depth)
     codec = pa.Codec("zstd", compression_level=1)
     for k in range(0, len(whole), ROW):
@@ -226,18 +237,68 @@ def _before(x: np.ndarray, new: np.ndarray) -> np.ndarray:
     return np.where(new, 0, np.append(0, x[:-1])[: len(x)])
 
 
-def _summed_words(rows: DataFrame, least: int) -> DataFrame:
-    """The shards' words that are frequent in all shards together, with their sum (f) and id."""
-    own = Window.partitionBy("lang", "word")
-    out = rows.withColumn("f", F.sum("n").over(own)).withColumn("id", F.min("place").over(own)).drop("n")
-    return written(out.filter(F.col("f") >= least), "words")
+def _differences(x: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The difference to the value before, or the value itself where a run begins; less than 0 as odd numbers."""
+    d = x - _before(x, new)
+    return (d << 1) ^ (d >> 63)
+
+
+def _added(d: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """What _differences were taken of."""
+    d = (d >> 1) ^ -(d & 1)
+    total, first = np.cumsum(d), np.flatnonzero(new)
+    return total - np.repeat(total[first] - d[first], np.diff(np.append(first, len(d))))
+
+
+def _begin(n: int) -> np.ndarray:
+    return np.arange(n) == 0
+
+
+def _sent(place: np.ndarray, ids: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For each shard its n-grams' number and, packed, their places, ids, and the numbers of parts of theirs as heads."""
+    order = np.argsort(place)
+    shard, low = np.divmod(place[order], _ROWS_A_SHARD)
+    first, new = _runs(shard)
+    columns = low - _before(low, new), _differences(ids[order], new), f[order] // HEAD + 1
+    cuts = np.append(first, len(shard))
+    return shard[first], np.diff(cuts), pa.array([_packed([c[i:j] for c in columns]) for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
+
+
+def _both(rows: dict[str, pa.Array | np.ndarray], sent: tuple, schema: pa.Schema) -> pa.Table:
+    """Rows of n-grams, and behind them those for the shards."""
+    own, far = pa.table(rows), pa.table(dict(zip(("shard", "m", "grams"), sent, strict=True)))
+    full = [pa.table([t[x.name].cast(x.type) if x.name in t.column_names else pa.nulls(len(t), x.type) for x in schema], schema=schema) for t in (own, far)]
+    return pa.concat_tables(full).combine_chunks()
+
+
+def _summed_words(rows: DataFrame, least: int, parts: int) -> DataFrame:
+    """Of the shards' words that are frequent in all shards together a row each: id, lang, word and f; and rows for the shards as _summed_grams has them."""
+    fields = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("f", pa.int64()), ("shard", pa.int64()), ("m", pa.int64()), ("grams", pa.binary())])
+
+    def add(own: pa.Table) -> pa.Table:
+        lang, word = (own[c].combine_chunks().dictionary_encode() for c in ("lang", "word"))
+        kinds, where = np.unique(lang.indices.to_numpy() * np.int64(len(word.dictionary)) + word.indices.to_numpy(), return_inverse=True)
+        f = np.zeros(len(kinds), np.int64)
+        np.add.at(f, where, own["n"].to_numpy())
+        kept = np.flatnonzero(f >= least)
+        of_lang, of_word = np.divmod(kinds[kept], len(word.dictionary))
+        order = np.argsort(_checksums(word.dictionary.take(pa.array(of_word))))
+        kept, of_lang, of_word = kept[order], of_lang[order], of_word[order]
+        ids = np.full(len(kinds), -1)
+        ids[kept] = own["part"][0].as_py() * _IDS_A_PART + np.arange(len(kept))
+        some = ids[where] >= 0
+        rows = {"id": ids[kept], "lang": lang.dictionary.take(pa.array(of_lang)), "word": word.dictionary.take(pa.array(of_word)), "f": f[kept]}
+        return _both(rows, _sent(own["place"].to_numpy()[some], ids[where[some]], f[where[some]]), fields)
+
+    dealt = rows.withColumn("part", F.expr(f"crc32(cast(word as binary)) * {parts} div {1 << 32}"))
+    return written(dealt.groupBy("part").applyInArrow(add, "id long, lang string, word string, f long, shard long, m long, grams binary"), "words")
 
 
 def _level(shards: DataFrame, known: DataFrame, k: int, parts: int) -> DataFrame:
     """The n-grams of each shard one word longer than the frequent ones of k words, a row for each part: part, shard, m (their number) and grams.
 
-    grams packs place, number, and the ids of both parts; known is shard and either place, id and f, or packed as
-    _summed_grams packs them. Only places and ids go to the shards; the intervals are found again in their indexes.
+    grams packs place, number, and the ids of both parts; known is what _summed_grams
+    has for the shards. Only places and ids go to the shards; the intervals are found again in their indexes.
     """
     fields = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("m", pa.int64()), ("grams", pa.binary())])
 
@@ -251,11 +312,9 @@ def _level(shards: DataFrame, known: DataFrame, k: int, parts: int) -> DataFrame
         del fwd
         rev_rows = _rows_of(rev)
         shard = known["shard"][0].as_py()
-        if "grams" in known.column_names:
-            packed = [_unpacked(x, m, 3) for x, m in zip(known["grams"], known["m"].to_pylist(), strict=True)]
-            low, ids, shares = (np.concatenate(x) for x in zip(*[(np.cumsum(gap), i, n) for gap, i, n in packed], strict=True))
-        else:
-            low, ids, shares = known["place"].to_numpy() % _ROWS_A_SHARD, known["id"].to_numpy(), known["f"].to_numpy() // HEAD + 1
+        packed = [_unpacked(x, m, 3) for x, m in zip(known["grams"], known["m"].to_pylist(), strict=True)]
+        low, ids, shares = (np.concatenate(x) for x in zip(*[(np.cumsum(gap), _added(i, _begin(len(i))), n) for gap, i, n in packed], strict=True))
+        del packed
         order = np.argsort(low)
         low, ids, shares = low[order], ids[order].view(np.uint64), shares[order].astype(np.uint64)
         low, n, head, tail = extended(rev, fwd_rows, rev_rows, low, *located(fwd_rows, rev_rows, low, k))
@@ -264,7 +323,8 @@ def _level(shards: DataFrame, known: DataFrame, k: int, parts: int) -> DataFrame
         order = np.argsort(part, kind="stable")
         part, low, n, head, tail = part[order], low[order], n[order], ids[head[order]].view(np.int64), ids[tail[order]].view(np.int64)
         first, new = _runs(part)
-        columns = low - _before(low + n, new), n, head ^ _before(head, new), tail
+        other = new | (head != _before(head, new))
+        columns = low - _before(low + n, new), n, _differences(head, new), _differences(tail, other)
         cuts = np.append(first, len(part))
         grams = [_packed([c[i:j] for c in columns]) for i, j in zip(cuts, cuts[1:], strict=False)]
         return pa.table([pa.array(part[first].astype(np.int64)), pa.array(np.full(len(first), shard)), pa.array(np.diff(cuts)), pa.array(grams, pa.binary())], schema=fields)
@@ -278,28 +338,23 @@ def _summed_grams(rows: DataFrame, least: int, name: str, back: bool) -> DataFra
     fields = pa.schema([*[(c, pa.int64()) for c in ("id", "head", "tail", "f", "shard", "m")], ("grams", pa.binary())])
 
     def add(own: pa.Table) -> pa.Table:
-        packed = [(s, *_unpacked(x, m, 4)) for s, x, m in zip(own["shard"].to_pylist(), own["grams"], own["m"].to_pylist(), strict=True)]
-        place = np.concatenate([s * _ROWS_A_SHARD + np.cumsum(gap) + np.cumsum(n) - n for s, gap, n, _, _ in packed])
-        n, tail = (np.concatenate([x[i] for x in packed]) for i in (2, 4))
-        head = np.concatenate([np.bitwise_xor.accumulate(x[3]) for x in packed])
-        del packed
+        columns = []
+        for shard, m, x in zip(own["shard"].to_pylist(), own["m"].to_pylist(), own["grams"], strict=True):
+            gap, n, head, tail = _unpacked(x, m, 4)
+            columns.append((shard * _ROWS_A_SHARD + np.cumsum(gap) + np.cumsum(n) - n, n, _added(head, _begin(m)), _added(tail, _begin(m) | (head != 0))))
+        place, n, head, tail = (np.concatenate(x) for x in zip(*columns, strict=True))
+        del columns
         order = np.lexsort((tail, head))
         place, n, head, tail = place[order], n[order], head[order], tail[order]
         first = np.flatnonzero(np.append(True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])))
-        f, ids, many = np.add.reduceat(n, first), np.minimum.reduceat(place, first), np.diff(np.append(first, len(n)))
+        f, many = np.add.reduceat(n, first), np.diff(np.append(first, len(n)))
         kept = f >= least
-        table = pa.table([ids[kept], head[first[kept]], tail[first[kept]], f[kept], *[pa.nulls(int(kept.sum()), x.type) for x in list(fields)[4:]]], schema=fields)
-        if not back or not kept.any():
-            return table
-        place, ids, f = place[np.repeat(kept, many)], np.repeat(ids[kept], many[kept]), np.repeat(f[kept], many[kept])
-        order = np.argsort(place)
-        shard, low = np.divmod(place[order], _ROWS_A_SHARD)
-        first, new = _runs(shard)
-        columns = low - _before(low, new), ids[order], f[order] // HEAD + 1
-        cuts = np.append(first, len(shard))
-        grams = [_packed([c[i:j] for c in columns]) for i, j in zip(cuts, cuts[1:], strict=False)]
-        sent = pa.table([*[pa.nulls(len(first), pa.int64())] * 4, shard[first], np.diff(cuts), pa.array(grams, pa.binary())], schema=fields)
-        return pa.concat_tables([table, sent]).combine_chunks()
+        first, f, some = first[kept], f[kept], np.repeat(kept, many)
+        ids = own["part"][0].as_py() * _IDS_A_PART + np.arange(len(f))
+        rows = {"id": ids, "head": head[first], "tail": tail[first], "f": f}
+        many, place = many[kept], place[some] if back else place[:0]
+        del n, head, tail, order
+        return _both(rows, _sent(place, *(np.repeat(x, many) if back else x[:0] for x in (ids, f))), fields)
 
     return written(rows.groupBy("part").applyInArrow(add, "id long, head long, tail long, f long, shard long, m long, grams binary"), name)
 
@@ -320,9 +375,9 @@ def mine(df: DataFrame, text: Column, lang: Column, least: int = 30, longest: in
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     places = words.select((F.col("shard") * _ROWS_A_SHARD + F.col("at")).alias("place"), "n", "lang", "word")
     parts = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // PART))
-    frequent = _summed_words(places, least)
-    known = frequent.filter("place = id").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
-    sent = frequent.select(F.expr(f"place div {_ROWS_A_SHARD}").alias("shard"), "place", "id", "f")
+    frequent = _summed_words(places, least, parts)
+    known = frequent.filter("grams is null").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
+    sent = frequent.filter("grams is not null").select("shard", "m", "grams")
     levels, spent = [], [shards]
     for k in range(2, longest + 1):
         spent.append(frequent)
