@@ -66,8 +66,10 @@ def _words(raw: bytes) -> tuple[np.ndarray, pa.Array]:
     offsets = pa.py_buffer(edges.astype(np.int32))
     both = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, offsets, pa.py_buffer(buf)])
     own = both.take(pa.array(np.arange(0, len(edges), 2))).dictionary_encode()
-    ended = np.append(0, np.cumsum(_PIECE_END[buf]))
+    ended = np.zeros(len(buf) + 1, np.int32)
+    np.cumsum(_PIECE_END[buf], out=ended[1:])
     new_piece = np.append(True, ended[edges[2::2]] > ended[edges[1:-1:2]])
+    del ended, edges, word
     at = np.arange(len(own)) + np.cumsum(new_piece)
     out = np.zeros(at[-1] + 1, np.int32)
     out[at] = own.indices.to_numpy() + 1
@@ -254,12 +256,12 @@ def _begin(n: int) -> np.ndarray:
     return np.arange(n) == 0
 
 
-def _sent(place: np.ndarray, ids: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """For each shard its n-grams' number and, packed, their places, ids, and the numbers of parts of theirs as heads."""
+def _sent(place: np.ndarray, ids: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For each shard its n-grams' number and, packed, their places, ids, and the numbers of parts that they are dealt over as heads."""
     order = np.argsort(place)
     shard, low = np.divmod(place[order], _ROWS_A_SHARD)
     first, new = _runs(shard)
-    columns = low - _before(low, new), _differences(ids[order], new), f[order] // HEAD + 1
+    columns = low - _before(low, new), _differences(ids[order], new), shares[order]
     cuts = np.append(first, len(shard))
     return shard[first], np.diff(cuts), pa.array([_packed([c[i:j] for c in columns]) for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
 
@@ -288,7 +290,7 @@ def _summed_words(rows: DataFrame, least: int, parts: int) -> DataFrame:
         ids[kept] = own["part"][0].as_py() * _IDS_A_PART + np.arange(len(kept))
         some = ids[where] >= 0
         rows = {"id": ids[kept], "lang": lang.dictionary.take(pa.array(of_lang)), "word": word.dictionary.take(pa.array(of_word)), "f": f[kept]}
-        return _both(rows, _sent(own["place"].to_numpy()[some], ids[where[some]], f[where[some]]), fields)
+        return _both(rows, _sent(own["place"].to_numpy()[some], ids[where[some]], f[where[some]] // HEAD + 1), fields)
 
     dealt = rows.withColumn("part", F.expr(f"crc32(cast(word as binary)) * {parts} div {1 << 32}"))
     return written(dealt.groupBy("part").applyInArrow(add, "id long, lang string, word string, f long, shard long, m long, grams binary"), "words")
@@ -318,10 +320,12 @@ def _level(shards: DataFrame, known: DataFrame, k: int, parts: int) -> DataFrame
         order = np.argsort(low)
         low, ids, shares = low[order], ids[order].view(np.uint64), shares[order].astype(np.uint64)
         low, n, head, tail = extended(rev, fwd_rows, rev_rows, low, *located(fwd_rows, rev_rows, low, k))
-        del fwd_rows, rev_rows, rev
+        del own, known, fwd_rows, rev_rows, rev
         part = (mix(ids[head] + mix(ids[tail]) % shares[head] * np.uint64(WORD_BASE)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
         order = np.argsort(part, kind="stable")
-        part, low, n, head, tail = part[order], low[order], n[order], ids[head[order]].view(np.int64), ids[tail[order]].view(np.int64)
+        part, low, n = part[order], low[order], n[order]
+        head, tail = (ids[x[order]].view(np.int64) for x in (head, tail))
+        del order, ids, shares
         first, new = _runs(part)
         other = new | (head != _before(head, new))
         columns = low - _before(low + n, new), n, _differences(head, new), _differences(tail, other)
@@ -354,7 +358,7 @@ def _summed_grams(rows: DataFrame, least: int, name: str, back: bool) -> DataFra
         rows = {"id": ids, "head": head[first], "tail": tail[first], "f": f}
         many, place = many[kept], place[some] if back else place[:0]
         del n, head, tail, order
-        return _both(rows, _sent(place, *(np.repeat(x, many) if back else x[:0] for x in (ids, f))), fields)
+        return _both(rows, _sent(place, *(np.repeat(x, many) if back else x[:0] for x in (ids, f // HEAD + 1))), fields)
 
     return written(rows.groupBy("part").applyInArrow(add, "id long, head long, tail long, f long, shard long, m long, grams binary"), name)
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioflow.llm import phrases
@@ -111,6 +112,37 @@ def test_intervals_count_and_extend():
         low, grams = new_low, made
 
 
+def test_parts_and_heads_of_several_parts_change_nothing(spark, monkeypatch):
+    rows = some_rows(5, 400) + [("a b the of " * 300, "en")] * 3
+    want = plain(rows, 3, 4, 80)
+    for part, head in ((40, 1 << 18), (40, 5), (1 << 21, 5)):
+        monkeypatch.setattr(phrases, "PART", part)
+        monkeypatch.setattr(phrases, "HEAD", head)
+        assert mined(spark, rows, size=4000) == want
+
+
+def test_a_shard_sends_a_part_one_row_of_few_bytes(spark):
+    rnd = random.Random(6)
+    words = [f"w{int(1.003 ** rnd.randrange(2500))}" for _ in range(200_000)]
+    df = spark.createDataFrame([(" ".join(words[i : i + 400]), "en") for i in range(0, len(words), 400)], "text string, lang string").repartition(3)
+    shards, table = phrases.index(df, F.col("text"), F.col("lang"), 4, 200_000)
+    places = shards.filter("word is not null").select((F.col("shard") * phrases._ROWS_A_SHARD + F.col("at")).alias("place"), "n", "lang", "word")
+    sent = phrases._summed_words(places, 3, 4).filter("grams is not null").select("shard", "m", "grams")
+    got = phrases._level(shards, sent, 1, 4).select("shard", "part", "m", F.length("grams").alias("size")).collect()
+    spark.sql(f"DROP TABLE {table}")
+    assert len({r.shard for r in got}) > 2 and {r.part for r in got} == set(range(4))
+    assert len(got) == len({(r.shard, r.part) for r in got})
+    assert sum(r.m for r in got) > 50_000 and sum(r.size for r in got) < 6 * sum(r.m for r in got)
+
+
+def test_differences_are_added_again():
+    x = np.array([5, 9, 3, 1 << 60, -7, -7, 0, 2])
+    new = np.array([True, False, False, True, False, False, True, False])
+    assert phrases._added(phrases._differences(x, new), new).tolist() == x.tolist()
+    packed = phrases._packed([x, -x])
+    assert [c.tolist() for c in phrases._unpacked(pa.scalar(packed), len(x), 2)] == [x.tolist(), (-x).tolist()]
+
+
 def test_query_equals_its_sql(spark, sf):
     import duckdb
 
