@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.arrow import WORD_BASE, as_bytes, mix, scratch, written
+from folioflow.llm.arrow import RUN_BYTES, WORD_BASE, in_runs, mix, scratch, written
 from folioflow.sources.shared import discard
 
 #: Bytes of text in a shard, and symbols of an index in a row.
@@ -76,26 +76,63 @@ def _words(raw: bytes) -> tuple[np.ndarray, pa.Array]:
     return out, own.dictionary.cast(pa.string())
 
 
+def _all_words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """The _words of all texts one behind another; about RUN_BYTES of text are parted at once."""
+    parted = [_words(b"\n".join(texts[i:j])) for i, j in in_runs(texts)]
+    words = pa.concat_arrays([x for _, x in parted]).dictionary_encode()
+    own, begin = words.indices.to_numpy() + 1, 0
+    for k, (ids, found) in enumerate(parted):
+        parted[k] = np.append(np.int32(0), own[begin : begin + len(found)])[ids]
+        begin += len(found)
+    return np.concatenate(parted), words.dictionary
+
+
 def _checksums(words: pa.Array) -> np.ndarray:
-    return np.array([zlib.crc32(x) for x in words.cast(pa.binary()).to_pylist()], np.int64)
+    out = np.empty(len(words), np.int64)
+    for k in range(0, len(words), 1 << 14):
+        some = words.slice(k, 1 << 14).cast(pa.binary()).to_pylist()
+        out[k : k + len(some)] = [zlib.crc32(x) for x in some]
+    return out
+
+
+def _sorted_places(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the keys, which are at most most and may be overwritten, in the order of these; and for each place in that order, whether its key is another than the one before."""
+    bits = max(1, (len(key) - 1).bit_length())
+    if most >> (64 - bits):
+        order = np.argsort(key)
+        key = key[order]
+    else:  # a key and its place are one number, so that numbers are sorted where they are
+        key = key.view(np.uint64)
+        key <<= np.uint64(bits)
+        key |= np.arange(len(key), dtype=np.uint32)
+        key.sort()
+        order = (key & np.uint64((1 << bits) - 1)).astype(np.int32)
+        key >>= np.uint64(bits)
+    return order, np.append(False, key[1:] != key[:-1])
 
 
 def transform(symbols: np.ndarray, depth: int) -> np.ndarray:
     """The symbol before each place of a circular text, the places ordered by the depth symbols (a power of two) from there on."""
-    rank, step, order = symbols.astype(np.int64), 1, None
+    rank, step, order = symbols.astype(np.int32), 1, None
     while step < depth:
-        key = rank * (int(rank.max()) + 1) + np.roll(rank, -step)
-        order = np.argsort(key)
-        key = key[order]
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        most = int(rank.max())
+        key = rank.astype(np.int64)
+        key *= most + 1
+        key += np.roll(rank, -step)
+        order, new = _sorted_places(key, most * (most + 2))
+        del key
+        rank[order] = np.cumsum(new, dtype=np.int32)
         step *= 2
     return symbols[order - 1]
 
 
 def _rows_of(symbols: np.ndarray) -> np.ndarray:
     """symbol * n + row, ascending: the rows of each symbol in order, behind those of smaller ones."""
-    return np.sort(symbols.astype(np.int64) * len(symbols) + np.arange(len(symbols)))
+    rows = symbols.astype(np.int64)
+    rows *= len(rows)
+    rows += np.arange(len(rows))
+    rows.sort()
+    return rows
 
 
 def located(fwd_rows: np.ndarray, rev_rows: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +157,14 @@ def extended(rev: np.ndarray, fwd_rows: np.ndarray, rev_rows: np.ndarray, low: n
     n = len(rev)
     base = int(fwd_rows[-1]) // n + 1
     begin = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(low)), size)
-    follow = rev[np.arange(len(owner)) + (rev_low - begin)[owner]]
-    key = np.sort(owner * base + follow)
+    at = np.repeat(rev_low - begin, size)
+    at += np.arange(len(at))
+    follow = rev[at]
+    del at
+    key = np.repeat(np.arange(len(low)) * base, size)
+    key += follow
+    del follow
+    key.sort()
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(key)))
     head, symbol = key[first] // base, key[first] % base
@@ -148,10 +190,10 @@ def _pieces_of(text: bytes, limit: int) -> Iterator[bytes]:
 
 
 def _indexed(texts: dict[str, list[bytes]], shard: int, depth: int) -> Iterator[pa.RecordBatch]:
-    """A shard's rows: a row for each word with its interval and count, then both transforms in rows of so many symbols."""
+    """A shard's rows: a row for each word with its interval and count, then both transforms in rows of so many symbols. The texts are taken out."""
     symbols, words, langs, base = [], [], [], 0
-    for lang, own in texts.items():
-        ids, found = _words(b"\n".join(own))
+    for lang in list(texts):
+        ids, found = _all_words(texts.pop(lang))
         ids[ids > 0] += base
         base += len(found)
         symbols.append(ids)
@@ -163,7 +205,8 @@ def _indexed(texts: dict[str, list[bytes]], shard: int, depth: int) -> Iterator[
     order = np.argsort(_checksums(words))
     symbol = np.zeros(base + 1, np.int32)
     symbol[order + 1] = np.arange(1, base + 1)
-    whole = symbol[np.append(np.concatenate(symbols), 0)]
+    whole = symbol[np.append(np.concatenate(symbols), np.int32(0))]
+    del symbols, ids, found
     words, langs = words.take(pa.array(order)), pa.array(langs).take(pa.array(order))
     counts = np.bincount(whole, minlength=base + 1)
     lows = np.cumsum(counts) - counts
@@ -198,15 +241,15 @@ def index(df: DataFrame, text: Column, lang: Column, depth: int, size: int = SHA
         held: dict[str, list[bytes]] = {}
         n = 0
         for b in batches:
-            for lang, x in zip(b.column(1).to_pylist(), as_bytes(b.column(0)), strict=True):
-                for some in _pieces_of(x, size):
+            for lang, x in zip(b.column(1).to_pylist(), b.column(0), strict=True):
+                for some in _pieces_of((x.as_py() or "").encode(), min(size, RUN_BYTES)):
                     held.setdefault(lang, []).append(some)
                     n += len(some) + 1
                     if n >= size:
                         if shard == end:
                             raise ValueError(f"over {_SHARDS_A_TASK} shards in a task: read the table in more partitions")
                         yield from _indexed(held, shard, depth)
-                        held, n, shard = {}, 0, shard + 1
+                        n, shard = 0, shard + 1
         if held:
             yield from _indexed(held, shard, depth)
 

@@ -155,3 +155,34 @@ def test_query_equals_its_sql(spark, sf):
     names = [d[0] for d in con.description]
     want = {tuple(r) for r in con.fetchall()}
     assert {tuple(r) for r in QUERIES["op13_phrases"](spark, sf).select(*names).collect()} == want
+
+
+def test_a_shard_is_sorted_in_bounded_memory():
+    import tracemalloc
+
+    text = np.random.default_rng(5).integers(0, 30_000, 1 << 19).astype(np.int32)
+    tracemalloc.start()
+    phrases.transform(text, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 33 * len(text)
+
+
+def test_places_in_the_order_of_keys():
+    rnd = np.random.default_rng(6)
+    for most in (0, 5, 1 << 40, (1 << 62) - 1):
+        key = rnd.integers(0, most + 1, 1000)
+        order, new = phrases._sorted_places(key.copy(), most)
+        got = key[order]
+        assert (got == np.sort(key)).all() and sorted(order.tolist()) == list(range(1000))
+        assert (new[1:] == (got[1:] != got[:-1])).all() and not new[0]
+
+
+def test_words_of_many_texts_are_those_of_one(monkeypatch):
+    texts = [(t or "").encode() for t, _ in some_rows(7, 200)]
+    ids, words = phrases._words(b"\n".join(texts))
+    monkeypatch.setattr(phrases.in_runs, "__defaults__", (500,))
+    got, found = phrases._all_words(texts)
+    pieces = lambda ids, words: [[words[i - 1] for i in run if i] for run in np.split(ids, np.flatnonzero(ids == 0)) if (run > 0).any()]
+    assert found.to_pylist() == words.to_pylist()
+    assert pieces(got, words.to_pylist()) == pieces(ids, words.to_pylist())
