@@ -79,68 +79,94 @@ class Lanes:
             yield self.first[lane] + np.repeat(np.arange(t, t + len(k)), k), cuts.tolist()
 
 
-def _forward(wh: np.ndarray, gx: np.ndarray, keep: np.ndarray, cuts: list[int], h: np.ndarray, all_held: bool):
-    """States after each place of a window with a 1 behind, the last of them, and with all_held also what is needed to go back: gates, candidates, and the states before."""
-    size, rows = len(wh), cuts[-1]
-    out = np.ones((rows, size + 1), wh.dtype)
-    half = wh.dtype.type(0.5)
-    zr, n, ghn, before = (np.empty((rows, k * size), wh.dtype) for k in (2, 1, 1, 1)) if all_held else (None,) * 4
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        was = h[: b - a] * keep[a:b]
-        gh = was @ wh
-        gate = gx[a:b, : 2 * size] + gh[:, : 2 * size]
-        gate *= half  # the logistic function by tanh
-        np.tanh(gate, out=gate)
-        gate *= half
-        gate += half
-        new = gate[:, size:] * gh[:, 2 * size :]
-        new += gx[a:b, 2 * size :]
+def _gates(w: np.ndarray) -> list[np.ndarray]:
+    """The three parts of wx or wh, each by itself; those of the gates halved, for the logistic function by tanh."""
+    z, r, n = np.split(w, 3, axis=1)
+    half = w.dtype.type(0.5)
+    return [z * half, r * half, np.ascontiguousarray(n)]
+
+
+def _forward(wh: list[np.ndarray], gx: list[np.ndarray], begins: np.ndarray, cuts: list[int], h: np.ndarray):
+    """States after each place of a window, and what is needed to go back: the gates and candidates, which overwrite gx, and the candidates' states and the states before.
+
+    wh and gx are parted as _gates has them, so that a step's numbers lie together; begins has the places where a text begins.
+    """
+    (uz, ur, un), (z, r, n) = wh, gx
+    ghn, before, out = np.empty_like(n), np.empty_like(n), np.empty_like(n)
+    half = n.dtype.type(0.5)
+    begun = np.searchsorted(begins, cuts).tolist()
+    for a, b, i, j in zip(cuts, cuts[1:], begun, begun[1:], strict=False):
+        was = before[a:b]
+        was[:] = h[: b - a]
+        if i < j:
+            was[begins[i:j] - a] = 0
+        for u, gate in ((uz, z[a:b]), (ur, r[a:b])):
+            gate += was @ u
+            np.tanh(gate, out=gate)
+            gate *= half
+            gate += half
+        new, h = n[a:b], out[a:b]
+        np.matmul(was, un, out=ghn[a:b])
+        np.multiply(r[a:b], ghn[a:b], out=h)
+        new += h
         np.tanh(new, out=new)
-        h = was - new
-        h *= gate[:, :size]
+        np.subtract(was, new, out=h)
+        h *= z[a:b]
         h += new
-        out[a:b, :size] = h
-        if all_held:
-            zr[a:b], n[a:b], ghn[a:b], before[a:b] = gate, new, gh[:, 2 * size :], was
-    return out, h, (zr, n, ghn, before)
+    return out, (z, r, n, ghn, before)
 
 
-def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-probability of each row's target, the exponentials (x is overwritten) and what they are to be multiplied by."""
-    np.maximum(np.minimum(x, _LIMIT, out=x), -_LIMIT, out=x)
-    own = x[np.arange(len(x)), target]
+def _normalised(x: np.ndarray, own: np.ndarray, sums) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of the logits at own, and what the exponentials, which overwrite all logits x, are to be multiplied by; sums adds them up for each softmax."""
+    np.clip(x, -_LIMIT, _LIMIT, out=x)
+    logits = x[own]
     np.exp(x, out=x)
-    total = x @ np.ones((x.shape[1], 1), x.dtype)
-    return own - np.log(total[:, 0]), x, 1 / total
+    total = sums(x)
+    return logits - np.log(total), 1 / total
 
 
-def _outputs(w, bounds, hidden, target, grad: bool):
+def _outputs(w, bounds, states, target, grad: bool):
     """Log-probability of each target symbol (of its class alone for the two groups); with grad also the gradients of their negative sum."""
-    n_classes = len(bounds) - 1
-    of = np.append(np.repeat(np.arange(n_classes), np.diff(bounds)), [n_classes, n_classes + 1]).astype(np.uint16)
+    n_classes, widths, kind = len(bounds) - 1, np.diff(bounds), states.dtype
+    of = np.append(np.repeat(np.arange(n_classes), widths), [n_classes, n_classes + 1]).astype(np.uint16)
     cls = of[target]
     order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(n_classes + 1)).tolist()
-    hidden, cls = hidden[order], cls[order]  # class after class, then the two groups
-    place = target[order[: cuts[-1]]] - bounds[cls[: cuts[-1]]]
-    value, d, part = _softmax(hidden @ w["oc"], cls)
+    hidden = np.ones((len(states), states.shape[1] + 1), kind)
+    cls, hidden[:, :-1] = cls[order], states.take(order, axis=0)  # class after class, then the two groups
+    cuts = np.searchsorted(cls, np.arange(n_classes + 1)).tolist()
+    ones = np.ones(max(n_classes + 2, widths.max()), kind)
+    d = hidden @ w["oc"]
+    own = np.arange(len(d)) * d.shape[1] + cls
+    value, part = _normalised(d.reshape(-1), own, lambda x: x.reshape(d.shape) @ ones[: d.shape[1]])
     grads, dh = {}, None
     if grad:
-        d *= part
-        d[np.arange(len(d)), cls] -= 1
+        d *= part[:, None]
+        d.reshape(-1)[own] -= 1
         grads = {"oc": hidden.T @ d, "ow": np.zeros_like(w["ow"])}
         dh = d @ w["oc"][:-1].T
-    for c in range(n_classes):
-        lo, hi, a, b = cuts[c], cuts[c + 1], bounds[c], bounds[c + 1]
-        if hi > lo and b - a > 1:
-            own = hidden[lo:hi]
-            got, d, part = _softmax(own @ w["ow"][:, a:b], place[lo:hi])
-            value[lo:hi] += got
-            if grad:
-                d *= part
-                d[np.arange(hi - lo), place[lo:hi]] -= 1
-                grads["ow"][:, a:b] = own.T @ d
-                dh[lo:hi] += d @ w["ow"][:-1, a:b].T
+    # the logits of all classes lie one behind another, each class's as a matrix
+    rows = cuts[-1]
+    width = widths[cls[:rows]]
+    past = np.cumsum(width)
+    within = np.empty(past[-1] if rows else 0, kind)
+    own = past - width + target[order[:rows]] - bounds[cls[:rows]]
+    parts = []
+    for lo, hi, a, b in zip(cuts[:-1], cuts[1:], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if hi > lo:
+            at = int(past[lo]) - (b - a)
+            x = within[at : at + (hi - lo) * (b - a)].reshape(hi - lo, b - a)
+            np.matmul(hidden[lo:hi], w["ow"][:, a:b], out=x)
+            parts.append((lo, hi, a, b, x))
+
+    got, part = _normalised(within, own, lambda _: np.concatenate([x @ ones[: x.shape[1]] for *_, x in parts]) if parts else within)
+    value[:rows] += got
+    if grad:
+        for lo, hi, _, _, x in parts:
+            x *= part[lo:hi, None]
+        within[own] -= 1
+        for lo, hi, a, b, x in parts:
+            np.matmul(hidden[lo:hi].T, x, out=grads["ow"][:, a:b])
+            dh[lo:hi] += x @ w["ow"][:-1, a:b].T
     out = np.empty(len(target))
     out[order] = value
     if grad:
@@ -152,13 +178,16 @@ def _outputs(w, bounds, hidden, target, grad: bool):
 
 def score(w: dict[str, np.ndarray], bounds: np.ndarray, symbols: np.ndarray, sizes: np.ndarray, lanes: int = 256, steps: int = 24) -> np.ndarray:
     """The natural log-probability of each whole text; symbols holds the texts one behind another."""
-    table = w["emb"] @ w["wx"][:-1] + w["wx"][-1]
+    tables = _gates(w["emb"] @ w["wx"][:-1] + w["wx"][-1])
+    wh = _gates(w["wh"])
     laid = Lanes(symbols, sizes, len(w["emb"]) - 1, lanes)
     out = np.zeros(len(sizes))
     h = np.zeros((len(laid.n), len(w["wh"])), w["wh"].dtype)
     for at, cuts in laid.windows(steps):
-        hidden, h, _ = _forward(w["wh"], table[laid.given[at]], laid.keep[at], cuts, h, False)
-        got, _, _ = _outputs(w, bounds, hidden, laid.target[at], False)
+        ids = laid.given[at]
+        states, _ = _forward(wh, [x.take(ids, axis=0) for x in tables], np.flatnonzero(laid.keep[at] == 0), cuts, h)
+        h = states[cuts[-2] :]
+        got, _, _ = _outputs(w, bounds, states, laid.target[at], False)
         out += np.bincount(laid.text[at], got, len(out))
     return out
 
@@ -172,37 +201,39 @@ class Moments:
 
 def gradients(w: dict[str, np.ndarray], bounds: np.ndarray, laid: Lanes, at: np.ndarray, cuts: list[int], h: np.ndarray):
     """Gradients of the negative log-probability of a window's symbols, its log-probability, and the last states."""
-    size = len(w["wh"])
-    ids, keep = laid.given[at], laid.keep[at]
-    x = w["emb"][ids]
-    gx = x @ w["wx"][:-1]
-    gx += w["wx"][-1]
-    hidden, last, (zr, n, ghn, before) = _forward(w["wh"], gx, keep, cuts, h, True)
-    got, grads, dh = _outputs(w, bounds, hidden, laid.target[at], True)
-    z, r = zr[:, :size], zr[:, size:]
+    ids, begins = laid.given[at], np.flatnonzero(laid.keep[at] == 0)
+    wx, wh = _gates(w["wx"]), _gates(w["wh"])
+    x = np.ones((len(ids), len(w["wh"]) + 1), w["emb"].dtype)
+    x[:, :-1] = w["emb"].take(ids, axis=0)
+    states, (z, r, n, ghn, before) = _forward(wh, [x @ v for v in wx], begins, cuts, h)
+    got, grads, dh = _outputs(w, bounds, states, laid.target[at], True)
     to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), ghn * r * (1 - r)
-    dgh, dn_all = np.empty((cuts[-1], 3 * size), x.dtype), np.empty((cuts[-1], size), x.dtype)
-    back = np.ascontiguousarray(w["wh"].T)
-    later = np.zeros((0, size), x.dtype)
-    for a, b in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
+    dz, dr, dn, dghn = (np.empty_like(dh) for _ in range(4))
+    back = [np.ascontiguousarray(v.T) for v in np.split(w["wh"], 3, axis=1)]
+    begun = np.searchsorted(begins, cuts).tolist()
+    later = dh[:0]
+    for a, b, i, j in zip(cuts[-2::-1], cuts[:0:-1], begun[-2::-1], begun[:0:-1], strict=True):
         d = dh[a:b]
         d[: len(later)] += later
-        dn = np.multiply(d, to_n[a:b], out=dn_all[a:b])
-        own = dgh[a:b]
-        np.multiply(d, to_z[a:b], out=own[:, :size])
-        np.multiply(dn, to_r[a:b], out=own[:, size : 2 * size])
-        np.multiply(dn, r[a:b], out=own[:, 2 * size :])
-        later = own @ back
-        later += d * z[a:b]
-        later *= keep[a:b]
-    grads["wh"] = before.T @ dgh
-    dgh[:, 2 * size :] = dn_all  # now of what the inputs give
-    grads["wx"] = np.vstack([x.T @ dgh, dgh.sum(axis=0)])
-    order = np.argsort(ids, kind="stable")
+        np.multiply(d, to_n[a:b], out=dn[a:b])
+        np.multiply(d, to_z[a:b], out=dz[a:b])
+        np.multiply(dn[a:b], to_r[a:b], out=dr[a:b])
+        np.multiply(dn[a:b], r[a:b], out=dghn[a:b])
+        later = dz[a:b] @ back[0]
+        later += dr[a:b] @ back[1]
+        later += dghn[a:b] @ back[2]
+        d *= z[a:b]
+        later += d
+        if i < j:
+            later[begins[i:j] - a] = 0
+    grads["wh"] = np.hstack([before.T @ v for v in (dz, dr, dghn)])
+    grads["wx"] = np.hstack([x.T @ v for v in (dz, dr, dn)])
+    dx = sum(v @ u.T for v, u in zip((dz, dr, dn), np.split(w["wx"][:-1], 3, axis=1), strict=True))
+    order = np.argsort(ids.astype(np.uint16) if len(w["emb"]) <= 1 << 16 else ids, kind="stable")
     edge = np.flatnonzero(np.diff(ids[order], prepend=-1))
     grads["emb"] = np.zeros_like(w["emb"])
-    grads["emb"][ids[order[edge]]] = np.add.reduceat((dgh @ w["wx"][:-1].T)[order], edge, axis=0)
-    return grads, got.sum(), last
+    grads["emb"][ids[order[edge]]] = np.add.reduceat(dx[order], edge, axis=0)
+    return grads, got.sum(), states[cuts[-2] :]
 
 
 def learn(w: dict[str, np.ndarray], bounds: np.ndarray, symbols: np.ndarray, sizes: np.ndarray, rate: float, lanes: int = 256, steps: int = 24, moments: Moments | None = None) -> dict[str, np.ndarray]:

@@ -176,3 +176,22 @@ def test_scores_don_t_depend_on_files_or_partitions(spark, sf, monkeypatch):
     (a, x), (b, y) = found
     assert all(np.array_equal(a[k], b[k]) for k in a)
     assert all(math.isclose(x[k], y[k], rel_tol=1e-5) for k in x)
+
+
+def test_steps_numbers_lie_together_and_follow_the_definition():
+    rng = np.random.default_rng(8)
+    size, cuts, h = 5, [0, 4, 8, 11, 12], rng.normal(size=(4, 5))
+    wh, gx, begins = rng.normal(size=(5, 15)), rng.normal(size=(12, 15)), np.array([1, 5, 6, 11])
+    parted = gru._gates(gx)
+    assert all(x.flags.c_contiguous for x in [*parted, *gru._gates(wh)])
+    out, held = gru._forward(gru._gates(wh), parted, begins, cuts, h)
+    assert all(x.flags.c_contiguous and x.shape == (12, size) for x in (out, *held))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    was = h
+    for a, b in zip(cuts, cuts[1:]):
+        was = was[: b - a] * ~np.isin(np.arange(a, b), begins)[:, None]
+        x, y = gx[a:b], was @ wh
+        z, r = sigmoid(x[:, :5] + y[:, :5]), sigmoid(x[:, 5:10] + y[:, 5:10])
+        new = np.tanh(x[:, 10:] + r * y[:, 10:])
+        was = z * was + (1 - z) * new
+        np.testing.assert_allclose(out[a:b], was)
